@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, lang_id, packing, quality, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "votes", "posterior", "quality_score", "keep")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify_languages(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language_id": op6_language_id,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLE: dict[str, str] = {}
