@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, lang_id, packing, quality, warc
+from . import bpe, jaccard, lang_id, packing, quality, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify_languages(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(spark, table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
