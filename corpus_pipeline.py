@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspan.llm import packing
+from loomspan.llm import jaccard, line_dedup, packing, quality, suffix_dedup
 from loomspan.llm.common import Scratch, table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """The columns of documents, with the length of the text as it now is."""
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return _documents(quality.classify(spark, docs).where("keep"))
+
+
+def drop_fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go, and documents without any other."""
+    return _documents(line_dedup.dedup_lines(spark, docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return _documents(jaccard.one_of_each_group(spark, docs))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated strings go, and documents of which nothing is left."""
+    return _documents(suffix_dedup.dedup_documents(spark, docs))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
     return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", drop_fuzzy_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", drop_repeated_passages),
+    ("best_fit_packing", pack),
+]
 
+#: No SQL expresses the classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

@@ -274,13 +274,24 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Da
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def dedup_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without the bytes of repeated strings (see ``suffix_dedup``); documents of which nothing but blanks is left go.
+
+    Documents that lose nothing are returned as they are; the others keep their other columns.
+    """
+    scratch = Scratch(spark, "cut")
+    cut = scratch.write(suffix_dedup(spark, docs, keep_text=False, keep_changed=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("__kept")), "cut")
+    out = docs.join(cut, "doc_id", "left").withColumn("__whole", F.col("__kept").isNull()).withColumn("text", F.coalesce("__kept", "text"))
+    return out.where(F.col("__whole") | (F.btrim("text", F.lit(" \t\r\n")) != "")).select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, keep_text: bool = True, keep_changed: bool = False) -> DataFrame:
     """A row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]``.
 
     Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (smaller doc_id, or same document and earlier
     start) goes; strings are judged on the input. Null texts count as empty; shorter texts keep all; rows that share a doc_id
     are one document, with the smallest of their texts; an empty table gives no rows; other columns are ignored. In ``kept_text``, a character
-    cut in half becomes U+FFFD.
+    cut in half becomes U+FFFD. With ``keep_changed`` only documents that lost bytes have their ``kept_text``, the others null.
     """
     scratch = Scratch(spark, "suffixes")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -292,8 +303,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -
     first = told.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.write(told.join(first, "sha").where("doc_id <> first").select("doc_id"), "copies")
     spans = repeated_spans(spark, rows.join(copies, "doc_id", "left_anti"), scratch)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    changed = rows.join(spans, "doc_id").mapInArrow(_cleaned(keep_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text or keep_changed else "")
+    changed = rows.join(spans, "doc_id").mapInArrow(_cleaned(keep_text or keep_changed), schema)
     zero = F.lit(0).cast("long")
     whole = F.col("n_bytes") >= LENGTH
     again = told.join(copies, "doc_id").select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
@@ -303,4 +314,6 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -
         texts = rows.join(changed.select("doc_id"), "doc_id", "left_anti")
         rest = again.unionByName(same).join(texts, "doc_id").withColumn("kept_text", F.when((F.col("n_removed") > 0), F.lit("")).otherwise(F.col("text"))).drop("text")
         return changed.unionByName(rest)
+    if keep_changed:
+        return changed.unionByName(again.unionByName(same).withColumn("kept_text", F.when(F.col("n_removed") > 0, F.lit(""))))
     return changed.unionByName(again).unionByName(same)
