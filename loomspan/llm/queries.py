@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, lang_id, line_dedup, packing, quality, suffix_dedup, warc
+from . import bpe, cover_tree, jaccard, lang_id, line_dedup, packing, quality, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "votes", "posterior", "quality_score", "keep")
 
@@ -48,6 +52,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
