@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, partitions, text_or_empty
@@ -92,42 +93,73 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return value[own], at[own], lo, hi
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct anchor grams of each document and how often it holds each; a run of one period counts as one row."""
+    names = ["h", "doc_id", "c"]
     for batch in batches:
-        hs, ds, ps, size = [], [], [], 0
+        parts: list[list[np.ndarray]] = [[], [], []]
+        size = 0
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h, at, lo, hi = anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8))
+            h, c = np.unique(anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8))[0], return_counts=True)
             if len(h):
-                hs.append(h.view(np.int64))
-                ds.append(np.full(len(h), d, dtype=np.int64))
-                ps.append(at << 14 | (at - lo) << 7 | (at - hi))
+                for part, x in zip(parts, (h.view(np.int64), np.full(len(h), d, dtype=np.int64), c.astype(np.int32)), strict=True):
+                    part.append(x)
                 size += len(h)
             if size > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, ps)], names=["h", "doc_id", "at"])
-                hs, ds, ps, size = [], [], [], 0
-        if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, ps)], names=["h", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=names)
+                parts, size = [[], [], []], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=names)
+
+
+_CONTEXT = {"lead": pa.int64(), "h": pa.int64(), "salt": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "ctx": pa.binary()}
+CONTEXT_SCHEMA = "lead long, h long, salt int, doc_id long, start long, end long, ctx binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each repeated anchor of a document the bytes that its windows cover, with the leading token of its suffix."""
-    names = ["lead", "h", "salt", "doc_id", "start", "off", "ctx"]
+    """For each repeated anchor of a document the bytes that its windows cover, with the leading token of its suffix.
+
+    Within a few megabytes of text, only the earliest of equal contexts goes on; the windows of the others are repeats, and
+    their spans (rows without a context) are final.
+    """
     for batch in batches:
-        rows: list[list] = [[] for _ in names]
+        docs = batch.column("doc_id").to_numpy()
+        part: list[int] = []
         size = 0
-        for d, t, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-            data = t.encode("utf-8", "surrogatepass")
-            for m in marks:
-                at, a, b = m["at"] >> 14, m["at"] >> 7 & 127, m["at"] & 127
-                ctx = data[at - a : at - b + LENGTH]
-                for k, v in enumerate((int.from_bytes(data[at : at + 7], "big"), m["h"], m["salt"], d, at - a, a, ctx)):
-                    rows[k].append(v)
-                size += len(ctx)
-            if size > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ctx" else pa.int32() if n in ("salt", "off") else pa.int64()) for c, n in zip(rows, names, strict=True)], names=names)
-                rows, size = [[] for _ in names], 0
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ctx" else pa.int32() if n in ("salt", "off") else pa.int64()) for c, n in zip(rows, names, strict=True)], names=names)
+        for k in range(batch.num_rows):
+            part.append(k)
+            size += len(batch.column("text")[k].as_py())
+            if size > 1 << 22 or k == batch.num_rows - 1:
+                yield from _combined(batch, sorted(part, key=docs.__getitem__))
+                part, size = [], 0
+
+
+def _combined(batch: pa.RecordBatch, order: list[int]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    seen: set[tuple] = set()
+    for k in order:
+        d, data, marks = batch.column("doc_id")[k].as_py(), batch.column("text")[k].as_py().encode("utf-8", "surrogatepass"), batch.column("marks")[k].as_py()
+        salts = {m["h"]: m["salt"] for m in marks}
+        h, at, lo, hi = anchors(np.frombuffer(data, dtype=np.uint8))
+        h = h.view(np.int64)
+        some = np.isin(h, np.fromiter(salts, dtype=np.int64, count=len(salts)))
+        span = None
+        for g, p, x, y in zip(h[some].tolist(), at[some].tolist(), lo[some].tolist(), (hi[some] + LENGTH).tolist(), strict=True):
+            ctx = data[x:y]
+            if (key := (g, p - x, ctx)) not in seen:
+                seen.add(key)
+                rows.append((int.from_bytes(data[p : p + 7], "big"), g, salts[g], d, x, y, ctx))
+            elif span and x <= span[1]:
+                span[1] = y
+            else:
+                if span:
+                    rows.append((d * 0x9E3779B97F4A7C15 % (1 << 55), 0, -1, d, *span, None))
+                span = [x, y]
+        if span:
+            rows.append((d * 0x9E3779B97F4A7C15 % (1 << 55), 0, -1, d, *span, None))
+    for i in range(0, len(rows), 50_000):
+        columns = zip(*rows[i : i + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTEXT.values(), strict=True)], names=list(_CONTEXT))
 
 
 def multikey_groups(tokens: list, n: int, order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +220,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch:
+        final = table.filter(pc.is_null(table.column("ctx")))
+        table = table.filter(pc.is_valid(table.column("ctx")))
+        if not table.num_rows:
+            return pa.RecordBatch.from_arrays([*(final.column(c).combine_chunks() for c in ("doc_id", "start", "end")), pa.nulls(final.num_rows, pa.binary())], names=["doc_id", "a", "b", "window"])
         h, doc, start, salt = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "doc_id", "start", "salt"))
         row, begin, again, where, joined = repeats(h, doc, start, table.column("ctx").to_pylist())
         # runs of repeated windows of one anchor become one span of bytes
@@ -198,8 +234,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # firsts of grams that lie in several buckets are compared across the boundaries
         over = np.flatnonzero((salt[row] >= 0) & ~again)
         digests = [hashlib.blake2b(joined[w : w + LENGTH], digest_size=16).digest() for w in where[over].tolist()]
-        out = [np.concatenate([spans[0], doc[row[over]]]), np.concatenate([spans[1], begin[over]]), np.concatenate([spans[2], begin[over] + LENGTH])]
-        return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in out), pa.array([None] * len(spans[0]) + digests, pa.binary())], names=["doc_id", "a", "b", "window"])
+        out = [np.concatenate([x, final.column(c).to_numpy(), y]) for x, c, y in zip(spans, ("doc_id", "start", "end"), (doc[row[over]], begin[over], begin[over] + LENGTH), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in out), pa.array([None] * (len(out[0]) - len(digests)) + digests, pa.binary())], names=["doc_id", "a", "b", "window"])
 
     rows = 0
     for batch in batches:
@@ -260,11 +296,11 @@ def _cleaned(keep_text: bool):
 
 def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, spans array<struct<a, b>>`` of the distinct documents ``rows`` (``doc_id long, text``) that repeat earlier strings; spans may overlap."""
-    found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_pieces, "h long, doc_id long, at long")
-    many = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_grams, "h long, doc_id long, c int")
+    many = found.withColumn("n", F.sum("c").over(Window.partitionBy("h"))).where("n > 1")
     salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOT)).cast("int")).otherwise(-1)
-    marks = many.groupBy("doc_id").agg(F.collect_list(F.struct("at", "h", salt.alias("salt"))).alias("marks"))
-    contexts = rows.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_contexts, "lead long, h long, salt int, doc_id long, start long, off int, ctx binary")
+    marks = many.groupBy("doc_id").agg(F.collect_list(F.struct("h", salt.alias("salt"))).alias("marks"))
+    contexts = rows.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_contexts, CONTEXT_SCHEMA)
     sorted_ = contexts.repartitionByRange(partitions(spark, 12), "lead", "h", "salt").sortWithinPartitions("h", "salt")
     found = scratch.write(sorted_.mapInArrow(_buckets, "doc_id long, a long, b long, window binary"), "spans")
     across = found.where("window is not null")
