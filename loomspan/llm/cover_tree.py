@@ -103,8 +103,19 @@ def dual_traversal(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.n
         return np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.single[a.center[i]], b.single[b.center[j]], dtype=np.float64)))
 
     tops_a, tops_b = a.center[: a.top], b.center[: b.top]
-    least = 1 - (reach + a.radius[: a.top, None] + b.radius[None, : b.top]) ** 2 / 2 - _SLACK
-    i, j = np.nonzero(a.single[tops_a] @ b.single[tops_b].T >= least)
+    gram = a.single[tops_a] @ b.single[tops_b].T
+    # most top nodes are single points in scattered data: one bound serves all pairs of them
+    i, j = np.nonzero(gram >= np.float32(1 - reach**2 / 2 - _SLACK))
+    wide_a, wide_b = np.flatnonzero(a.radius[: a.top] > 0), np.flatnonzero(b.radius[: b.top] > 0)
+    plain = (a.radius[i] == 0) & (b.radius[j] == 0)
+    found = [(i[plain], j[plain])]
+    for rows, columns in ((wide_a, np.arange(b.top)), (np.flatnonzero(a.radius[: a.top] == 0), wide_b)):
+        if len(rows) and len(columns):
+            least = 1 - (reach + a.radius[rows, None] + b.radius[None, columns]) ** 2 / 2 - _SLACK
+            x, y = np.nonzero(gram[np.ix_(rows, columns)] >= least)
+            found.append((rows[x], columns[y]))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    del gram
     if same:
         i, j = i[i <= j], j[i <= j]
     while len(i):
@@ -213,28 +224,45 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = members.values
             ids = m.field("id").to_numpy(zero_copy_only=False)
             by = np.argsort(ids)
-            tree = Tree(ids[by], m.field("w").to_numpy(zero_copy_only=False)[by].astype(float), unit(matrix(m.field("v")))[by])
-            tree.single = None  # made again from the vectors
-            yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([part], pa.int64()), pa.array([pickle.dumps(tree, protocol=5)], pa.binary())], names=["cell", "part", "tree"])
+            raw = matrix(m.field("v"))[by]
+            tree = Tree(ids[by], m.field("w").to_numpy(zero_copy_only=False)[by].astype(float), unit(raw))
+            yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([part], pa.int64()), pa.array([_packed(tree, raw)], pa.binary())], names=["cell", "part", "tree"])
+
+
+def _packed(tree: Tree, raw: np.ndarray) -> bytes:
+    """A tree with its original vectors, in single precision where that loses nothing; the rest is made again."""
+    small = raw.astype(np.float32)
+    tree.single, tree.vectors = None, small if (small == raw).all() else raw
+    for name in ("order", "center", "lo", "hi", "kids", "kids_end"):
+        setattr(tree, name, getattr(tree, name).astype(np.int32))
+    return pickle.dumps(tree, protocol=5)
 
 
 def _tree(data: bytes) -> Tree:
     tree = pickle.loads(data)
+    tree.vectors = unit(tree.vectors.astype(float))
     tree.single = tree.vectors.astype(np.float32)
+    for name in ("order", "center", "lo", "hi", "kids", "kids_end"):
+        setattr(tree, name, getattr(tree, name).astype(np.int64))
     return tree
 
 
 def _compared(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        held: dict[tuple, Tree] = {}
+
+        def get(batch: pa.RecordBatch, k: int, s: str) -> Tree:
+            key = (batch.column(f"c{s}")[k].as_py(), batch.column(f"p{s}")[k].as_py())
+            if key not in held:
+                if len(held) > 6:
+                    held.pop(next(iter(held)))
+                held[key] = _tree(batch.column(f"t{s}")[k].as_py())
+            return held[key]
+
         for batch in batches:
             for k in range(batch.num_rows):
-                key = (batch.column("ci")[k].as_py(), batch.column("pi")[k].as_py())
-                if key != last[0]:
-                    last = (key, _tree(batch.column("ti")[k].as_py()))
-                a = last[1]
-                b = a if key == (batch.column("cj")[k].as_py(), batch.column("pj")[k].as_py()) else _tree(batch.column("tj")[k].as_py())
-                ids, count, root = compare(a, b, threshold)
+                b = get(batch, k, "j")
+                ids, count, root = compare(get(batch, k, "i"), b, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(count).astype(np.int64)), pa.array(root)], names=["id", "n", "root"])
 
     return run
@@ -300,4 +328,4 @@ def _one_dimension(spark: SparkSession, scratch: Scratch, part: DataFrame, thres
     left, right = (trees.select(F.col("cell").alias(f"c{s}"), F.col("part").alias(f"p{s}"), F.col("tree").alias(f"t{s}")) for s in "ij")
     wanted = left.select("ci", "pi").join(F.broadcast(pairs), "ci").join(right.select("cj", "pj"), "cj").where("ci < cj or (ci = cj and pi <= pj)")
     joined = wanted.join(left, ["ci", "pi"]).join(right, ["cj", "pj"])
-    return joined.repartition(max(12, min(2000, len(near))), "ci", "pi", "cj", "pj").mapInArrow(_compared(threshold), "id long, n long, root long")
+    return joined.mapInArrow(_compared(threshold), "id long, n long, root long")
