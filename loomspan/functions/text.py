@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -133,26 +134,34 @@ OK, SUB, DEL, INS = "ok", "sub", "del", "ins"
 
 
 def edit_ops(ref, hyp) -> tuple[int, list[tuple[str, object, object]]]:
-    """Distance and operations between two sequences, by backward walk: diagonal first, then deletion, then insertion."""
+    """Distance and operations between two sequences, by backward walk: diagonal first, then deletion, then insertion.
+
+    Rows of the table are made at once; of each cell only its step is kept, in one byte.
+    """
     n, m = len(ref), len(hyp)
-    rows = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        above, row, r = rows[-1], [i], ref[i - 1]
-        for j in range(1, m + 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (r != hyp[j - 1])))
-        rows.append(row)
+    code: dict = {}
+    a, b = (np.array([code.setdefault(x, len(code)) for x in s], dtype=np.int64) for s in (ref, hyp))
+    along = np.arange(m + 1)
+    row, steps = along.copy(), np.empty((n, m), dtype=np.uint8)
+    for i in range(n):
+        diagonal, above = row[:-1] + (b != a[i]), row[1:] + 1
+        new = np.append(i + 1, np.minimum(diagonal, above))
+        new = np.minimum.accumulate(new - along) + along  # insertions carry on along the row
+        steps[i] = np.where(new[1:] == diagonal, 0, np.where(new[1:] == above, 1, 2))
+        row = new
     i, j, ops = n, m, []
     while i or j:
-        if i and j and rows[i][j] == rows[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+        step = 1 if not j else 2 if not i else steps[i - 1, j - 1]
+        if step == 0:
             i, j = i - 1, j - 1
             ops.append((OK if ref[i] == hyp[j] else SUB, ref[i], hyp[j]))
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
+        elif step == 1:
             i -= 1
             ops.append((DEL, ref[i], None))
         else:
             j -= 1
             ops.append((INS, None, hyp[j]))
-    return rows[n][m], ops[::-1]
+    return int(row[-1]), ops[::-1]
 
 
 def alignment(ref, hyp) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import BLOCK, SAMPLING_RATE, VadParams
 
-_OF = Window.partitionBy("rec_id").orderBy("k")
+def _order():
+    return Window.partitionBy("rec_id").orderBy("k")
 
 
 def pad_intervals(intervals: DataFrame, pad: int, length: Column) -> DataFrame:
     """Widens disjoint intervals by ``pad``; where the gap is less than twice that, both sides get half of it. Clamped to [0, length]."""
-    before, after = F.col("start") - F.lag("end").over(_OF), F.lead("start").over(_OF) - F.col("end")
+    before, after = F.col("start") - F.lag("end").over(_order()), F.lead("start").over(_order()) - F.col("end")
     left = F.when(before < 2 * pad, F.floor(before / 2)).otherwise(F.lit(pad))
     right = F.when(after < 2 * pad, F.floor(after / 2)).otherwise(F.lit(pad))
     return intervals.select("rec_id", "k", F.greatest(F.lit(0), F.col("start") - left).cast("long").alias("start"), F.least(length, F.col("end") + right).cast("long").alias("end"))
@@ -26,7 +27,7 @@ def speech_totals(intervals: DataFrame, rate: int = SAMPLING_RATE) -> DataFrame:
 def time_map(intervals: DataFrame) -> DataFrame:
     """Chunks on the timeline without silence: ``rec_id, k, lo, hi, silence`` (samples); chunk k covers [lo, hi) and ``silence`` was removed before it."""
     size = F.col("end") - F.col("start")
-    until = F.sum(size).over(_OF.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    until = F.sum(size).over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chunks = intervals.select("rec_id", "k", (until - size).alias("lo"), until.alias("hi"), (F.col("start") - (until - size)).alias("silence"))
     last = F.max("k").over(Window.partitionBy("rec_id"))
     return chunks.withColumn("is_last", F.col("k") == last)
