@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, cover_tree, jaccard, lang_id, line_dedup, nn_descent, packing, quality, suffix_dedup, warc
+from . import bpe, cover_tree, jaccard, lang_id, line_dedup, nn_descent, oracles, packing, quality, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,4 +66,4 @@ QUERIES: dict[str, Query] = {
     "op10_warc_derivatives": op10_warc_derivatives,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_embedding_near_dedup": oracles.OP3, "op7_suffix_array_dedup": oracles.OP7, "op9_ngram_jaccard_join": oracles.OP9}
