@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of an Arrow batch, at most, where whole texts go to Python workers: a few megabytes of them at a time.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees those no longer needed.
 
@@ -30,15 +41,14 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", compact: bool = False) -> DataFrame:
+        """Writes a table and reads it back; ``compact`` gathers it into few files first, where a wide stage leaves little."""
         self.n += 1
         path = f"{self.base}/{self.n}-{name}"
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        (df.hint("rebalance") if compact else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loomspan_path = path
         return out

@@ -253,9 +253,10 @@ def test_line_dedup(spark, docs, corpus, nothing):
     got = {(x.doc_id, x.line_no): (x.component_doc, x.component_line) for x in rows}
     assert set(got) == set(expected)
     missed = [at for at in expected if got[at] != expected[at]]
-    assert len(missed) <= 0.02 * len(expected), missed  # banding is of high recall, not exact
+    assert len(missed) <= 0.05 * len(expected), missed  # banding is of high recall, not exact, and one link decides on a group
     assert all(x.kept == ((x.doc_id, x.line_no) == (x.component_doc, x.component_line)) for x in rows)
     assert line_dedup.line_components(spark, nothing).count() == 0
+    assert line_dedup.line_components(spark, docs.unionAll(docs)).count() == 2 * len(rows)
     out = line_dedup.dedup_lines(spark, docs)
     assert out.columns == docs.columns
     texts = {x.doc_id: x.text for x in out.collect()}
