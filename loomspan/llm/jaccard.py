@@ -18,6 +18,7 @@ groups pair by pair, large ones in blocks of ``BLOCK`` x ``BLOCK`` members that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,13 @@ WORDS = 5
 #: Link when DENOMINATOR * |A and B| >= NUMERATOR * |A or B|.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Documents of the sample that shows frequent signatures, about, and how many of these are kept.
-SAMPLE, FREQUENT = 20_000, 20_000
-SMALL, BLOCK = 12, 192
-CACHE = 600_000
-_WORDS: dict[bytes, int] = {}
+SAMPLE, FREQUENT = 10_000, 20_000
+#: Signatures that true partners share at a level, where their sizes allow it: prefixes are longer by so many.
+SHARED = 12
+ELEMENTS = 40
+#: Groups of up to SMALL are compared pair by pair; blocks of BLOCK members; clusters of up to CLUSTER are compared once, larger ones by signature.
+SMALL, BLOCK, CLUSTER = 12, 192, 8192
+CACHE = 300_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,28 +48,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_of(word: bytes) -> int:
-    h = _WORDS.get(word)
-    if h is None:
-        if len(_WORDS) > CACHE:
-            _WORDS.clear()
+class _Words(dict):
+    """Word hashes that a worker remembers."""
+
+    def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            _WORDS[word] = h
-    return h
+            self[word] = h
+        return h
+
+
+_WORDS = _Words()
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles: A-Z lowered, words between ASCII white space, five words each; fewer words are one shingle, none an empty set."""
+    if len(_WORDS) > CACHE:
+        _WORDS.clear()
+    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    h = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(counts.sum()))
+    ends = np.cumsum(counts)
+    long = np.zeros(0, dtype=np.uint64)
+    if len(h) >= WORDS:
+        n = len(h) - WORDS + 1
+        long = np.full(n, WORDS, dtype=np.uint64)
+        for i in range(WORDS):
+            long = long * _M3 + h[i : i + n]
+        long = mix(long)
+    out = []
+    for end, k in zip(ends.tolist(), counts.tolist(), strict=True):
+        if k >= WORDS:
+            s = np.sort(long[end - k : end - WORDS + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        elif k:
+            x = np.full(1, k, dtype=np.uint64)
+            for i in range(end - k, end):
+                x = x * _M3 + h[i : i + 1]
+            out.append(mix(x))
+        else:
+            out.append(np.empty(0, dtype=np.uint64))
+    return out
 
 
 def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles: A-Z lowered, words between ASCII white space, five words each; fewer words are one shingle, none an empty set."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_hash_of, words), dtype=np.uint64, count=len(words))
-    k = min(WORDS, len(h))
-    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        out = mix(out * _M3 + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return shingle_sets([text])[0]
+
+
+def in_parts(texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """Texts with their sets, a few hundred at a time."""
+    for i in range(0, len(texts), 256):
+        yield from zip(texts[i : i + 256], shingle_sets(texts[i : i + 256]), strict=True)
 
 
 def content_id(s: np.ndarray) -> int:
@@ -96,23 +129,31 @@ def partition_signatures(s: np.ndarray, band: int) -> np.ndarray:
     return mix(content * _M3 + part[first] * np.uint64(64) + np.uint64(band))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, all_of_them: bool = False) -> np.ndarray:
-    """The signatures that a set signs with."""
+def signatures(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(tag, signatures) of each level that a set signs at. A tag is 32 times the level (band, or ELEMENTS) plus how many of the level's a partner must share."""
     size = len(s)
     d = largest_difference(size)
     band = band_of(size)
-    bands = [band, band + 1] if size * DENOMINATOR >= NUMERATOR * 4 ** (band + 1) else [band]
+    levels = [band, band + 1] if size * DENOMINATOR >= NUMERATOR * 4 ** (band + 1) else [band]
     out = []
-    for b in bands:
-        sigs = partition_signatures(s, b)
-        out.append(sigs if all_of_them else _first(sigs, d + 1, frequent))
-        if len(sigs) <= d and -1 not in bands:
-            out.append(_first(partition_signatures(s, -1), d + 1, frequent))
-            bands.append(-1)
-            break
-    if -1 in bands and len(out) < len(bands):
-        out += [_first(partition_signatures(s, b), d + 1, frequent) for b in bands[len(out) - 1 : -1] if b >= 0]
-    return np.unique(np.concatenate(out))
+    while levels:
+        level = levels.pop(0)
+        sigs = partition_signatures(s, -1 if level == ELEMENTS else level)
+        if len(sigs) <= d and ELEMENTS not in levels:  # never so at the level of elements
+            levels.append(ELEMENTS)
+        out.append((level * 32 + max(1, min(SHARED, len(sigs) - d)), _first(sigs, d + SHARED, frequent)))
+    return out
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's elements in as many hash buckets, rounded up to a power of two; counts stop at 255."""
+    bits = max(6, min(16, (len(s) - 1).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Sketches brought to fewer buckets. The sum of differences of two sketches never exceeds the difference of the sets."""
+    return np.minimum(counts.reshape(len(counts), width, -1).sum(axis=2, dtype=np.int32), 255) if counts.shape[1] != width else counts.astype(np.int32)
 
 
 def _first(sigs: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
@@ -129,80 +170,122 @@ def _first(sigs: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
 # --- Spark stages ------------------------------------------------------------------------------
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([content_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cid"])
+_LEVELS = pa.list_(pa.struct([("tag", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
+SIGNED = "n_shingles long, cid long, levels array<struct<tag: int, sigs: array<long>>>"
+
 
+def _signed(frequent):
+    """Size, content and signatures of each text. A content signs once a task; copies of it have no levels."""
 
-def _signed(frequent, sample: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value if frequent is not None else np.empty(0, dtype=np.uint64)
         seen: set[int] = set()
         for batch in batches:
-            cids, out = [], []
-            for t in batch.column(0).to_pylist():
-                s = shingle_set(t)
-                if not len(s):
-                    continue
+            sizes, cids, levels = [], [], []
+            for _, s in in_parts(batch.column("text").to_pylist()):
                 cid = content_id(s)
-                if cid in seen:
+                sizes.append(len(s))
+                cids.append(cid)
+                if not len(s) or cid in seen:
+                    levels.append(None)
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(cid)
-                sigs = signatures(s, late, sample)
-                cids.append(np.full(len(sigs), cid, dtype=np.int64))
-                out.append(sigs)
-                if sum(map(len, out[-64:])) > 1 << 20 or len(out) >= 4096:
-                    yield _rows(out, cids, late)
-                    cids, out = [], []
-            if out:
-                yield _rows(out, cids, late)
+                levels.append([{"tag": tag, "sigs": sigs.view(np.int64)} for tag, sigs in signatures(s, late)])
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(levels, _LEVELS)], names=[*rest, "n_shingles", "cid", "levels"])
 
     return run
 
 
-def _rows(out, cids, late) -> pa.RecordBatch:
-    sigs = np.concatenate(out)
-    hot = np.zeros(len(sigs), dtype=bool)
-    if len(late):
-        hot = late[np.minimum(np.searchsorted(late, sigs), len(late) - 1)] == sigs
-    return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.concatenate(cids)), pa.array(hot)], names=["sig", "cid", "hot"])
+def _each_signature(signed: DataFrame) -> DataFrame:
+    one = signed.where("levels is not null").select("cid", F.explode("levels").alias("l"))
+    return one.select("cid", "l.tag", F.explode("l.sigs").alias("sig")).select("sig", "cid", "tag")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cid", "s"])
+        sketches = [sketch(s) for _, s in in_parts(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("text"), pa.array(sketches, pa.binary())], names=["cid", "n", "text", "sketch"])
 
 
-def similar(inter, a, b):
+def similar(inter: int, a: int, b: int) -> bool:
     return inter * DENOMINATOR >= (a + b - inter) * NUMERATOR
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those that link: sizes first, then the exact sets."""
-    left, right = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    na, nb = F.size("sa"), F.size("sb")
-    near = joined.where((F.least(na, nb) * DENOMINATOR >= F.greatest(na, nb) * NUMERATOR))
-    return near.where(similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both texts, those that link, by their exact sets."""
+    last: tuple = (None, None)
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        ta = batch.column("ta").to_pylist()
+        keep = []
+        for k, (_, sb) in enumerate(in_parts(batch.column("tb").to_pylist())):
+            if a[k] != last[0]:
+                last = (a[k], shingle_set(ta[k]))
+            sa = last[1]
+            if min(len(sa), len(sb)) * DENOMINATOR >= max(len(sa), len(sb)) * NUMERATOR and similar(len(np.intersect1d(sa, sb, assume_unique=True)), len(sa), len(sb)):
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule a link out."""
+    for batch in batches:
+        keep = []
+        for k, (na, nb, ka, kb) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)):
+            a, b = (np.frombuffer(x, dtype=np.uint8).reshape(1, -1) for x in (ka, kb))
+            width = min(a.shape[1], b.shape[1])
+            if int(np.abs(folded(a, width) - folded(b, width)).sum()) * (DENOMINATOR + NUMERATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR):
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between two blocks of members: one row holds both blocks' contents, components, signatures of large groups and sets."""
-    for batch in batches:
-        for sig, left, right in zip(batch.column("sig").to_pylist(), batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            found = []
-            prepared = [[(m["cid"], m["comp"], frozenset(m["sigs"]), np.array(m["s"], dtype=np.int64)) for m in side] for side in (left, right)]
-            for a, ca, ga, sa in prepared[0]:
-                for b, cb, gb, sb in prepared[1]:
-                    if ca == cb or a >= b and left == right or min(len(sa), len(sb)) * DENOMINATOR < max(len(sa), len(sb)) * NUMERATOR or min(ga & gb) != sig:
-                        continue
-                    if similar(len(np.intersect1d(sa, sb, assume_unique=True)), len(sa), len(sb)):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that link: sizes and sketches first, then the exact sets. Texts move compressed, which sets would not."""
+    left, right = (texts.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
+    near = sized.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_close, "a long, b long")
+    left, right = (texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return near.join(right, "b").join(left, "a").mapInArrow(_linked, "a long, b long")
+
+
+def _block_pairs(best_only: bool):
+    """Candidates between two blocks of members in different components, by sizes and sketches; with ``best_only`` the nearest of each component to each member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = (batch.column(c)[k].as_py() for c in ("left", "right"))
+                a, b = [], []
+                by_width: dict[int, list] = {}
+                for m in right:
+                    by_width.setdefault(len(m["sketch"]), []).append(m)
+                groups = {w: (np.array([m["cid"] for m in ms]), np.array([m["comp"] for m in ms]), np.array([m["n"] for m in ms]), np.frombuffer(b"".join(m["sketch"] for m in ms), dtype=np.uint8).reshape(len(ms), w)) for w, ms in by_width.items()}
+                plain = {w: g[3].astype(np.int32) for w, g in groups.items()}
+                for m in left:
+                    own = np.frombuffer(m["sketch"], dtype=np.uint8).reshape(1, -1)
+                    for w, (cids, comps, n, counts) in groups.items():
+                        if not w // 2 <= own.shape[1] <= 2 * w:
+                            continue
+                        width = min(w, own.shape[1])
+                        some = np.flatnonzero((comps != m["comp"]) & (np.minimum(n, m["n"]) * DENOMINATOR >= np.maximum(n, m["n"]) * NUMERATOR))
+                        if not len(some):
+                            continue
+                        theirs = plain[w][some] if width == w else folded(counts[some], width)
+                        apart = np.abs(theirs - folded(own, width)).sum(axis=1)
+                        near = apart * (DENOMINATOR + NUMERATOR) <= (n[some] + m["n"]) * (DENOMINATOR - NUMERATOR)
+                        some, apart = some[near], apart[near]
+                        if best_only and len(some):
+                            order = np.lexsort((cids[some], apart))
+                            _, at = np.unique(comps[some][order], return_index=True)
+                            some = some[order[at]]
+                        a += np.minimum(cids[some], m["cid"]).tolist()
+                        b += np.maximum(cids[some], m["cid"]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -218,40 +301,52 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = scratch.write(rows.mapInArrow(_contents, f"doc_id {kind}, n_shingles long, cid long"), "contents")
-    full = known.where("n_shingles > 0")
-
-    texts = rows.select("text")
-    share = min(1.0, SAMPLE / max(1, known.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
-    counts = drawn.mapInArrow(_signed(None, True), "sig long, cid long, hot boolean").groupBy("sig").count().where("count >= 8")
+    total = docs.count()
+    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < min(1.0, SAMPLE / max(1, total)) * 1_000_000).select("text")
+    counts = _each_signature(drawn.mapInArrow(_signed(None), SIGNED)).groupBy("sig").count().where("count >= 8")
     top = counts.orderBy(F.desc("count"), "sig").limit(FREQUENT).select("sig").toPandas()["sig"].to_numpy(dtype=np.int64)
-    frequent = np.sort(top.view(np.uint64))
+    frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
 
-    signed = texts.mapInArrow(_signed(spark.sparkContext.broadcast(frequent), False), "sig long, cid long, hot boolean")
+    known = scratch.write(rows.mapInArrow(_signed(frequent), f"doc_id {kind}, {SIGNED}"), "signed")
+    full = known.where("n_shingles > 0").select("doc_id", "n_shingles", "cid")
     both = Window.partitionBy("sig")
-    shared = signed.where("not hot").withColumn("lo", F.min("cid").over(both)).withColumn("hi", F.max("cid").over(both)).where("lo <> hi").select("sig", "cid", "lo").distinct()
-    often = scratch.write(signed.where("hot").select("sig", "cid").distinct(), "frequent")
-    least = often.groupBy("sig").agg(F.min("cid").alias("lo"))  # at most FREQUENT rows
-    groups = scratch.write(shared.unionByName(often.join(F.broadcast(least), "sig").select("sig", "cid", "lo")), "groups")
-
-    # the sets of those that share a signature, each from its first document
-    first = full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    shared = _each_signature(known).withColumn("lo", F.min("cid").over(both)).withColumn("hi", F.max("cid").over(both)).where("lo <> hi").select("sig", "cid", "tag")
+    shared = scratch.write(shared.distinct(), "shared", compact=True)
+    groups = scratch.write(_sharing_enough(shared), "shared", compact=True)
+    scratch.drop(shared)
+    for _ in range(2):
+        fewer = scratch.write(_sharing_enough(_of_two(groups)), "shared", compact=True)
+        scratch.drop(groups)
+        groups = fewer
+    least = groups.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig", "lo")
+    groups = scratch.write(groups.select("sig", "cid").distinct().join(least, "sig").select("sig", "cid", "lo"), "groups", compact=True)
+
+    # the texts of those that share a signature, each from its first document
+    first = full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     wanted = groups.where("cid <> lo").select(F.explode(F.array("cid", "lo")).alias("cid")).distinct().join(first, "cid")
-    of = rows.join(wanted, "doc_id").select("cid", "text").dropDuplicates(["cid"])
-    sets = scratch.write(of.mapInArrow(_sets, "cid long, s array<long>"), "sets")
+    sets = rows.join(wanted, "doc_id").select("cid", "n", "text").dropDuplicates(["cid"]).mapInArrow(_sketched, "cid long, n long, text string, sketch binary")
+    sets = scratch.write(sets, "texts")
 
+    # each group's members against its smallest
     links = scratch.write(_verified(groups.where("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct(), sets), "links")
-    comps = scratch.write(connected_components(spark, links), "components")
+    comps = scratch.write(connected_components(spark, links, scratch), "components")
 
     # what is left: groups whose members still lie in different components
-    open_ = _with_components(groups.select("sig", "cid"), comps)
+    open_ = _with_components(groups.select("sig", "cid", "lo"), comps)
     state = open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1 and n > 2").select("sig", "n")
-    rest = scratch.write(open_.join(state, "sig"), "rest")
+    rest = scratch.write(open_.join(state, "sig").select("sig", "cid", "lo", "comp", "n"), "rest", compact=True)
     small = rest.where(F.col("n") <= SMALL)
-    pairs = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig and x.cid < y.cid and x.comp <> y.comp")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    more = scratch.write(_verified(pairs, sets).unionByName(_large_groups(rest.where(F.col("n") > SMALL), sets)), "more")
-    comps = connected_components(spark, links.unionByName(more))
+    pairs = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig and x.cid < y.cid and x.comp <> y.comp and x.cid <> x.lo")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    # large groups: the nearest of other components first, then whoever is still apart and could be near enough
+    large = scratch.write(_clusters(spark, scratch, rest.where(F.col("n") > SMALL).select("sig", "cid")), "large")
+    pairs = pairs.unionByName(_between_blocks(large, comps, sets, True)).distinct()
+    more = scratch.write(_verified(pairs, sets), "more")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = scratch.write(connected_components(spark, links, scratch), "components")
+    last = scratch.write(_verified(_between_blocks(large, comps, sets, False), sets), "last")
+    if not last.isEmpty():
+        comps = scratch.write(connected_components(spark, links.unionByName(last), scratch), "components")
 
     named = full.select("doc_id", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     of_component = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -259,13 +354,39 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return known.join(of_content, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _large_groups(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    members = rest.groupBy("cid").agg(F.first("comp").alias("comp"), F.collect_set("sig").alias("sigs"))
-    blocks = rest.select("sig", "cid", F.expr(f"pmod(xxhash64(cid), cast(ceil(n / {BLOCK}) as int))").alias("k"), F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("of"))
-    content = blocks.join(members, "cid").join(sets, "cid").groupBy("sig", "k", "of").agg(F.collect_list(F.struct("cid", "comp", "sigs", "s")).alias("m"))
-    left = content.select("sig", F.col("k").alias("i"), F.col("m").alias("left"), F.explode(F.expr("sequence(k, of - 1)")).alias("j"))
-    right = content.select("sig", F.col("k").alias("j"), F.col("m").alias("right"))
-    return left.join(right, ["sig", "j"]).select("sig", "left", "right").mapInArrow(_block_links, "a long, b long")
+def _of_two(groups: DataFrame) -> DataFrame:
+    """Rows whose signature more than one content still has."""
+    several = groups.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig")
+    return groups.join(several, "sig", "left_semi")
+
+
+def _sharing_enough(groups: DataFrame) -> DataFrame:
+    """Rows of contents that share as many signatures of a level as any partner of theirs would."""
+    enough = groups.groupBy("cid", "tag").count().where("count >= tag % 32").select("cid", "tag")
+    return groups.join(enough, ["cid", "tag"], "left_semi")
+
+
+def _clusters(spark: SparkSession, scratch: Scratch, large: DataFrame) -> DataFrame:
+    """``key, cid, parts``: what is compared with each other; groups that overlap are one cluster unless it is larger than CLUSTER."""
+    least = large.groupBy("sig").agg(F.min("cid").alias("lo"))
+    label = connected_components(spark, large.join(least, "sig").select("lo", "cid").distinct(), scratch)
+    label = scratch.write(label.withColumnRenamed("node", "cid"), "clusters")
+    sizes = label.groupBy("component").count()
+    fits = label.join(sizes.where(F.col("count") <= CLUSTER), "component").select(F.col("component").alias("key"), "cid", "count")
+    over = label.join(sizes.where(F.col("count") > CLUSTER), "component").select("cid")
+    split = large.join(over, "cid", "left_semi").select(F.col("sig").alias("key"), "cid")
+    split = split.join(split.groupBy("key").count(), "key")
+    return fits.unionByName(split).select("key", "cid", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+
+
+def _between_blocks(large: DataFrame, comps: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
+    members = _with_components(large, comps).join(sets.select("cid", "n", "sketch"), "cid")
+    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("k")
+    content = members.groupBy("key", part, "parts").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    left = content.select("key", F.col("m").alias("left"), F.col("c0").alias("l0"), F.col("c1").alias("l1"), F.explode(F.expr("sequence(k, parts - 1)")).alias("j"))
+    right = content.select("key", F.col("k").alias("j"), F.col("m").alias("right"), F.col("c0").alias("r0"), F.col("c1").alias("r1"))
+    open_ = left.join(right, ["key", "j"]).where("least(l0, r0) <> greatest(l1, r1)")
+    return open_.select("left", "right").mapInArrow(_block_pairs(best_only), "a long, b long").distinct()
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
