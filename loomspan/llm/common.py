@@ -43,6 +43,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.tables: dict[str, DataFrame] = {}
 
     def write(self, df: DataFrame, name: str = "t", compact: bool = False) -> DataFrame:
         """Writes a table and reads it back; ``compact`` gathers it into few files first, where a wide stage leaves little."""
@@ -51,15 +52,23 @@ class Scratch:
         (df.hint("rebalance") if compact else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loomspan_path = path
+        self.tables[path] = out
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:
+            self.tables.pop(df._loomspan_path, None)
             path = jvm.org.apache.hadoop.fs.Path(df._loomspan_path)
             path.getFileSystem(conf).delete(path, True)
 
 
+    def keep_only(self, *dfs: DataFrame) -> None:
+        """Frees all tables but those that a lazy result still reads."""
+        kept = {df._loomspan_path for df in dfs}
+        self.drop(*(df for path, df in list(self.tables.items()) if path not in kept))
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -308,10 +308,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
 
     known = scratch.write(rows.mapInArrow(_signed(frequent), f"doc_id {kind}, {SIGNED}"), "signed")
-    full = known.where("n_shingles > 0").select("doc_id", "n_shingles", "cid")
+    told = scratch.write(known.select("doc_id", "n_shingles", "cid"), "contents")
+    full = told.where("n_shingles > 0")
     both = Window.partitionBy("sig")
     shared = _each_signature(known).withColumn("lo", F.min("cid").over(both)).withColumn("hi", F.max("cid").over(both)).where("lo <> hi").select("sig", "cid", "tag")
     shared = scratch.write(shared.distinct(), "shared", compact=True)
+    scratch.drop(known)
     groups = scratch.write(_sharing_enough(shared), "shared", compact=True)
     scratch.drop(shared)
     for _ in range(2):
@@ -351,7 +353,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = full.select("doc_id", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     of_component = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_content = scratch.write(named.select("cid", "component").distinct().join(of_component, "component").select("cid", "component_id"), "named")
-    return known.join(of_content, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    scratch.keep_only(told, of_content)
+    return told.join(of_content, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _of_two(groups: DataFrame) -> DataFrame:

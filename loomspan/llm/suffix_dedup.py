@@ -345,6 +345,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, keep_text: bool = True, k
     whole = F.col("n_bytes") >= LENGTH
     again = told.join(copies, "doc_id").select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     changed = scratch.write(changed, "changed")
+    scratch.keep_only(told, copies, changed)
     same = told.join(copies, "doc_id", "left_anti").join(changed.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     if keep_text:
         texts = rows.join(changed.select("doc_id"), "doc_id", "left_anti")
