@@ -115,11 +115,13 @@ def dual_traversal(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.n
             x, y = np.nonzero(gram[np.ix_(rows, columns)] >= least)
             found.append((rows[x], columns[y]))
     i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    del gram
     if same:
         i, j = i[i <= j], j[i <= j]
+    d = np.sqrt(np.maximum(0, 2 - 2 * gram[i, j].astype(float)))
+    del gram
     while len(i):
-        d = between(i, j)
+        if d is None:
+            d = between(i, j)
         keep = d <= reach + a.radius[i] + b.radius[j] + _SLACK
         i, j, d = i[keep], j[keep], d[keep]
         own = (i == j) if same else np.zeros(len(i), dtype=bool)
@@ -162,6 +164,7 @@ def dual_traversal(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.n
             own = np.repeat(own, size)
             keep = ~own | (i <= j)
             i, j = i[keep], j[keep]
+        d = None
     point_a[a.order] += np.cumsum(links_a)[:-1]
     point_b[b.order] += np.cumsum(links_b)[:-1]
     if same:
