@@ -5,7 +5,8 @@ character where words are few). Its signature is the ``BOTTOM`` smallest shingle
 pair of these is a band: lines of Jaccard similarity j >= 0.75 share at least two of the smallest hashes of their
 union, and so a band, with probability 1 - (1-j)^5 - 5 j (1-j)^4 (0.984 at 0.75, 0.998 at 0.85). Lines of one band are verified against its
 smallest member by the exact Jaccard similarity of the shingle sets; where that leaves a band in
-several components, small bands are compared pair by pair, larger ones with a second member and along an order.
+several components, small bands are compared pair by pair, larger ones with a second member and along an order;
+members of larger bands that are still apart then meet whoever shares one of the shingles that are rarest among them: all pairs that can reach the threshold do.
 Distributed union-find joins what was verified, and one line of each component stays: the first by (doc_id, line).
 
 Equal lines are one content from the start, whatever their number.
@@ -22,6 +23,8 @@ WINDOW, BOTTOM = 12, 5
 THRESHOLD = 0.75
 #: Bands of up to so many members in several components are compared pair by pair.
 SMALL = 12
+#: Members that share a rare shingle meet in parts of about so many.
+PART = 1000
 _AT_WORDS = r"(?s)(?=(.{1,%d}))[^ \t]+[ \t]*" % WINDOW  # lines are trimmed, so every match starts at a word
 _EVERYWHERE = r"(?s)(?=(.{1,%d}))" % WINDOW
 
@@ -56,6 +59,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return counted.where(F.col("n") >= threshold * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
+def _apart(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members (``lid, comp``) of different components that can reach the threshold: none that does is left out.
+
+    Sets of n shingles put those that few members hold first. Two sets with at least threshold * n shingles of n in common share one
+    of the first n - ceil(threshold * n) + 1 of either, and what follows it on either side must suffice for the rest.
+    """
+    whole = lambda x: F.ceil(x - F.lit(1e-9)).cast("int")
+    each = members.join(sets, "lid").select("lid", "comp", F.size("s").alias("size"), F.explode("s").alias("x"))
+    held = each.groupBy("x").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1")
+    shared = each.join(held, "x").groupBy("lid", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x", (F.col("c0") != F.col("c1")).alias("open")))).alias("e"))
+    # shingles that nobody shares come before all others
+    own = F.col("size") - F.size("e")
+    first = F.slice("e", F.lit(1), F.greatest(F.lit(0), F.col("size") - whole(F.lit(threshold) * F.col("size")) + 1 - own))
+    prefix = shared.select("lid", "comp", "size", own.alias("own"), F.posexplode(first).alias("k", "e")).where("e.open")
+    prefix = prefix.select(F.col("e.x").alias("x"), "lid", "comp", "size", (F.col("size") - F.col("own") - F.col("k")).alias("left"), F.ceil(F.col("e.n") / PART).cast("int").alias("parts"))
+    x = prefix.withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")).alias("x")
+    y = prefix.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("y")
+    met = x.join(y, F.expr("x.x = y.x and x.part = y.part and x.lid < y.lid and x.comp <> y.comp"))
+    a, b = F.col("x.size"), F.col("y.size")
+    needed = whole(F.lit(threshold / (1 + threshold)) * (a + b))
+    can = (F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)) & (F.least("x.left", "y.left") >= needed)
+    return met.where(can).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, unique: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """Shingles of the wanted contents, each once; only where rows repeat a doc_id can a place hold several lines."""
     places = unique.join(wanted, "lid").select("lid", "doc_id", "line_no")
@@ -103,7 +130,16 @@ def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THR
     order = Window.partitionBy("band", F.pmod(F.xxhash64("lid"), F.ceil(F.col("members") / 1000))).orderBy("comp", "lid")
     along = many.select(F.col("lid").alias("b"), "comp", F.lag("lid").over(order).alias("a"), F.lag("comp").over(order).alias("before")).where("before <> comp").select("a", "b")
     more = _verified(crossed.unionByName(again).unionByName(along).distinct(), sets, threshold)
-    comps = scratch.write(connected_components(spark, links.unionByName(scratch.write(more, "more")), scratch), "components")
+    links = links.unionByName(scratch.write(more, "more"))
+    comps = scratch.write(connected_components(spark, links, scratch), "components")
+
+    # what is still apart in large bands
+    named = rest.where(F.col("members") > SMALL).select("band", "lid").join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("comp"))
+    open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
+    members = scratch.write(named.join(open_, "band").select("lid", "comp").distinct(), "apart", compact=True)
+    last = scratch.write(_verified(scratch.write(_apart(members, sets, threshold), "pairs"), sets, threshold), "last")
+    if not last.isEmpty():
+        comps = scratch.write(connected_components(spark, links.unionByName(last), scratch), "components")
 
     scratch.keep_only(unique, comps)
     of = unique.join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("k1", "k2", "n", at.alias("at"), F.coalesce("component", "lid").alias("comp"))

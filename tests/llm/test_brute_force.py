@@ -269,6 +269,20 @@ def test_line_dedup(spark, docs, corpus, nothing):
             assert not "".join(left).strip()
 
 
+def test_line_dedup_compares_large_bands_in_full(spark):
+    """Pairs of near copies whose bands all come from one long phrase that many other lines hold too."""
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    phrase = [word() for _ in range(20)]
+    rows = []
+    for k in range(200):
+        own = [word() for _ in range(10)]
+        rows += [(2 * k, " ".join(phrase + own)), (2 * k + 1, " ".join([*phrase, *own[:-1], word()]))]
+    got = {x.doc_id: x.component_doc for x in line_dedup.line_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [got[2 * k] == got[2 * k + 1] == 2 * k for k in range(200)]
+    assert sum(pairs) >= 199
+
+
 def test_quality_model_on_known_junk(spark, nothing):
     r = np.random.default_rng(3)
     vocabulary = ["".join(r.choice(list("abcdefghij"), r.integers(2, 8))) for _ in range(800)]
