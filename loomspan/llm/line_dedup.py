@@ -1,7 +1,6 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations only.
 
-A line's shingles are the windows of ``WINDOW`` characters that start where a word starts (at every
-character where words are few). Its signature is the ``BOTTOM`` smallest shingle hashes, and every
+A line's shingles are its windows of ``WINDOW`` characters, at every character; a shorter line is one shingle. Its signature is the ``BOTTOM`` smallest shingle hashes, and every
 pair of these is a band: lines of Jaccard similarity j >= 0.75 share at least two of the smallest hashes of their
 union, and so a band, with probability 1 - (1-j)^5 - 5 j (1-j)^4 (0.984 at 0.75, 0.998 at 0.85). Lines of one band are verified against its
 smallest member by the exact Jaccard similarity of the shingle sets; where that leaves a band in
@@ -25,8 +24,10 @@ THRESHOLD = 0.75
 SMALL = 12
 #: Members that share a rare shingle meet in parts of about so many.
 PART = 1000
-_AT_WORDS = r"(?s)(?=(.{1,%d}))[^ \t]+[ \t]*" % WINDOW  # lines are trimmed, so every match starts at a word
-_EVERYWHERE = r"(?s)(?=(.{1,%d}))" % WINDOW
+#: Windows at every character; only at the start of a line may one be shorter.
+_EVERYWHERE = r"(?s)(?=(.{%d}|^.{1,%d}$))." % (WINDOW, WINDOW - 1)
+#: Words are no different from other characters.
+_AT_WORDS = _EVERYWHERE
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -34,39 +35,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("line"))
 
 
-def with_shingles(lines: DataFrame, line: str = "line", name: str = "s") -> DataFrame:
-    """Adds the sorted distinct hashes of each line's shingles; never empty for a line with anything but blanks.
+def _hashes(line: str):
+    return F.transform(F.regexp_extract_all(line, F.lit(_EVERYWHERE), F.lit(1)), lambda x: F.xxhash64(x))
 
-    Words are few where a line has over 40 bytes for each of them.
-    """
-    every = lambda pattern: F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    found = lines.withColumn("__w", every(_AT_WORDS)).withColumn("__w", F.when(F.octet_length(line) > 40 * F.size("__w"), every(_EVERYWHERE)).otherwise(F.col("__w")))
-    return found.withColumn(name, F.sort_array(F.array_distinct(F.transform("__w", lambda x: F.xxhash64(x))))).drop("__w")
+
+def with_shingles(lines: DataFrame, line: str = "line", name: str = "s") -> DataFrame:
+    """Adds the sorted distinct hashes of each line's shingles; never empty for a line with anything but blanks."""
+    return lines.withColumn(name, F.sort_array(F.array_distinct(_hashes(line))))
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
-    """Adds ``bands``: hashes of the pairs of a line's smallest shingle hashes; a line with one shingle has one band."""
-    low = with_shingles(lines).withColumn("__b", F.slice("s", 1, BOTTOM))
+    """Adds ``size``, a line's number of shingles, and ``bands``: hashes of the pairs of its smallest shingle hashes; a line with one shingle has one band."""
+    low = with_shingles(lines).withColumn("size", F.size("s")).withColumn("__b", F.slice("s", 1, BOTTOM))
     at = lambda i: F.get("__b", F.lit(i))
     pairs = [F.when(F.size("__b") > j, F.xxhash64(at(i), at(j))) for i in range(BOTTOM) for j in range(i + 1, BOTTOM)]
     return low.withColumn("bands", F.array_compact(F.array(*pairs, F.when(F.size("__b") == 1, at(0))))).drop("s", "__b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    a, b = sets.select(F.col("lid").alias("a"), F.col("s").alias("sa")), sets.select(F.col("lid").alias("b"), F.col("s").alias("sb"))
-    joined = pairs.join(a, "a").join(b, "b")
-    counted = joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return counted.where(F.col("n") >= threshold * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b), those that reach the threshold. Sizes come first; texts move, which are far smaller than their sets."""
+    a, b = (texts.select(F.col("lid").alias(x), F.col("size").alias(f"n{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
+    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+    common = F.size(F.array_intersect(_hashes("la"), _hashes("lb")))
+    return sized.where(common * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _apart(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _apart(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of members (``lid, comp``) of different components that can reach the threshold: none that does is left out.
 
     Sets of n shingles put those that few members hold first. Two sets with at least threshold * n shingles of n in common share one
     of the first n - ceil(threshold * n) + 1 of either, and what follows it on either side must suffice for the rest.
     """
     whole = lambda x: F.ceil(x - F.lit(1e-9)).cast("int")
-    each = members.join(sets, "lid").select("lid", "comp", F.size("s").alias("size"), F.explode("s").alias("x"))
+    each = with_shingles(members.join(texts, "lid")).select("lid", "comp", "size", F.explode("s").alias("x"))
     held = each.groupBy("x").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1")
     shared = each.join(held, "x").groupBy("lid", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x", (F.col("c0") != F.col("c1")).alias("open")))).alias("e"))
     # shingles that nobody shares come before all others
@@ -83,12 +84,11 @@ def _apart(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.where(can).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, unique: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """Shingles of the wanted contents, each once; only where rows repeat a doc_id can a place hold several lines."""
-    places = unique.join(wanted, "lid").select("lid", "doc_id", "line_no")
-    found = lines_of(docs).join(places, ["doc_id", "line_no"]).select("lid", "line")
-    sets = with_shingles(found).select("lid", "s")
-    return sets.dropDuplicates(["lid"]) if repeated else sets
+def _texts(docs: DataFrame, unique: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """The wanted contents, each once; only where rows repeat a doc_id can a place hold several lines."""
+    places = unique.join(wanted, "lid").select("lid", "size", "doc_id", "line_no")
+    found = lines_of(docs).join(places, ["doc_id", "line_no"]).select("lid", "size", "line")
+    return found.dropDuplicates(["lid"]) if repeated else found
 
 
 def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,11 +102,11 @@ def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THR
     rows = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     repeated = rows.n != rows.ids
     keys = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), "line")
-    signed = with_bands(keys).select("doc_id", "line_no", "k1", "k2", "bands")
+    signed = with_bands(keys).select("doc_id", "line_no", "k1", "k2", "size", "bands")
     at = F.struct("doc_id", "line_no")
     # the first line of each content; its bands are those of any
-    unique = signed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min("bands").alias("bands"))
-    unique = scratch.write(unique.select(F.monotonically_increasing_id().alias("lid"), "k1", "k2", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "bands"), "unique")
+    unique = signed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    unique = scratch.write(unique.select(F.monotonically_increasing_id().alias("lid"), "k1", "k2", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "size", "bands"), "unique")
 
     over = Window.partitionBy("band")
     dealt = unique.select("lid", F.explode("bands").alias("band"))
@@ -114,8 +114,8 @@ def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THR
     groups = scratch.write(grouped, "groups", compact=True)
     pairs = groups.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct()
     wanted = groups.select("lid").distinct()
-    sets = scratch.write(_sets(docs, unique.select("lid", "doc_id", "line_no"), wanted, repeated), "sets")
-    links = scratch.write(_verified(pairs, sets, threshold), "links")
+    texts = scratch.write(_texts(docs, unique.select("lid", "size", "doc_id", "line_no"), wanted, repeated), "texts")
+    links = scratch.write(_verified(pairs, texts, threshold), "links")
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
     # bands that still lie in several components
@@ -129,7 +129,7 @@ def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THR
     again = many.join(second, "band").where("comp <> c1").select("a", F.col("lid").alias("b"))
     order = Window.partitionBy("band", F.pmod(F.xxhash64("lid"), F.ceil(F.col("members") / 1000))).orderBy("comp", "lid")
     along = many.select(F.col("lid").alias("b"), "comp", F.lag("lid").over(order).alias("a"), F.lag("comp").over(order).alias("before")).where("before <> comp").select("a", "b")
-    more = _verified(crossed.unionByName(again).unionByName(along).distinct(), sets, threshold)
+    more = _verified(crossed.unionByName(again).unionByName(along).distinct(), texts, threshold)
     links = links.unionByName(scratch.write(more, "more"))
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
@@ -137,7 +137,7 @@ def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THR
     named = rest.where(F.col("members") > SMALL).select("band", "lid").join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("comp"))
     open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
     members = scratch.write(named.join(open_, "band").select("lid", "comp").distinct(), "apart", compact=True)
-    last = scratch.write(_verified(scratch.write(_apart(members, sets, threshold), "pairs"), sets, threshold), "last")
+    last = scratch.write(_verified(scratch.write(_apart(members, texts, threshold), "pairs"), texts, threshold), "last")
     if not last.isEmpty():
         comps = scratch.write(connected_components(spark, links.unionByName(last), scratch), "components")
 

@@ -283,6 +283,26 @@ def test_line_dedup_compares_large_bands_in_full(spark):
     assert sum(pairs) >= 199
 
 
+def test_line_dedup_reads_long_tokens_whole(spark):
+    """Against plain character shingles: what follows the first characters of a token counts, and as much as any other text."""
+    r = np.random.default_rng(7)
+    key = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    url = "https://www.example.com/archive/" + key(30)
+    lines = ["https://www.example.com/a", "https://www.other.org/zzz", "2024-01-01T00:00:01Z", "2024-01-01T00:59:59Z", "see /usr/local/share/doc/one for more", "see /usr/local/share/man/two for more"]
+    lines += ["I wrote this down last night, see " + url, "Nobody at our place would say " + url]
+    lines += [f"common-prefix-{key(60)} {key(20)}" for _ in range(20)]
+    lines += [x[:-4] + "wxyz" for x in lines[-20:]]  # near copies
+    rows = list(enumerate(lines))
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    c = Components(len(lines))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.75 * len(a | b):
+                c.join(i, j)
+    got = {x.doc_id: x.component_doc for x in line_dedup.line_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(lines))] == c.smallest(list(range(len(lines))))
+
+
 def test_quality_model_on_known_junk(spark, nothing):
     r = np.random.default_rng(3)
     vocabulary = ["".join(r.choice(list("abcdefghij"), r.integers(2, 8))) for _ in range(800)]
