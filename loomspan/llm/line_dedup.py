@@ -31,8 +31,8 @@ _AT_WORDS = _EVERYWHERE
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no (from 0), line``: lines end at U+000A; spaces around them don't count. Null and empty texts have one empty line."""
-    return docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("line"))
+    """``doc_id, line_no (from 0), line``: lines end at U+000A; spaces, tabs and carriage returns around them don't count. Null and empty texts have one empty line."""
+    return docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
 
 
 def _hashes(line: str):

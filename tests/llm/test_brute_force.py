@@ -303,6 +303,15 @@ def test_line_dedup_reads_long_tokens_whole(spark):
     assert [got[k] for k in range(len(lines))] == c.smallest(list(range(len(lines))))
 
 
+def test_line_dedup_of_crlf_texts(spark):
+    """Blank lines stay, whatever blanks they hold; a line matches its copy with another ending."""
+    rows = [(1, "hello world foo bar\r\n\r\nfirst\r\n\t\r\n"), (2, "second\r\n\r\n\t\nhello world foo bar"), (3, "\thello world foo bar \t\r\nthird")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lost = {(x.doc_id, x.line_no) for x in line_dedup.line_components(spark, df).collect() if not x.kept}
+    assert lost == {(2, 3), (3, 0)}
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark, df).collect()} == {1: rows[0][1], 2: "second\r\n\r\n\t", 3: "third"}
+
+
 def test_quality_model_on_known_junk(spark, nothing):
     r = np.random.default_rng(3)
     vocabulary = ["".join(r.choice(list("abcdefghij"), r.integers(2, 8))) for _ in range(800)]
