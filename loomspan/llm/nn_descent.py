@@ -6,13 +6,15 @@ other; a node takes up whoever is nearer than the worst on its list. Queries the
 of the best nodes so far is expanded, its unseen neighbours are scored, and the beam is renewed until it
 holds nothing new. The walk starts from a bounded set of entry nodes and, as queries are indexed rows, from the query's own list.
 
-Graph and walk use half-precision unit vectors; the best of the beam are scored again in double precision on the originals.
+Graph and walk use single-precision unit vectors. The best nodes of a walk, and whoever it saw that rounding alone
+may have put behind the last answer, are scored again in double precision on the originals.
 Equal vectors are one node, whatever their number; answers name the smallest ids among them.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +30,26 @@ K, TREES, CELL, ROUNDS = 20, 3, 500, 4
 PROPOSALS = 10
 #: Width of the beam, nodes expanded in a step, steps, entry nodes.
 BEAM, STEP, STEPS, ENTRIES = 192, 48, 10, 256
-#: Nodes of the beam that are scored on the original vectors.
+#: Nodes of the beam that are scored on the original vectors, at least.
 RESCORED = 32
 SALTS = 16
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rounding(size: int) -> float:
+    """By how much the scores of two nodes of so many components can be out of order in single precision."""
+    return 2 * (size + 4) * 2.0**-24
+
+
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = unit(matrix(batch.column("v"))).astype(np.float16)
+        x = unit(matrix(batch.column("v"))).astype(np.float32)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "h"])
 
 
 def _rows(values: pa.Array) -> np.ndarray:
-    """Half-precision rows of a binary column, in single precision."""
+    """Single-precision rows of a binary column."""
     data = values.to_pylist()
-    return np.frombuffer(b"".join(data), dtype=np.float16).reshape(len(data), -1).astype(np.float32)
+    return np.frombuffer(b"".join(data), dtype=np.float32).reshape(len(data), -1)
 
 
 def _coded(planes):
@@ -109,20 +116,20 @@ def _listed_by(graph: DataFrame, k: int, seed: int) -> DataFrame:
     return thin.select(F.col("u").alias("v"), F.col("v").alias("u"))
 
 
-def neighbour_graph(spark: SparkSession, scratch: Scratch, halves: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
-    """``v, u, s``: up to K approximate nearest neighbours u of each node v. ``halves``: ``id, h``."""
-    size = len(halves.first().h) // 2
+def neighbour_graph(spark: SparkSession, scratch: Scratch, singles: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
+    """``v, u, s``: up to K approximate nearest neighbours u of each node v. ``singles``: ``id, h``."""
+    size = len(singles.first().h) // 4
     bits = max(0, math.ceil(math.log2(max(1, n / CELL))))
     planes = spark.sparkContext.broadcast(np.random.default_rng(5).normal(size=(TREES, bits, size)).astype(np.float32))
-    coded = halves.mapInArrow(_coded(planes), "id long, h binary, tree int, code long")
+    coded = singles.mapInArrow(_coded(planes), "id long, h binary, tree int, code long")
     cells = coded.select("tree", "code").groupBy("tree", "code").count().withColumn("parts", F.ceil(F.col("count") / (2 * CELL))).drop("count")
     part = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).alias("part")
     blocks = coded.join(cells, ["tree", "code"]).select("tree", "code", part, "id", "h").groupBy("tree", "code", "part").agg(F.collect_list(F.struct("id", "h")).alias("m"))
     graph = scratch.write(_best(blocks.select("m").mapInArrow(_met_in_cells, "v long, u long, s float"), K), "start")
     for k in range(rounds):
-        near = graph.select("v", "u").union(_listed_by(graph, K, k)).union(halves.select(F.col("id").alias("v"), F.col("id").alias("u"))).distinct()
+        near = graph.select("v", "u").union(_listed_by(graph, K, k)).union(singles.select(F.col("id").alias("v"), F.col("id").alias("u"))).distinct()
         worst = graph.groupBy("v").agg(F.min("s").alias("s"), F.count("*").alias("n")).select(F.col("v").alias("u"), F.when(F.col("n") < K, F.lit(-2.0)).otherwise(F.col("s")).cast("float").alias("worst"))
-        nodes = halves.withColumnRenamed("id", "u").join(worst, "u", "left").select("u", "h", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+        nodes = singles.withColumnRenamed("id", "u").join(worst, "u", "left").select("u", "h", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
         meetings = near.join(nodes, "u").groupBy("v").agg(F.collect_list(F.struct(F.col("u").alias("id"), "h", "worst")).alias("m"))
         offered = meetings.select("m").mapInArrow(_introduced, "v long, u long, s float")
         renewed = scratch.write(_best(graph.unionByName(offered), K), f"round{k}")
@@ -151,47 +158,72 @@ def _entered(entries):
     return run
 
 
-def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _width(beam: list[dict], h: bytes, k: int, least: int) -> int:
+    """How many of a sorted beam (the query itself first) stay: ``least``, and all that rounding alone may have put behind the k-th."""
+    if len(beam) <= least:
+        return len(beam)
+    low = beam[k]["s"] - rounding(len(h) // 4)
+    return max(least, bisect_right(beam, -low, key=lambda b: -b["s"]))
+
+
+def _stepped(k: int):
     """Closes the nodes that were expanded, scores what they led to and renews the beam."""
-    for batch in batches:
-        seen, beams = [], []
-        for h, old, beam, met in zip(batch.column("h").to_pylist(), batch.column("seen").to_pylist(), batch.column("beam").to_pylist(), batch.column("met"), strict=True):
-            beam.sort(key=lambda b: (-b["s"], b["id"]))
-            left = STEP
-            for b in beam:
-                if b["open"] and left:
-                    b["open"], left = False, left - 1
-            if met.is_valid and len(met.values):
-                ids = met.values.field("id").to_numpy(zero_copy_only=False)
-                s = _rows(met.values.field("h")) @ np.frombuffer(h, dtype=np.float16).astype(np.float32)
-                beam += [{"id": int(i), "s": float(x), "open": True} for i, x in zip(ids, s, strict=True)]
-                old = old + ids.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, beams = [], []
+            for h, old, beam, met in zip(batch.column("h").to_pylist(), batch.column("seen").to_pylist(), batch.column("beam").to_pylist(), batch.column("met"), strict=True):
                 beam.sort(key=lambda b: (-b["s"], b["id"]))
-            seen.append(old)
-            beams.append(beam[: BEAM + 1])
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("h"), pa.array(seen, pa.list_(pa.int64())), pa.array(beams, _BEAM)], names=["query", "h", "seen", "beam"])
+                left = STEP
+                for b in beam:
+                    if b["open"] and left:
+                        b["open"], left = False, left - 1
+                if met.is_valid and len(met.values):
+                    ids = met.values.field("id").to_numpy(zero_copy_only=False)
+                    s = _rows(met.values.field("h")) @ np.frombuffer(h, dtype=np.float32)
+                    beam += [{"id": int(i), "s": float(x), "open": True} for i, x in zip(ids, s, strict=True)]
+                    old = old + ids.tolist()
+                    beam.sort(key=lambda b: (-b["s"], b["id"]))
+                seen.append(old)
+                beams.append(beam[: _width(beam, h, k, BEAM + 1)])
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("h"), pa.array(seen, pa.list_(pa.int64())), pa.array(beams, _BEAM)], names=["query", "h", "seen", "beam"])
+
+    return run
+
+
+def _answers(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            queries, ids = [], []
+            for query, h, beam in zip(batch.column("query").to_pylist(), batch.column("h").to_pylist(), batch.column("beam").to_pylist(), strict=True):
+                beam.sort(key=lambda b: (-b["s"], b["id"]))
+                best = beam[: _width(beam, h, k, max(RESCORED, k + 1))]
+                queries += [query] * len(best)
+                ids += [b["id"] for b in best]
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64())], names=["query", "id"])
+
+    return run
 
 
-def greedy_search(spark: SparkSession, scratch: Scratch, halves: DataFrame, graph: DataFrame, queries: DataFrame, steps: int = STEPS) -> DataFrame:
-    """``query, id``: for each query (a node) the RESCORED best nodes that its walk found, itself among them."""
+def greedy_search(spark: SparkSession, scratch: Scratch, singles: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 5, steps: int = STEPS) -> DataFrame:
+    """``query, id``: for each query (a node) the best nodes that its walk found, itself among them: RESCORED, and all that may be among the k best but for rounding."""
     edges = graph.select("v", "u").union(_listed_by(graph, K, 99)).distinct()
     lists = scratch.write(edges.groupBy("v").agg(F.collect_list("u").alias("near")), "lists")
-    first = halves.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toPandas()
-    entries = spark.sparkContext.broadcast((first["id"].to_numpy(), np.frombuffer(b"".join(first["h"]), dtype=np.float16).reshape(len(first), -1).astype(np.float32)))
-    state = scratch.write(queries.join(halves.withColumnRenamed("id", "query"), "query").select("query", "h").mapInArrow(_entered(entries), _STATE), "state")
+    first = singles.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toPandas()
+    entries = spark.sparkContext.broadcast((first["id"].to_numpy(), np.frombuffer(b"".join(first["h"]), dtype=np.float32).reshape(len(first), -1)))
+    state = scratch.write(queries.join(singles.withColumnRenamed("id", "query"), "query").select("query", "h").mapInArrow(_entered(entries), _STATE), "state")
     for _ in range(steps):
         ordered = F.expr("slice(array_sort(filter(beam, b -> b.open), (x, y) -> case when x.s > y.s then -1 when x.s < y.s then 1 when x.id < y.id then -1 else 1 end), 1, %d)" % STEP)
         front = state.select("query", F.explode(ordered).alias("b")).select("query", F.col("b.id").alias("v"))
         led = front.join(lists, "v").select("query", F.explode("near").alias("id")).distinct()
         new = led.join(state.select("query", F.explode("seen").alias("id")), ["query", "id"], "left_anti")
-        met = new.join(halves, "id").groupBy("query").agg(F.collect_list(F.struct("id", "h")).alias("met"))
-        renewed = scratch.write(state.join(met, "query", "left").mapInArrow(_stepped, _STATE), "state")
+        met = new.join(singles, "id").groupBy("query").agg(F.collect_list(F.struct("id", "h")).alias("met"))
+        renewed = scratch.write(state.join(met, "query", "left").mapInArrow(_stepped(k), _STATE), "state")
         scratch.drop(state)
         state = renewed
         if not state.where(F.exists("beam", lambda b: b["open"])).limit(1).count():
             break
-    best = F.expr("slice(array_sort(beam, (x, y) -> case when x.s > y.s then -1 when x.s < y.s then 1 when x.id < y.id then -1 else 1 end), 1, %d)" % RESCORED)
-    return state.select("query", F.explode(best).alias("b")).select("query", F.col("b.id").alias("id"))
+    return state.select("query", "h", "beam").mapInArrow(_answers(k), "query long, id long")
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +254,11 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5) -> Dat
     for size in [r.size for r in contents.select(F.size("v").alias("size")).distinct().collect()]:
         nodes = contents.where(F.size("v") == size)
         n = nodes.count()
-        halves = scratch.write(nodes.mapInArrow(_halves, "id long, h binary"), "halves")
+        singles = scratch.write(nodes.mapInArrow(_singles, "id long, h binary"), "singles")
         named = rows.where(F.size("v") == size).join(nodes, "v").select("vec_id", "id")
         asked = named.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
-        graph = neighbour_graph(spark, scratch, halves, n)
-        found = greedy_search(spark, scratch, halves, graph, asked.select("query").distinct())
+        graph = neighbour_graph(spark, scratch, singles, n)
+        found = greedy_search(spark, scratch, singles, graph, asked.select("query").distinct(), k)
         pairs = found.join(nodes.select("id", F.col("v").alias("b")), "id").join(nodes.select(F.col("id").alias("query"), F.col("v").alias("a")), "query")
         scored = pairs.select("query", "id", "a", "b").mapInArrow(_scored, "query long, id long, score double")
         answers = scored.join(_few_of_each(named, k + 1), "id").join(asked, "query").where("vec_id <> query_id")

@@ -443,6 +443,20 @@ def test_nearest_neighbours_recall(spark):
     assert hits >= 0.95 * 5 * len(got)
 
 
+@pytest.mark.parametrize("spread", [0.014, 0.0032])
+def test_nearest_neighbours_recall_in_a_dense_group(spark, spread):
+    """Mean cosines of 0.9998 and 0.99999: half precision cannot tell these vectors apart."""
+    r = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate((r.normal(size=64) + r.normal(size=(1500, 64)) * spread).tolist())]
+    near = cosine(rows)
+    np.fill_diagonal(near, -9)
+    got = {}
+    for x in nn_descent.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: F.pmod(c, F.lit(50)) == 0).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    hits = sum(len(found & set(np.argsort(-near[q])[:5].tolist())) for q, found in got.items())
+    assert len(got) == 30 and hits >= 0.95 * 5 * 30, hits
+
+
 def test_nearest_neighbours_special_vectors(spark):
     df = spark.createDataFrame(SPECIAL, "vec_id long, embedding array<float>")
     is_query = lambda c: F.pmod(c, F.lit(50)) == 0
