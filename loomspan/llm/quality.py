@@ -78,7 +78,7 @@ def _shape(word: str) -> int:
     at = _SHAPES.get(word)
     if at is None:
         out = []
-        for c in word[:24]:
+        for c in word:
             k = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c
             if out[-2:] != [k, k]:
                 out.append(k)

@@ -328,6 +328,11 @@ def test_quality_model_on_known_junk(spark, nothing):
     assert twice == 0
 
 
+def test_quality_shapes_cover_whole_words():
+    plain = "x" * 24
+    assert len({quality._shape(plain + end) for end in ("", "9", "Q9z", "+/=", "x" * 900 + "Zq7/")}) == 5
+
+
 def test_label_model_finds_the_accuracies():
     r = np.random.default_rng(0)
     truth = r.random(6000) < 0.8
