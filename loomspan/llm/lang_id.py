@@ -22,7 +22,7 @@ from .common import text_or_empty
 ORDER = 4
 #: Bytes of text learned for each language, about: the bound of the sample that the trees are grown from.
 SAMPLE_BYTES = 3_000_000
-#: Languages that are learned, at most: the commonest ones. A table with more labels than this is mislabelled.
+#: Languages that get a sample of that size. With more labels than this the samples of all are smaller.
 MAX_LANGUAGES = 400
 SLICE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
@@ -154,17 +154,26 @@ class Ppm:
 
 
 def learn(training: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Ppm:
-    """Grows the trees from ``text, lang`` rows: about ``sample_bytes`` a language, whole texts, drawn by hash.
+    """Grows the trees from ``text, lang`` rows: about ``sample_bytes`` a language (less beyond MAX_LANGUAGES labels), drawn by hash.
 
-    Texts of over a 30th of ``sample_bytes`` are left out of the sample. Rows with a null language or text teach nothing.
+    Texts of up to a 30th of that are drawn whole; where a label has too few of them, slices of its longer ones fill its sample, so
+    every label with a text has a tree. Rows with a null language or text teach nothing.
     """
-    rows = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.octet_length("text").alias("b"))
-    rows = rows.where(F.col("b").between(1, sample_bytes // 30))
-    sizes = rows.groupBy("lang").agg(F.sum("b").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    rows = training.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text")
+    labels = rows.select("lang").distinct().count()
+    if not labels:
         return Ppm([], [])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, sample_bytes / r.bytes))))
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000)
+    sample_bytes = sample_bytes * MAX_LANGUAGES // max(labels, MAX_LANGUAGES)
+    most = max(4, sample_bytes // 30)
+    hashed = F.xxhash64("text", F.lit(7))
+    is_long = F.octet_length("text") > most
+    cut = F.substring("text", F.pmod(hashed, F.greatest(F.lit(1), F.char_length("text") - most // 4 + 1)).cast("int") + 1, F.lit(most // 4))
+    rows = rows.select("lang", F.pmod(hashed, F.lit(1_000_000)).alias("h"), is_long.alias("long"), F.when(is_long, cut).otherwise(F.col("text")).alias("text"))
+    size = lambda of: F.coalesce(F.sum(F.when(of, F.octet_length("text"))), F.lit(0))
+    sizes = rows.groupBy("lang").agg(size(~F.col("long")).alias("whole"), size(F.col("long")).alias("cut")).collect()
+    share = [(r.lang, min(1.0, sample_bytes / max(1, r.whole)), min(1.0, max(0.0, sample_bytes - r.whole) / max(1, r.cut))) for r in sizes]
+    shares = F.broadcast(training.sparkSession.createDataFrame(share, "lang string, whole double, cut double"))
+    drawn = rows.join(shares, "lang").where(F.col("h") < F.when(F.col("long"), F.col("cut")).otherwise(F.col("whole")) * 1_000_000)
     texts: dict[str, list[bytes]] = {r.lang: [] for r in sizes}
     for r in drawn.select("lang", "text").collect():
         texts[r.lang].append(r.text.encode("utf-8", "surrogatepass"))

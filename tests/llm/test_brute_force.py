@@ -364,6 +364,15 @@ def test_language_id(spark, sf_dir, nothing):
     assert lang_id.identify_languages(spark, nothing.withColumn("lang", F.lit("en"))).count() == 0
 
 
+def test_language_id_learns_every_label(spark, monkeypatch):
+    """A label whose texts are all long, and more labels than get a full sample."""
+    monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 2)
+    words = {"a": "abba cabbage bad dab ", "b": "hello hill ghoul log ", "c": "zyx wxyz vuz xuw "}
+    rows = [(words[k] * (400 if k == "c" else 2), k) for k in words for _ in range(40)]
+    ppm = lang_id.learn(spark.createDataFrame([(f"{i} {t}", k) for i, (t, k) in enumerate(rows)], "text string, lang string"), 6000)
+    assert ppm.languages == ["a", "b", "c"] and ppm.ready().predict([words[k] for k in words])[0] == ["a", "b", "c"]
+
+
 def test_code_lengths_are_exact():
     """Against a statement byte by byte."""
     texts = [b"the theory of the thing", b"then and there"]
