@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names for checkpoints; a temporary one only where it is unset and all runs on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -62,6 +65,10 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._loomspan_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of steps that are done: Spark deletes them once the driver no longer refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def keep_only(self, *dfs: DataFrame) -> None:
         """Frees all tables but those that a lazy result still reads."""
@@ -69,6 +76,14 @@ class Scratch:
         self.drop(*(df for path, df in list(self.tables.items()) if path not in kept))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

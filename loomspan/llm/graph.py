@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from .common import Scratch
 
@@ -14,8 +14,8 @@ def _pairs(df: DataFrame, a, b) -> DataFrame:
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges`` (its first two columns, of one ordered type); the component is its smallest node.
 
-    Loops and repeated edges do no harm; rows with a null end are ignored; nodes without an edge are not returned. Each round is
-    written to the shared folder, which cuts the lineage. A hub's edges meet in joins only, whose
+    Loops and repeated edges do no harm; rows with a null end are ignored; nodes without an edge are not returned. Each round is one job, written
+    to the shared folder, which cuts the lineage; the job also observes whether anything moved. A hub's edges meet in joins only, whose
     skewed partitions Spark splits, and its minimum is pre-aggregated.
     """
     scratch = scratch or Scratch(spark, "components")
@@ -24,7 +24,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     now = scratch.write(start.distinct(), "edges")
     nodes_of_loops = now.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     links = now.where("u <> v")
-    before, tables = None, [now]
+    before, last = None, None
     for _ in range(rounds):
         # large star: every neighbour above a node is tied to the smallest of that node's neighbourhood
         both = links.union(_pairs(links, F.col("v"), F.col("u")))
@@ -33,16 +33,26 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         # small star: a node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _pairs(large.join(least, "u").where("v <> m"), F.col("v"), F.col("m")).union(_pairs(least, F.col("u"), F.col("m"))).distinct()
-        written = scratch.write(small, "star")
-        state = written.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        tables.append(written)
-        if len(tables) > 2:
-            scratch.drop(tables.pop(1))
-        links = written
-        if state == before:
+        seen = Observation()
+        links = scratch.write(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
+        if last is not None:
+            scratch.drop(last)
+        last, state = links, (seen.get["n"], seen.get["h"])
+        if state == before or not state[0]:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).union(nodes_of_loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def joined_components(spark: SparkSession, comps: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of the graph that had ``comps`` (``node, component``) once the links ``more`` (``a, b``) are added; only the contracted links are walked."""
+    for end in ("a", "b"):
+        own = comps.select(F.col("node").alias(end), F.col("component").alias("__c"))
+        more = more.join(own, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+    renamed = scratch.write(connected_components(spark, more.select("a", "b").distinct(), scratch), "renamed")
+    moved = comps.join(renamed.select(F.col("node").alias("component"), F.col("component").alias("__c")), "component", "left").select("node", F.coalesce("__c", "component").alias("component"))
+    fresh = renamed.join(comps, "node", "left_anti").select("node", "component")
+    return moved.unionByName(fresh).groupBy("node").agg(F.min("component").alias("component"))

@@ -1,164 +1,201 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations only.
 
-A line's shingles are its windows of ``WINDOW`` characters, at every character; a shorter line is one shingle. Its signature is the ``BOTTOM`` smallest shingle hashes, and every
-pair of these is a band: lines of Jaccard similarity j >= 0.75 share at least two of the smallest hashes of their
-union, and so a band, with probability 1 - (1-j)^5 - 5 j (1-j)^4 (0.984 at 0.75, 0.998 at 0.85). Lines of one band are verified against its
-smallest member by the exact Jaccard similarity of the shingle sets; where that leaves a band in
-several components, small bands are compared pair by pair, larger ones with a second member and along an order;
-members of larger bands that are still apart then meet whoever shares one of the shingles that are rarest among them: all pairs that can reach the threshold do.
+A line's shingles are its windows of ``WINDOW`` characters (UTF-16 units), at every character; a shorter line is one shingle. One 64-bit hash
+a shingle serves all signatures: component i is the least of the hashes after a bitwise xor with a constant of its own, which
+is the shingle nearest to that constant, equal in two sets with the probability of their similarity.
+The 16 components are the points of an affine plane of order 4, and its 20 lines, four points each, are the bands: similar lines
+have some band in common (0.98 at similarity 0.75, more above), others seldom (0.15 at 0.3).
+
+Each band's lines are verified against its smallest by the exact Jaccard similarity of the shingle sets. Where that leaves a band in
+several components, all pairs of different components meet in a join; those whose sketches (63 further components, a byte each) agree in
+``AGREED`` or more go on to exact verification: 0.995 of the pairs at similarity 0.75, more above.
 Distributed union-find joins what was verified, and one line of each component stays: the first by (doc_id, line).
 
-Equal lines are one content from the start, whatever their number.
+Equal lines are one content from the start, whatever their number. Windows are rows of generated code, never arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import math
+import random
 
-from .common import Scratch, text_or_empty
-from .graph import connected_components
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-WINDOW, BOTTOM = 12, 5
+from .common import Scratch, text_or_empty, unused
+from .graph import connected_components, joined_components
+
+WINDOW = 12
 THRESHOLD = 0.75
-#: Bands of up to so many members in several components are compared pair by pair.
-SMALL = 12
-#: Members that share a rare shingle meet in parts of about so many.
-PART = 1000
-#: Windows at every character; only at the start of a line may one be shorter.
-_EVERYWHERE = r"(?s)(?=(.{%d}|^.{1,%d}$))." % (WINDOW, WINDOW - 1)
-#: Words are no different from other characters.
-_AT_WORDS = _EVERYWHERE
+#: Order of the affine plane: ORDER ** 2 components, ORDER * (ORDER + 1) bands.
+ORDER = 4
+#: Components of a sketch, in longs of seven bytes each, and how many of them agree in pairs that are verified.
+LONGS, AGREED = 9, 39
+#: Members of a band that meet in one task, about; shingles that one task verifies, about.
+PART, SHARE = 1000, 2_000_000
+_LOW, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+
+
+def _times(a: int, b: int) -> int:
+    """Product in the field of four elements."""
+    r = a * (b & 1) ^ (a << 1) * (b >> 1)
+    return r ^ 7 if r & 4 else r
+
 
+#: The lines of the plane: columns, and for each slope and intercept the points (x, slope * x + intercept).
+BANDS = [[x * ORDER + y for y in range(ORDER)] for x in range(ORDER)] + [[x * ORDER + (_times(m, x) ^ b) for x in range(ORDER)] for m in range(ORDER) for b in range(ORDER)]
 
-def lines_of(docs: DataFrame) -> DataFrame:
+
+def _constants(n: int, seed: int) -> list[int]:
+    """Signed 64-bit numbers whose leading bits are spread evenly."""
+    bits, draw = max(1, math.ceil(math.log2(n))), random.Random(seed)
+    lead = (int(format(i, f"0{bits}b")[::-1], 2) for i in range(n))
+    return [(x << 64 - bits | draw.getrandbits(64 - bits)) - (1 << 63) for x in lead]
+
+
+def lines_of(docs: DataFrame, *more: Column) -> DataFrame:
     """``doc_id, line_no (from 0), line``: lines end at U+000A; spaces, tabs and carriage returns around them don't count. Null and empty texts have one empty line."""
-    return docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
+    split = docs.select("doc_id", *more, F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    return split.withColumn("line", F.btrim("line", F.lit(" \t\r")))
 
 
-def _hashes(line: str):
-    return F.transform(F.regexp_extract_all(line, F.lit(_EVERYWHERE), F.lit(1)), lambda x: F.xxhash64(x))
+def shingles(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``h``, the hash of a window, for each window of ``line``: a row each, repeated windows repeatedly."""
+    units = lines.select(*keep, F.encode("line", "UTF-16BE").alias("line"))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length("line") / 2).cast("int") - WINDOW))
+    return units.select(*keep, "line", F.explode(places).alias("at")).select(*keep, F.expr(f"xxhash64(substring(line, 2 * at + 1, {2 * WINDOW}))").alias("h"))
 
 
-def with_shingles(lines: DataFrame, line: str = "line", name: str = "s") -> DataFrame:
-    """Adds the sorted distinct hashes of each line's shingles; never empty for a line with anything but blanks."""
-    return lines.withColumn(name, F.sort_array(F.array_distinct(_hashes(line))))
+def _components(h: Column, constants: list[int]) -> list[Column]:
+    return [F.min(h.bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants)]
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
-    """Adds ``size``, a line's number of shingles, and ``bands``: hashes of the pairs of its smallest shingle hashes; a line with one shingle has one band."""
-    low = with_shingles(lines).withColumn("size", F.size("s")).withColumn("__b", F.slice("s", 1, BOTTOM))
-    at = lambda i: F.get("__b", F.lit(i))
-    pairs = [F.when(F.size("__b") > j, F.xxhash64(at(i), at(j))) for i in range(BOTTOM) for j in range(i + 1, BOTTOM)]
-    return low.withColumn("bands", F.array_compact(F.array(*pairs, F.when(F.size("__b") == 1, at(0))))).drop("s", "__b")
+    """``lid`` and the bands ``b0, b1, ...`` of rows ``lid, line``."""
+    signed = shingles(lines, "lid").groupBy("lid").agg(*_components(F.col("h"), _constants(ORDER**2, 1)))
+    return signed.select("lid", *(F.xxhash64(*(f"m{p}" for p in band), F.lit(k)).alias(f"b{k}") for k, band in enumerate(BANDS)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b), those that reach the threshold. Sizes come first; texts move, which are far smaller than their sets."""
-    a, b = (texts.select(F.col("lid").alias(x), F.col("size").alias(f"n{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
-    sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    common = F.size(F.array_intersect(_hashes("la"), _hashes("lb")))
-    return sized.where(common * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))).select("a", "b")
+def with_sketches(lines: DataFrame) -> DataFrame:
+    """``lid`` and the sketch ``p0, p1, ...`` of rows ``lid, line``."""
+    signed = shingles(lines, "lid").groupBy("lid").agg(*_components(F.xxhash64("h", F.lit(2)), _constants(7 * LONGS, 2)))
+    byte = lambda i, k: F.shiftleft(F.col(f"m{7 * i + k}").bitwiseAND(F.lit(255)), 8 * k)
 
+    def packed(i: int) -> Column:
+        out = byte(i, 0)
+        for k in range(1, 7):
+            out = out.bitwiseOR(byte(i, k))
+        return out.alias(f"p{i}")
 
-def _apart(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members (``lid, comp``) of different components that can reach the threshold: none that does is left out.
+    return signed.select("lid", *map(packed, range(LONGS)))
 
-    Sets of n shingles put those that few members hold first. Two sets with at least threshold * n shingles of n in common share one
-    of the first n - ceil(threshold * n) + 1 of either, and what follows it on either side must suffice for the rest.
-    """
-    whole = lambda x: F.ceil(x - F.lit(1e-9)).cast("int")
-    each = with_shingles(members.join(texts, "lid")).select("lid", "comp", "size", F.explode("s").alias("x"))
-    held = each.groupBy("x").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1")
-    shared = each.join(held, "x").groupBy("lid", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x", (F.col("c0") != F.col("c1")).alias("open")))).alias("e"))
-    # shingles that nobody shares come before all others
-    own = F.col("size") - F.size("e")
-    first = F.slice("e", F.lit(1), F.greatest(F.lit(0), F.col("size") - whole(F.lit(threshold) * F.col("size")) + 1 - own))
-    prefix = shared.select("lid", "comp", "size", own.alias("own"), F.posexplode(first).alias("k", "e")).where("e.open")
-    prefix = prefix.select(F.col("e.x").alias("x"), "lid", "comp", "size", (F.col("size") - F.col("own") - F.col("k")).alias("left"), F.ceil(F.col("e.n") / PART).cast("int").alias("parts"))
-    x = prefix.withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")).alias("x")
-    y = prefix.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("y")
-    met = x.join(y, F.expr("x.x = y.x and x.part = y.part and x.lid < y.lid and x.comp <> y.comp"))
-    a, b = F.col("x.size"), F.col("y.size")
-    needed = whole(F.lit(threshold / (1 + threshold)) * (a + b))
-    can = (F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)) & (F.least("x.left", "y.left") >= needed)
-    return met.where(can).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
-
-
-def _texts(docs: DataFrame, unique: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """The wanted contents, each once; only where rows repeat a doc_id can a place hold several lines."""
-    places = unique.join(wanted, "lid").select("lid", "size", "doc_id", "line_no")
-    found = lines_of(docs).join(places, ["doc_id", "line_no"]).select("lid", "size", "line")
-    return found.dropDuplicates(["lid"]) if repeated else found
 
+def _agreed(x: str, y: str) -> str:
+    """SQL for how many bytes two sketches have in common: a byte of the xor is zero where its high bit stays clear."""
+    each = (f"bit_count(~((({x}.p{i} ^ {y}.p{i}) & {_LOW}) + {_LOW} | ({x}.p{i} ^ {y}.p{i})) & {_HIGH})" for i in range(LONGS))
+    return " + ".join(each)
 
-def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per line: ``doc_id, line_no, component_doc, component_line, n_alike, kept``.
 
-    The component is named by its first line; ``n_alike`` counts the lines of the component and ``kept`` marks the first. Empty lines stay, each a
-    component of its own. Rows that repeat a doc_id and text repeat their lines. Null texts have one empty line; an empty
-    table gives no rows; other columns are ignored; lines of any length are read whole.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """Of distinct pairs (a, b) of ``lid``, those whose shingle sets reach the threshold: intersection and union are counted window by window."""
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("lid"), F.lit(1).alias("side")), F.struct(F.col("b").alias("lid"), F.lit(2).alias("side")))).alias("s"))
+    dealt = sides.select("a", "b", "s.lid", "s.side").join(texts.select("lid", "line"), "lid").select("a", "b", "side", "line").repartition(tasks, "a", "b")
+    each = shingles(dealt, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("in"))
+    sizes = each.groupBy("a", "b").agg(F.count(F.when(F.col("in") == 3, 1)).alias("both"), F.count("*").alias("either"))
+    return sizes.where(F.col("both") >= F.lit(threshold) * F.col("either")).select("a", "b")
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """Distinct pairs of members (``k, band, n, lid, comp, b0, ..., p0, ...``) of different components of a band whose sketches agree; a pair is met in its first band only.
+
+    A large band is dealt out in parts: each member meets one part at a time.
     """
-    scratch = Scratch(spark, "lines")
-    rows = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    repeated = rows.n != rows.ids
-    keys = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), "line")
-    signed = with_bands(keys).select("doc_id", "line_no", "k1", "k2", "size", "bands")
+    parts = members.withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    x = parts.withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")).alias("x")
+    y = parts.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("y")
+    earlier = " or ".join(f"(x.k > {k} and x.b{k} = y.b{k})" for k in range(len(BANDS) - 1))
+    on = f"x.band = y.band and x.k = y.k and x.part = y.part and x.lid < y.lid and x.comp <> y.comp and ({_agreed('x', 'y')}) >= {AGREED} and not ({earlier})"
+    return x.join(y, F.expr(on)).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
+
+
+def _open(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the bands (``k, band, lid, lo, n``) whose lines lie in several components, with ``comp``."""
+    named = groups.where("n > 2").join(comps.withColumnRenamed("node", "lid"), "lid", "left").select(*groups.columns, F.coalesce("component", "lid").alias("comp"))
+    apart = named.groupBy("k", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k", "band")
+    return named.join(apart, ["k", "band"])
+
+
+def content_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame, threshold: float) -> DataFrame:
+    """A row for each distinct line that isn't blank: ``k1, k2`` (its key), ``head`` (doc_id and line_no of its component's first line), ``n_alike``."""
     at = F.struct("doc_id", "line_no")
-    # the first line of each content; its bands are those of any
-    unique = signed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("bands").alias("bands"))
-    unique = scratch.write(unique.select(F.monotonically_increasing_id().alias("lid"), "k1", "k2", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "size", "bands"), "unique")
-
-    over = Window.partitionBy("band")
-    dealt = unique.select("lid", F.explode("bands").alias("band"))
-    grouped = dealt.withColumn("lo", F.min("lid").over(over)).withColumn("members", F.count("*").over(over)).where("members > 1")
-    groups = scratch.write(grouped, "groups", compact=True)
-    pairs = groups.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct()
+    keyed = lines_of(docs).where("line <> ''").select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), "line")
+    unique = keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("line").alias("line"))
+    unique = scratch.write(unique.select(F.monotonically_increasing_id().alias("lid"), "*"), "unique")
+    scratch.release()
+    total, chars = unique.agg(F.count("*"), F.sum(F.char_length("line"))).first()
+    tasks = lambda pairs: max(1, math.ceil(2 * pairs.count() * (chars or 0) / max(1, total) / SHARE))
+
+    signed = scratch.write(with_bands(unique.select("lid", "line")), "bands")
+    dealt = signed.select("lid", F.posexplode(F.array(*(f"b{k}" for k in range(len(BANDS))))).alias("k", "band"))
+    several = dealt.groupBy("k", "band").agg(F.count("*").alias("n"), F.min("lid").alias("lo")).where("n > 1")
+    groups = scratch.write(dealt.join(several, ["k", "band"]), "groups", compact=True)
+    scratch.release()
+
+    pairs = scratch.write(groups.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct(), "pairs")
     wanted = groups.select("lid").distinct()
-    texts = scratch.write(_texts(docs, unique.select("lid", "size", "doc_id", "line_no"), wanted, repeated), "texts")
-    links = scratch.write(_verified(pairs, texts, threshold), "links")
+    texts = scratch.write(unique.select("lid", "line").join(wanted, "lid", "left_semi"), "texts")
+    links = scratch.write(verified(pairs, texts, threshold, tasks(pairs)), "links")
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
-    # bands that still lie in several components
-    named = groups.join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", "members", "lo", F.coalesce("component", "lid").alias("comp"))
-    open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-    rest = scratch.write(named.where("members > 2").join(open_, "band"), "rest", compact=True)
-    few = rest.where(F.col("members") <= SMALL)
-    crossed = few.alias("x").join(few.alias("y"), F.expr("x.band = y.band and x.lid < y.lid and x.comp <> y.comp and x.lid <> x.lo")).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
-    many = rest.where(F.col("members") > SMALL)
-    second = many.groupBy("band").agg(F.max("comp").alias("c1")).join(many, "band").where("comp = c1").groupBy("band").agg(F.min("lid").alias("a"), F.first("c1").alias("c1"))
-    again = many.join(second, "band").where("comp <> c1").select("a", F.col("lid").alias("b"))
-    order = Window.partitionBy("band", F.pmod(F.xxhash64("lid"), F.ceil(F.col("members") / 1000))).orderBy("comp", "lid")
-    along = many.select(F.col("lid").alias("b"), "comp", F.lag("lid").over(order).alias("a"), F.lag("comp").over(order).alias("before")).where("before <> comp").select("a", "b")
-    more = _verified(crossed.unionByName(again).unionByName(along).distinct(), texts, threshold)
-    links = links.unionByName(scratch.write(more, "more"))
-    comps = scratch.write(connected_components(spark, links, scratch), "components")
-
-    # what is still apart in large bands
-    named = rest.where(F.col("members") > SMALL).select("band", "lid").join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("comp"))
-    open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-    members = scratch.write(named.join(open_, "band").select("lid", "comp").distinct(), "apart", compact=True)
-    last = scratch.write(_verified(scratch.write(_apart(members, texts, threshold), "pairs"), texts, threshold), "last")
-    if not last.isEmpty():
-        comps = scratch.write(connected_components(spark, links.unionByName(last), scratch), "components")
+    rest = scratch.write(_open(groups, comps), "open", compact=True)
+    sketched = with_sketches(texts.join(rest.select("lid").distinct(), "lid", "left_semi"))
+    members = rest.join(scratch.write(sketched, "sketches"), "lid").join(signed.join(rest.select("lid").distinct(), "lid", "left_semi"), "lid")
+    pairs = scratch.write(_met(members).join(pairs, ["a", "b"], "left_anti"), "apart")
+    links = scratch.write(verified(pairs, texts, threshold, tasks(pairs)), "links")
+    if not links.isEmpty():
+        comps = scratch.write(joined_components(spark, comps, links, scratch), "components")
 
-    scratch.keep_only(unique, comps)
-    of = unique.join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("k1", "k2", "n", at.alias("at"), F.coalesce("component", "lid").alias("comp"))
+    of = unique.select("lid", "k1", "k2", "n", "at").join(comps.withColumnRenamed("node", "lid"), "lid", "left").withColumn("comp", F.coalesce("component", "lid"))
     heads = of.groupBy("comp").agg(F.min("at").alias("head"), F.sum("n").alias("n_alike"))
-    classes = of.select("k1", "k2", "comp").join(heads, "comp").select("k1", "k2", "head", "n_alike")
-    # blank lines get keys of their own, which match nothing
-    none = F.col("line") == ""
-    k1, k2 = (F.when(none, F.xxhash64("doc_id", "line_no", F.lit(seed))).otherwise(F.xxhash64("line") if not seed else F.xxhash64("line", F.lit(seed))) for seed in (0, 1))
-    every = lines_of(docs).select("doc_id", "line_no", none.alias("blank"), k1.alias("k1"), k2.alias("k2")).join(classes, ["k1", "k2"], "left")
+    classes = scratch.write(of.select("k1", "k2", "comp").join(heads, "comp").select("k1", "k2", "head", "n_alike"), "classes")
+    scratch.keep_only(classes)
+    scratch.release()
+    return classes
+
+
+def _judged(docs: DataFrame, classes: DataFrame, *more: Column) -> DataFrame:
+    """Every line with its class; blank lines get keys of their own, which match nothing."""
+    blank, at = F.col("line") == "", F.struct("doc_id", "line_no")
+    k1, k2 = (F.when(blank, F.xxhash64("doc_id", "line_no", F.lit(seed))).otherwise(F.xxhash64("line") if not seed else F.xxhash64("line", F.lit(seed))) for seed in (0, 1))
+    keep = [c for c in lines_of(docs, *more).columns if c != "line"]
+    every = lines_of(docs, *more).select(*keep, blank.alias("blank"), k1.alias("k1"), k2.alias("k2")).join(classes, ["k1", "k2"], "left")
     head = F.when(F.col("blank") | F.col("head").isNull(), at).otherwise(F.col("head"))
-    return every.select("doc_id", "line_no", head.alias("head"), F.when(F.col("blank"), F.lit(1)).otherwise(F.col("n_alike")).cast("long").alias("n_alike")).select("doc_id", "line_no", F.col("head.doc_id").alias("component_doc"), F.col("head.line_no").alias("component_line"), "n_alike", (at == F.col("head")).alias("kept"))
+    alike = F.when(F.col("blank"), F.lit(1)).otherwise(F.col("n_alike")).cast("long")
+    return every.select(*keep, head.alias("head"), alike.alias("n_alike")).withColumn("kept", at.eqNullSafe(F.col("head")))
+
+
+def line_components(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row per line: ``doc_id, line_no, component_doc, component_line, n_alike, kept``.
+
+    The component is named by its first line; ``n_alike`` counts the lines of the component and ``kept`` marks the first. Empty lines stay, each a
+    component of its own. Rows that repeat a doc_id keep their lines apart, but lines that are the first of a component at the same
+    place of such rows are all kept; a null doc_id is the smallest. Null texts have one empty line; an empty
+    table gives no rows; other columns are ignored; lines of any length are read whole.
+    """
+    classes = content_classes(spark, Scratch(spark, "lines"), docs, threshold)
+    return _judged(docs, classes).select("doc_id", "line_no", F.col("head.doc_id").alias("component_doc"), F.col("head.line_no").alias("component_line"), "n_alike", "kept")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one; documents that lose every line that isn't blank go.
+    """``docs`` without the lines that repeat an earlier one (see ``line_components``); documents that lose every line that isn't blank go.
 
-    Lines keep their own blanks and order. Documents that lost nothing keep their text as it is; other columns stay as they are.
+    Lines keep their own blanks and order. Documents that lost nothing keep their text as it is; other columns stay as they are,
+    whatever their names. Rows are told apart by doc_id and text.
     """
-    lost = line_components(spark, docs, threshold).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__lost"))
-    cut = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(__lost, i)), '\n')")
-    out = docs.join(lost, "doc_id", "left").withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(cut))
-    return out.where(F.col("__lost").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != "")).select(*docs.columns)
+    classes = content_classes(spark, Scratch(spark, "lines"), docs, threshold)
+    row, lost, mine = (unused(docs, x) for x in ("row", "lost", "mine"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    gone = _judged(docs, classes, key.alias("row")).where("not kept").groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lost))
+    cut = F.expr(f"array_join(transform(array_except(sequence(0, size(split(text, '\n')) - 1), `{lost}`), i -> element_at(split(text, '\n'), i + 1)), '\n')")
+    whole = F.col(lost).isNull()
+    out = docs.withColumn(mine, key).join(gone, F.col(mine).eqNullSafe(F.col(row)), "left").withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    return out.where(whole | (F.btrim("text", F.lit(" \t\r\n")) != "")).select(*docs.columns)

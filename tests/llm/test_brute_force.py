@@ -225,10 +225,12 @@ def test_suffix_dedup(spark, docs, corpus, nothing, hot, chunk, monkeypatch):
     assert suffix_dedup.dedup_documents(spark, docs).columns == docs.columns
 
 
-def test_line_dedup(spark, docs, corpus, nothing):
-    import re
+def windows(x):
+    """Plain character shingles."""
+    return {x[i : i + 12] for i in range(max(1, len(x) - 11))}
+
 
-    at_words, everywhere = re.compile(line_dedup._AT_WORDS), re.compile(line_dedup._EVERYWHERE)
+def test_line_dedup(spark, docs, corpus, nothing):
     lines = {(d, k): x.strip(" ") for d, t in corpus for k, x in enumerate((t or "").split("\n"))}
     first = {}
     for at in sorted(lines):
@@ -237,11 +239,7 @@ def test_line_dedup(spark, docs, corpus, nothing):
     names = sorted(first.values())
     index = {at: i for i, at in enumerate(names)}
 
-    def shingles(x):
-        w = at_words.findall(x)
-        return set(everywhere.findall(x) if len(x.encode()) > 40 * len(w) else w)
-
-    sets = [shingles(lines[at]) for at in names]
+    sets = [windows(lines[at]) for at in names]
     c = Components(len(names))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
@@ -293,7 +291,10 @@ def test_line_dedup_reads_long_tokens_whole(spark):
     lines += [f"common-prefix-{key(60)} {key(20)}" for _ in range(20)]
     lines += [x[:-4] + "wxyz" for x in lines[-20:]]  # near copies
     rows = list(enumerate(lines))
-    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    long_url = "https://www.example.com/" + key(68)  # 0.95 alike, one with longer words on average
+    lines += [long_url + " go", long_url + " go to"]
+    rows = list(enumerate(lines))
+    sets = list(map(windows, lines))
     c = Components(len(lines))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
@@ -312,6 +313,34 @@ def test_line_dedup_of_crlf_texts(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark, df).collect()} == {1: rows[0][1], 2: "second\r\n\r\n\t", 3: "third"}
 
 
+def test_line_dedup_recall(spark):
+    """Of the pairs at 0.75 and above, in bands that hundreds of other lines share, at least 0.98 meet."""
+    r = np.random.default_rng(9)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    phrase = " ".join(word() for _ in range(14))
+    rows, like = [], []
+    for k in range(400):
+        own = [word() for _ in range(24)]
+        other = [*own[:4], word(), *own[5:14], word(), *own[15:]] if k % 2 else [*own[:9], word(), word(), word(), *own[12:]]
+        texts = [phrase + " " + " ".join(x) for x in (own, other)]
+        a, b = map(windows, texts)
+        like.append(len(a & b) / len(a | b))
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+    near = [k for k, x in enumerate(like) if x >= 0.75]
+    assert len(near) >= 300 and min(like[k] for k in near) < 0.8
+    got = {x.doc_id: x.component_doc for x in line_dedup.line_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in near) >= 0.98 * len(near)
+
+
+def test_line_dedup_of_odd_ids(spark):
+    """Null and repeated ids: rows that share one are judged apart, and lose lines of their own only."""
+    rows = [(None, "the first line of all\nanother"), (5, "the first line of all\nmine"), (5, "yours and nobody else's\nmine too, as it happens"), (7, None), (None, "one more text without a name")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "lost": F.lit(2), "mine": F.lit(3)})
+    out = line_dedup.dedup_lines(spark, df)
+    assert out.columns == df.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in out.collect()) == sorted([(0, rows[0][1]), (5, "mine"), (5, rows[2][1]), (7, ""), (0, rows[4][1])])
+
+
 def test_quality_model_on_known_junk(spark, nothing):
     r = np.random.default_rng(3)
     vocabulary = ["".join(r.choice(list("abcdefghij"), r.integers(2, 8))) for _ in range(800)]
