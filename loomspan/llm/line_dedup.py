@@ -11,7 +11,7 @@ several components, all pairs of different components meet in a join; those whos
 ``AGREED`` or more go on to exact verification: 0.995 of the pairs at similarity 0.75, more above.
 Distributed union-find joins what was verified, and one line of each component stays: the first by (doc_id, line).
 
-Equal lines are one content from the start, whatever their number. Windows are rows of generated code, never arrays.
+Equal lines are one content from the start, whatever their number. For signatures, windows are rows of generated code, never arrays.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ THRESHOLD = 0.75
 ORDER = 4
 #: Components of a sketch, in longs of seven bytes each, and how many of them agree in pairs that are verified.
 LONGS, AGREED = 9, 39
-#: Members of a band that meet in one task, about; shingles that one task verifies, about.
-PART, SHARE = 1000, 2_000_000
+#: Members of a band that meet in one task, and pairs that one task verifies, about.
+PART, PAIRS = 1000, 2000
+#: Bands that are dealt out at a time.
+PASS = 10
 _LOW, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 
 
@@ -95,33 +97,54 @@ def _agreed(x: str, y: str) -> str:
     return " + ".join(each)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int) -> DataFrame:
-    """Of distinct pairs (a, b) of ``lid``, those whose shingle sets reach the threshold: intersection and union are counted window by window."""
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("lid"), F.lit(1).alias("side")), F.struct(F.col("b").alias("lid"), F.lit(2).alias("side")))).alias("s"))
-    dealt = sides.select("a", "b", "s.lid", "s.side").join(texts.select("lid", "line"), "lid").select("a", "b", "side", "line").repartition(tasks, "a", "b")
-    each = shingles(dealt, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("in"))
-    sizes = each.groupBy("a", "b").agg(F.count(F.when(F.col("in") == 3, 1)).alias("both"), F.count("*").alias("either"))
-    return sizes.where(F.col("both") >= F.lit(threshold) * F.col("either")).select("a", "b")
+def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct pairs (a, b) of ``lid``, those whose shingle sets reach the threshold. Texts move, which are far smaller than their sets."""
+    a, b = (texts.select(F.col("lid").alias(x), F.encode("line", "UTF-16BE").alias(f"line_{x}")) for x in "ab")
+    hashes = "transform(sequence(0, greatest(0, int(octet_length({0}) div 2) - {1})), i -> xxhash64(substring({0}, 2 * i + 1, {2})))"
+    met = pairs.join(a, "a").join(b, "b").repartition(1 + pairs.count() // PAIRS)
+    sets = met.select("a", "b", *(F.expr(hashes.format(f"line_{x}", WINDOW, 2 * WINDOW)).alias(f"s{x}") for x in "ab"))
+    sizes = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), F.size(F.array_union("sa", "sb")).alias("either"))
+    # written before it is filtered, so that no set is made twice
+    return scratch.write(sizes, "sizes").where(F.col("both") >= F.lit(threshold) * F.col("either")).select("a", "b")
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """Distinct pairs of members (``k, band, n, lid, comp, b0, ..., p0, ...``) of different components of a band whose sketches agree; a pair is met in its first band only.
+    """Distinct pairs of members (``band, n, lid, comp, b0, ..., p0, ...``) of different components of a band whose sketches agree; a pair is met in its first band only.
 
     A large band is dealt out in parts: each member meets one part at a time.
     """
-    parts = members.withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    place = F.array_position(F.array(*(f"b{k}" for k in range(len(BANDS)))), F.col("band")) - 1
+    parts = members.withColumn("k", place).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     x = parts.withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")).alias("x")
     y = parts.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("y")
     earlier = " or ".join(f"(x.k > {k} and x.b{k} = y.b{k})" for k in range(len(BANDS) - 1))
-    on = f"x.band = y.band and x.k = y.k and x.part = y.part and x.lid < y.lid and x.comp <> y.comp and ({_agreed('x', 'y')}) >= {AGREED} and not ({earlier})"
+    on = f"x.band = y.band and x.part = y.part and x.lid < y.lid and x.comp <> y.comp and ({_agreed('x', 'y')}) >= {AGREED} and not ({earlier})"
     return x.join(y, F.expr(on)).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
 
 
+def _groups(scratch: Scratch, signed: DataFrame) -> DataFrame:
+    """``band, lid, n, lo`` of the bands that several lines share: how many do, and the smallest of them.
+
+    Bands are counted before they are joined, so no band's rows need to meet in one task; some go at a time, for the sake of the disk.
+    """
+    out = []
+    for first in range(0, len(BANDS), PASS):
+        scratch.release()
+        dealt = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(first, min(first + PASS, len(BANDS)))))).alias("band"))
+        several = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        out.append(scratch.write(dealt.join(several.hint("shuffle_hash"), "band"), "several", compact=True))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    scratch.release()
+    return scratch.write(rows.join(rows.groupBy("band").agg(F.min("lid").alias("lo")), "band"), "groups", compact=True)
+
+
 def _open(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the bands (``k, band, lid, lo, n``) whose lines lie in several components, with ``comp``."""
+    """Rows of the bands (``band, lid, n, lo``) whose lines lie in several components, with ``comp``."""
     named = groups.where("n > 2").join(comps.withColumnRenamed("node", "lid"), "lid", "left").select(*groups.columns, F.coalesce("component", "lid").alias("comp"))
-    apart = named.groupBy("k", "band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("k", "band")
-    return named.join(apart, ["k", "band"])
+    apart = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
+    return named.join(apart, "band")
 
 
 def content_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame, threshold: float) -> DataFrame:
@@ -131,26 +154,19 @@ def content_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame, thre
     unique = keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("line").alias("line"))
     unique = scratch.write(unique.select(F.monotonically_increasing_id().alias("lid"), "*"), "unique")
     scratch.release()
-    total, chars = unique.agg(F.count("*"), F.sum(F.char_length("line"))).first()
-    tasks = lambda pairs: max(1, math.ceil(2 * pairs.count() * (chars or 0) / max(1, total) / SHARE))
-
     signed = scratch.write(with_bands(unique.select("lid", "line")), "bands")
-    dealt = signed.select("lid", F.posexplode(F.array(*(f"b{k}" for k in range(len(BANDS))))).alias("k", "band"))
-    several = dealt.groupBy("k", "band").agg(F.count("*").alias("n"), F.min("lid").alias("lo")).where("n > 1")
-    groups = scratch.write(dealt.join(several, ["k", "band"]), "groups", compact=True)
-    scratch.release()
-
+    groups = _groups(scratch, signed)
     pairs = scratch.write(groups.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct(), "pairs")
     wanted = groups.select("lid").distinct()
     texts = scratch.write(unique.select("lid", "line").join(wanted, "lid", "left_semi"), "texts")
-    links = scratch.write(verified(pairs, texts, threshold, tasks(pairs)), "links")
+    links = verified(scratch, pairs, texts, threshold)
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
     rest = scratch.write(_open(groups, comps), "open", compact=True)
     sketched = with_sketches(texts.join(rest.select("lid").distinct(), "lid", "left_semi"))
     members = rest.join(scratch.write(sketched, "sketches"), "lid").join(signed.join(rest.select("lid").distinct(), "lid", "left_semi"), "lid")
     pairs = scratch.write(_met(members).join(pairs, ["a", "b"], "left_anti"), "apart")
-    links = scratch.write(verified(pairs, texts, threshold, tasks(pairs)), "links")
+    links = verified(scratch, pairs, texts, threshold)
     if not links.isEmpty():
         comps = scratch.write(joined_components(spark, comps, links, scratch), "components")
 
