@@ -66,7 +66,8 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
-        """Lets go of the shuffle files of steps that are done: Spark deletes them once the driver no longer refers to them."""
+        """Lets go of the shuffle files of steps that are done: Spark deletes them once the driver no longer refers to them, as its scheduler does to the last job."""
+        self.spark.range(1).collect()
         gc.collect()
         self.spark._jvm.System.gc()
 
