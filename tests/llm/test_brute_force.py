@@ -86,7 +86,6 @@ def test_packing(spark, docs, corpus, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     rows = packing.pack_documents(spark, docs, WORD, capacity=128, keep_ids=True).collect()
     by_doc, by_sequence = {}, {}
     for x in rows:
@@ -114,6 +113,55 @@ def test_packing(spark, docs, corpus, nothing):
     assert twice.groupBy("sequence_id").agg((F.sum("length") == F.max(F.col("offset") + F.col("length"))).alias("ok")).where("not ok").count() == 0
 
 
+def test_packing_encodes_as_the_library_does(spark):
+    """Added tokens in a text are the library's business."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    texts = ["hello <unk> world <|endoftext|>", "a<|endoftext|>b", "A <|EndOfText|> b", "it<|startoftext|>'s", "<|endoftext|>" * 3, "plain. Text, here", ""]
+    assert packing.encode_texts(texts, WORD) == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+
+
+def test_configuration_lp_on_the_lengths_of_documents():
+    """The program comes within 5 % of its lower bound and covers all; its rounded columns place nine pieces of ten; the plan is no longer than best fit's."""
+    import pyarrow.parquet as pq
+
+    found = Counter()
+    for data in packing.encode_texts([x or "" for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()], WORD):
+        n = len(data) // 4 + 1
+        found.update([4096] * (n // 4096) + [n % 4096] * (n % 4096 > 0))
+    lengths = np.array(sorted(found))
+    counts = np.array([found[x] for x in lengths.tolist()])
+    x = packing.configuration_lp(lengths, counts, 4096)
+    covered = np.zeros(len(lengths))
+    for key, v in x.items():
+        assert v > 0 and sum(int(lengths[j]) * a for j, a in key) <= 4096
+        for j, a in key:
+            covered[j] += a * v
+    assert (covered >= counts * (1 - 1e-6)).all()
+    assert sum(x.values()) <= 1.05 * (lengths @ counts) / 4096
+    _, left = packing.rounded(lengths, counts, 4096)
+    assert left.sum() <= 0.1 * counts.sum()
+    planned = sum(n for n, _ in packing.plan(lengths.tolist(), counts.tolist(), 4096))
+    assert planned <= sum(n for n, _ in packing.best_fit(list(zip(lengths[::-1].tolist(), counts[::-1].tolist(), strict=True)), 4096))
+
+
+def test_packing_spreads_hot_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    pieces = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 40).otherwise(F.col("id") % 7 + 1).alias("length"), F.lit(1).alias("salt"), F.lit(2).alias("rank"), F.lit(0).alias("l"))
+    rows = packing.pack(spark, pieces, ["id"], capacity=64).collect()
+    assert len(rows) == 1000
+    by = {}
+    for x in rows:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_configuration_lp_beats_best_fit_where_items_are_large():
     r = np.random.default_rng(1)
     lengths, counts = np.unique(r.integers(1100, 2200, 5000), return_counts=True)
