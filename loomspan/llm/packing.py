@@ -25,7 +25,7 @@ from .common import Scratch, text_or_empty, unused
 
 CAPACITY = 4096
 #: Pieces of one length that one task ranks, about.
-RANKED = 100_000
+RANKED = 1000
 #: Columns of a round of the linear program, how near the optimum they come, and phases of solving and rounding, at most.
 COLUMNS, NEAR, PHASES = 512, 0.002, 12
 CACHE = 900_000
@@ -42,7 +42,7 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        added = {x.content.lower() if x.normalized else x.content: x.normalized for x in t.get_added_tokens_decoder().values()}
+        added = [x.content.lower() for x in t.get_added_tokens_decoder().values()]
         vocabulary = t.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -86,11 +86,11 @@ def _learn(t, ends: np.ndarray, cache: dict[str, bytes], words: list[str]) -> No
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts by a tokenizer whose words end in ``</w>`` and that drops white space; each distinct word is encoded once and remembered. Texts that hold one of the tokenizer's added tokens are encoded in one piece."""
+    """Ids of whole texts by a tokenizer whose words end in ``</w>`` and that drops white space; each distinct word is encoded once and remembered. Texts that hold one of the tokenizer's added tokens, in whatever case, are encoded in one piece."""
     t, ends, cache, added = _tokenizer(path)
     out: list[bytes] = []
     for i in range(0, len(texts), 512):
-        odd = {k for k, x in enumerate(texts[i : i + 512]) if any(token in (x.lower() if lowered else x) for token, lowered in added.items())}
+        odd = {k for k, x in enumerate(texts[i : i + 512]) if any(map(x.lower().__contains__, added))}
         split = [[] if k in odd else _words(x) for k, x in enumerate(texts[i : i + 512])]
         missing = set().union(*split).difference(cache)
         if len(cache) + len(missing) > CACHE:
