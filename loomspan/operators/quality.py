@@ -94,11 +94,24 @@ def leave_one_out(words: DataFrame, thresholds: DataFrame, group: str) -> DataFr
     return rest.withColumn("r", F.row_number().over(order)).where("r = 1").select(group, "t", F.col("stp").alias("tp"), F.col("sfp").alias("fp"), F.col("sfn").alias("fn"))
 
 
-def lower_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Iterable[float]) -> DataFrame:
-    """Value at index floor(q * (n - 1)) of the sorted values of each group, by one distributed ranking."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value))).alias(f"q{round(q * 100)}") for q in quantiles))
+def lower_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Iterable[float], parts: int = 64) -> DataFrame:
+    """Value at index floor(q * (n - 1)) of the sorted values of each group.
+
+    Values are counted first, in a pre-aggregated shuffle. Their range is cut into ``parts`` at approximate quantiles (the same cuts for all groups, so they only move
+    work); counts add up within a part, and the parts' totals, a short list for each group, lift them to the ranks of the whole.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cuts = F.broadcast(counted.agg(F.coalesce(F.array_distinct(F.percentile_approx("v", [k / parts for k in range(1, parts)])), F.array()).alias("cuts")))
+    placed = counted.crossJoin(cuts).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    inside = Window.partitionBy(*by, "part").orderBy("v")
+    within = placed.withColumn("upto", F.sum("c").over(inside))
+    earlier = Window.partitionBy(*by).orderBy("part")
+    totals = placed.groupBy(*by, "part").agg(F.sum("c").alias("t"))
+    totals = totals.select(*by, "part", F.coalesce(F.sum("t").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("t").over(Window.partitionBy(*by)).alias("n"))
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by] + [F.col("x.part") == F.col("y.part")]
+    ranked = within.alias("x").join(totals.alias("y"), on).select(*(F.col(f"x.{c}").alias(c) for c in by), "v", (F.col("upto") + F.col("base")).alias("last"), (F.col("upto") + F.col("base") - F.col("c")).alias("first"), "n")
+    at = lambda q: F.floor(F.lit(q) * (F.col("n") - 1))
+    return ranked.groupBy(*by).agg(*(F.max(F.when((F.col("first") <= at(q)) & (at(q) < F.col("last")), F.col("v"))).alias(f"q{round(q * 100)}") for q in quantiles))
 
 
 def review_workload(flags: DataFrame) -> DataFrame:

@@ -195,9 +195,9 @@ def p8(spark, d):
     return W.anomalous_segments(R.words(spark, d))
 
 
-@query("A22_end_of_speech", R.oracle('SELECT s.rec_id, coalesce(w.e, s.e) AS "end" FROM (SELECT rec_id, arg_max("end", seg_no) AS e FROM segments GROUP BY rec_id) s LEFT JOIN (SELECT rec_id, arg_max("end", seg_no * 1000000 + word_no) AS e FROM words WHERE rec_id % 3 > 0 GROUP BY rec_id) w USING (rec_id)', "segments", "words"))
+@query("A22_end_of_speech", R.oracle('SELECT s.rec_id, coalesce(w.e, s.e) AS "end" FROM (SELECT rec_id, arg_max("end", seg_no) AS e FROM segments GROUP BY rec_id) s LEFT JOIN (SELECT rec_id, arg_max("end", seg_no * 1000000 + word_no) AS e FROM words GROUP BY rec_id) w USING (rec_id)', "segments", "words"))
 def a22(spark, d):
-    return W.end_of_segments(R.words(spark, d).where("rec_id % 3 > 0"), R.segments(spark, d))
+    return W.end_of_segments(R.words(spark, d), R.segments(spark, d))
 
 
 @query("J7_next_worded_segment", R.oracle("SELECT rec_id, seg_no, lead(CASE WHEN (rec_id + seg_no) % 3 > 0 THEN start END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY seg_no) AS next_start FROM segments", "segments"))
@@ -205,7 +205,24 @@ def j7(spark, d):
     return R.segments(spark, d).selectExpr("rec_id", "seg_no", "lead(if((rec_id + seg_no) % 3 > 0, start, null)) ignore nulls over (partition by rec_id order by seg_no) as next_start")
 
 
-@query("F3_merge_punctuation")
+_MERGED = """m AS MATERIALIZED (SELECT rec_id, seg_no, word_no, CASE WHEN word_no % 7 = 3 THEN '.' WHEN word_no % 7 = 5 THEN ' (' ELSE ' ' || word END AS word, 1 + word_no % 3 AS n_tokens FROM words),
+    o AS (SELECT *, starts_with(word, ' ') AND contains({pre}, trim(word)) AND lead(word) OVER w IS NOT NULL AS opens FROM m WINDOW w AS (PARTITION BY rec_id, seg_no ORDER BY word_no)),
+    i AS (SELECT *, count(*) FILTER (NOT opens) OVER (PARTITION BY rec_id, seg_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM o),
+    f AS (SELECT rec_id, seg_no, word_no, CASE WHEN opens THEN '' ELSE string_agg(word, '') OVER w END AS word, CASE WHEN opens THEN 0 ELSE sum(n_tokens) OVER w END AS n_tokens FROM i WINDOW w AS (PARTITION BY rec_id, seg_no, k ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    c AS (SELECT *, coalesce(contains({app}, word) AND NOT ends_with(lag(word) OVER w, ' '), false) AS closes FROM f WINDOW w AS (PARTITION BY rec_id, seg_no ORDER BY word_no)),
+    j AS (SELECT *, count(*) FILTER (NOT closes) OVER (PARTITION BY rec_id, seg_no ORDER BY word_no) AS k FROM c)
+    SELECT rec_id, seg_no, word_no, CASE WHEN closes THEN '' ELSE string_agg(word, '') OVER w END AS word, (CASE WHEN closes THEN 0 ELSE sum(n_tokens) OVER w END)::BIGINT AS n_tokens FROM j WINDOW w AS (PARTITION BY rec_id, seg_no, k ORDER BY word_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+
+def _merged() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    p = DecodeParams()
+    head, _, tail = _MERGED.partition("\n    SELECT rec_id, seg_no, word_no, CASE WHEN closes")
+    body = "SELECT * FROM (WITH " + head + "\n    SELECT rec_id, seg_no, word_no, CASE WHEN closes" + tail + ")"
+    return R.oracle(body.format(pre=quoted(p.prepend_punctuations), app=quoted(p.append_punctuations)), "words")
+
+
+@query("F3_merge_punctuation", _merged())
 def f3(spark, d):
     w = R.words(spark, d).selectExpr("rec_id", "seg_no", "word_no", "case when word_no % 7 = 3 then '.' when word_no % 7 = 5 then ' (' else concat(' ', word) end as word", "cast(1 + word_no % 3 as bigint) as n_tokens")
     p = DecodeParams()

@@ -127,6 +127,64 @@ def test_merge_punctuation(spark):
     assert [(r.word, r.n_tokens) for r in got] == [(" hello,", 2), ("", 0), ("", 0), (" ( world).", 4), ("", 0), ("", 0)]
 
 
+def test_merge_punctuation_of_blank_ends(spark):
+    """A mark behind a word that ends with a blank stays on its own and gathers the next; a last word that opens stays."""
+    rows = [(1, 0, i, w, 1) for i, w in enumerate([" one ", ".", ",", " (", " (", " two", "!", " ("])]
+    p = DecodeParams()
+    got = W.merge_punctuation(spark.createDataFrame(rows, "rec_id long, seg_no long, word_no long, word string, n_tokens long"), p.prepend_punctuations, p.append_punctuations).orderBy("word_no").collect()
+    assert [(r.word, r.n_tokens) for r in got] == [(" one ", 1), (".,", 2), ("", 0), ("", 0), ("", 0), (" ( ( two!", 4), ("", 0), (" (", 1)]
+
+
+def test_repair_boundaries_segment_by_segment(spark):
+    """Against the rules applied one segment after the other, in an order that lets every answer depend on the one before."""
+    r = random.Random(11)
+    words, segments, medians, expected = [], [], [], {}
+    for rec in range(12):
+        m = r.choice([0.1, 0.25, 0.4])
+        medians.append((rec, m))
+        spoken, at = 0.0, 0.0
+        for seg in range(25):
+            n = r.choice([1, 1, 2, 3, 4])
+            t = []
+            for _ in range(n):
+                at += r.choice([0.0, 0.1, 1.5])
+                t.append([at, at := at + r.choice([0.1, 0.3, 0.9, 2.5])])
+            low, high = t[0][0] + r.choice([-0.3, 0.0, 0.7, 1.2]), t[-1][1] + r.choice([-1.4, -0.6, 0.0, 0.4])
+            words += [(rec, seg, k, *x) for k, x in enumerate(t)]
+            segments.append((rec, seg, low, high))
+            too_long = t[0][1] - t[0][0] > 2 * m or (n > 1 and t[1][1] - t[0][0] > 4 * m)
+            if too_long and t[0][1] - spoken > 4 * m:
+                if n > 1 and t[1][1] - t[1][0] > 2 * m:
+                    t[0][1] = t[1][0] = max(t[1][1] / 2, t[1][1] - 2 * m)
+                t[0][0] = max(0.0, t[0][1] - 2 * m)
+            if t[0][0] < low - 0.5 and low < t[0][1]:
+                t[0][0] = max(0.0, min(t[0][1] - m, low))
+            else:
+                low = t[0][0]
+            if t[-1][1] > high + 0.5 and high > t[-1][0]:
+                t[-1][1] = max(t[-1][0] + m, high)
+            else:
+                high = t[-1][1]
+            spoken = high
+            expected |= {(rec, seg, k): (*x, low, high) for k, x in enumerate(t)}
+    got = W.repair_boundaries(
+        spark.createDataFrame(words, "rec_id long, seg_no long, word_no long, start double, end double"),
+        spark.createDataFrame(segments, "rec_id long, seg_no long, seg_start double, seg_end double"),
+        spark.createDataFrame(medians, "rec_id long, median_duration double"),
+    )
+    assert {(x.rec_id, x.seg_no, x.word_no): pytest.approx((x.start, x.end, x.seg_start, x.seg_end)) for x in got.collect()} == expected
+
+
+def test_lower_quantiles_of_hot_values(spark):
+    r = random.Random(3)
+    rows = [(g, 7.0 if r.random() < 0.5 else round(r.random() * 20, 1)) for g in (True, False, None) for _ in range(400)] + [(True, None)]
+    got = Q.lower_quantiles(spark.createDataFrame(rows, "g boolean, v double"), ["g"], "v", (0.0, 0.1, 0.5, 0.9, 1.0), parts=8).collect()
+    for x in got:
+        v = sorted(b for a, b in rows if a == x.g and b is not None)
+        assert tuple(x)[1:] == tuple(v[int(q * (len(v) - 1))] for q in (0.0, 0.1, 0.5, 0.9, 1.0))
+    assert len(got) == 3
+
+
 def test_label_words(spark):
     w = spark.createDataFrame([(1, 0, 0, "ab"), (1, 0, 1, "."), (1, 0, 2, "cx"), (1, 1, 0, "f")], "rec_id long, seg_no long, word_no long, word string")
     got = Q.label_words(w, spark.createDataFrame([(1, "abcdef g")], "rec_id long, reference string")).orderBy("seg_no", "word_no").collect()
