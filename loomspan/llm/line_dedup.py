@@ -131,7 +131,9 @@ def _groups(scratch: Scratch, signed: DataFrame) -> DataFrame:
     for first in range(0, len(BANDS), PASS):
         scratch.release()
         dealt = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(first, min(first + PASS, len(BANDS)))))).alias("band"))
-        several = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        # a table of its own, so that Spark can split a band that very many lines share
+        several = scratch.write(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        scratch.release()
         out.append(scratch.write(dealt.join(several.hint("shuffle_hash"), "band"), "several", compact=True))
     rows = out[0]
     for more in out[1:]:
