@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +39,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+@contextmanager
+def records_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most n rows for what runs inside, where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees those no longer needed.
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, text_or_empty
-from .graph import connected_components
+from .common import Scratch, records_per_batch, text_or_empty
+from .graph import connected_components, joined_components
 
 WORDS = 5
 #: Link when DENOMINATOR * |A and B| >= NUMERATOR * |A or B|.
@@ -38,6 +38,8 @@ SHARED = 12
 ELEMENTS = 40
 #: Groups of up to SMALL are compared pair by pair; blocks of BLOCK members; clusters of up to CLUSTER are compared once, larger ones by signature.
 SMALL, BLOCK, CLUSTER = 12, 192, 8192
+#: Pairs of blocks in an Arrow batch, at most.
+BLOCKS = 32
 CACHE = 300_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,9 +207,15 @@ def _each_signature(signed: DataFrame) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sketch; rows whose text is not the content they were fetched for (others of the same doc_id) go."""
     for batch in batches:
-        sketches = [sketch(s) for _, s in in_parts(batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("text"), pa.array(sketches, pa.binary())], names=["cid", "n", "text", "sketch"])
+        wanted, keep, sketches = batch.column("cid").to_pylist(), [], []
+        for k, (_, s) in enumerate(in_parts(batch.column("text").to_pylist())):
+            if content_id(s) == wanted[k]:
+                keep.append(k)
+                sketches.append(sketch(s))
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("cid", "n", "text")), pa.array(sketches, pa.binary())], names=["cid", "n", "text", "sketch"])
 
 
 def similar(inter: int, a: int, b: int) -> bool:
@@ -295,25 +303,28 @@ def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A row per document: ``doc_id, n_shingles, component_id`` (the smallest doc_id reachable over links, itself included).
 
-    Null texts count as empty; documents without words have an empty set and link with nothing, not even each other; repeated
-    rows of one doc_id give repeated rows; an empty table gives none; other columns are ignored; texts of any length are read whole.
+    Null texts count as empty; documents without words have an empty set and link with nothing, not even each other; rows
+    that repeat a doc_id are returned each, with the component that the links of its own text give; a null doc_id names a component only where there is no other; an empty table gives none; other columns are ignored; texts of any length are read whole.
     """
     scratch = Scratch(spark, "jaccard")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    total = docs.count()
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < min(1.0, SAMPLE / max(1, total)) * 1_000_000).select("text")
+    counts = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    total, repeated = counts.n, counts.n != counts.ids
+    drawn = rows.where(F.pmod(F.xxhash64("text", "doc_id", F.lit(11)), F.lit(1_000_000_000)) < min(1.0, SAMPLE / max(1, total)) * 1_000_000_000).select("text").limit(2 * SAMPLE)
     counts = _each_signature(drawn.mapInArrow(_signed(None), SIGNED)).groupBy("sig").count().where("count >= 8")
     top = counts.orderBy(F.desc("count"), "sig").limit(FREQUENT).select("sig").toPandas()["sig"].to_numpy(dtype=np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
 
     known = scratch.write(rows.mapInArrow(_signed(frequent), f"doc_id {kind}, {SIGNED}"), "signed")
+    frequent.destroy()
     told = scratch.write(known.select("doc_id", "n_shingles", "cid"), "contents")
     full = told.where("n_shingles > 0")
     both = Window.partitionBy("sig")
     shared = _each_signature(known).withColumn("lo", F.min("cid").over(both)).withColumn("hi", F.max("cid").over(both)).where("lo <> hi").select("sig", "cid", "tag")
     shared = scratch.write(shared.distinct(), "shared", compact=True)
     scratch.drop(known)
+    scratch.release()
     groups = scratch.write(_sharing_enough(shared), "shared", compact=True)
     scratch.drop(shared)
     for _ in range(2):
@@ -321,13 +332,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         scratch.drop(groups)
         groups = fewer
     least = groups.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig", "lo")
-    groups = scratch.write(groups.select("sig", "cid").distinct().join(least, "sig").select("sig", "cid", "lo"), "groups", compact=True)
+    fewer = scratch.write(groups.select("sig", "cid").distinct().join(least, "sig").select("sig", "cid", "lo"), "groups", compact=True)
+    scratch.drop(groups)
+    groups = fewer
+    scratch.release()
 
     # the texts of those that share a signature, each from its first document
     first = full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     wanted = groups.where("cid <> lo").select(F.explode(F.array("cid", "lo")).alias("cid")).distinct().join(first, "cid")
-    sets = rows.join(wanted, "doc_id").select("cid", "n", "text").dropDuplicates(["cid"]).mapInArrow(_sketched, "cid long, n long, text string, sketch binary")
-    sets = scratch.write(sets, "texts")
+    found = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id")).select("cid", "n", "text").mapInArrow(_sketched, "cid long, n long, text string, sketch binary")
+    sets = scratch.write(found.dropDuplicates(["cid"]) if repeated else found, "texts")
+    scratch.release()
 
     # each group's members against its smallest
     links = scratch.write(_verified(groups.where("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct(), sets), "links")
@@ -341,19 +356,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig and x.cid < y.cid and x.comp <> y.comp and x.cid <> x.lo")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     # large groups: the nearest of other components first, then whoever is still apart and could be near enough
     large = scratch.write(_clusters(spark, scratch, rest.where(F.col("n") > SMALL).select("sig", "cid")), "large")
-    pairs = pairs.unionByName(_between_blocks(large, comps, sets, True)).distinct()
-    more = scratch.write(_verified(pairs, sets), "more")
+    with records_per_batch(spark, BLOCKS):
+        near = scratch.write(_between_blocks(large, comps, sets, True), "near")
+    more = scratch.write(_verified(pairs.unionByName(near).distinct(), sets), "more")
+    scratch.release()
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = scratch.write(connected_components(spark, links, scratch), "components")
-    last = scratch.write(_verified(_between_blocks(large, comps, sets, False), sets), "last")
+        comps = scratch.write(joined_components(spark, comps, more, scratch), "components")
+    with records_per_batch(spark, BLOCKS):
+        near = scratch.write(_between_blocks(large, comps, sets, False), "near")
+    last = scratch.write(_verified(near, sets), "last")
+    scratch.release()
     if not last.isEmpty():
-        comps = scratch.write(connected_components(spark, links.unionByName(last), scratch), "components")
+        comps = scratch.write(joined_components(spark, comps, last, scratch), "components")
 
     named = full.select("doc_id", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     of_component = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_content = scratch.write(named.select("cid", "component").distinct().join(of_component, "component").select("cid", "component_id"), "named")
     scratch.keep_only(told, of_content)
+    scratch.release()
     return told.join(of_content, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -395,5 +415,5 @@ def _between_blocks(large: DataFrame, comps: DataFrame, sets: DataFrame, best_on
 def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose document is the smallest of its component; of repeated rows with one doc_id all stay."""
     found = jaccard_components(spark, docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("d")).distinct()
+    return docs.alias("x").join(kept.alias("y"), F.expr("x.doc_id <=> y.d"), "left_semi")

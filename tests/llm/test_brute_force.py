@@ -217,6 +217,16 @@ def test_jaccard(spark, docs, corpus, nothing):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {d for d, (_, low) in expected.items() if d == low}
 
 
+def test_jaccard_of_repeated_and_null_ids(spark):
+    """Links between texts hold whatever other rows share their ids."""
+    r = np.random.default_rng(12)
+    text = lambda n: " ".join("".join(r.choice(list("abcdefgh"), 5)) for _ in range(n))
+    a, b, c = text(100), text(100), text(60)
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (None, c), (None, None), (5, c + " more")]
+    got = sorted(((x.doc_id or 0, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(0, 0, None), (0, 56, 5), (1, 96, 1), (1, 96, 1), (2, 97, 1), (3, 97, 1), (5, 57, 5)], key=lambda x: (x[0], x[1]))
+
+
 def test_jaccard_large_groups(spark):
     """A common passage in documents of their own, and many near copies around the threshold: more than a group that is compared pair by pair."""
     r = np.random.default_rng(4)
