@@ -311,7 +311,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     total, repeated = counts.n, counts.n != counts.ids
-    drawn = rows.where(F.pmod(F.xxhash64("text", "doc_id", F.lit(11)), F.lit(1_000_000_000)) < min(1.0, SAMPLE / max(1, total)) * 1_000_000_000).select("text").limit(2 * SAMPLE)
+    drawn = rows.where(F.pmod(F.xxhash64("text", "doc_id", F.lit(11)), F.lit(1_000_000_000)) < min(1.0, SAMPLE / max(1, total)) * 1_000_000_000).select("text")
     counts = _each_signature(drawn.mapInArrow(_signed(None), SIGNED)).groupBy("sig").count().where("count >= 8")
     top = counts.orderBy(F.desc("count"), "sig").limit(FREQUENT).select("sig").toPandas()["sig"].to_numpy(dtype=np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))

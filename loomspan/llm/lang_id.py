@@ -157,7 +157,8 @@ def learn(training: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Ppm:
     """Grows the trees from ``text, lang`` rows: about ``sample_bytes`` a language (less beyond MAX_LANGUAGES labels), drawn by hash.
 
     Texts of up to a 30th of that are drawn whole; where a label has too few of them, slices of its longer ones fill its sample, so
-    every label with a text has a tree. Rows with a null language or text teach nothing.
+    every label with a text has a tree; where the draw finds none, its text of the least hash is learned. Copies are drawn
+    together and learned once, so however many there are, one reaches the driver. Rows with a null language or text teach nothing.
     """
     rows = training.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text")
     labels = rows.select("lang").distinct().count()
@@ -170,13 +171,16 @@ def learn(training: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Ppm:
     cut = F.substring("text", F.pmod(hashed, F.greatest(F.lit(1), F.char_length("text") - most // 4 + 1)).cast("int") + 1, F.lit(most // 4))
     rows = rows.select("lang", F.pmod(hashed, F.lit(1_000_000)).alias("h"), is_long.alias("long"), F.when(is_long, cut).otherwise(F.col("text")).alias("text"))
     size = lambda of: F.coalesce(F.sum(F.when(of, F.octet_length("text"))), F.lit(0))
-    sizes = rows.groupBy("lang").agg(size(~F.col("long")).alias("whole"), size(F.col("long")).alias("cut")).collect()
+    sizes = rows.groupBy("lang").agg(size(~F.col("long")).alias("whole"), size(F.col("long")).alias("cut"), F.min_by("text", "h").alias("first")).collect()
     share = [(r.lang, min(1.0, sample_bytes / max(1, r.whole)), min(1.0, max(0.0, sample_bytes - r.whole) / max(1, r.cut))) for r in sizes]
     shares = F.broadcast(training.sparkSession.createDataFrame(share, "lang string, whole double, cut double"))
     drawn = rows.join(shares, "lang").where(F.col("h") < F.when(F.col("long"), F.col("cut")).otherwise(F.col("whole")) * 1_000_000)
     texts: dict[str, list[bytes]] = {r.lang: [] for r in sizes}
-    for r in drawn.select("lang", "text").collect():
+    for r in drawn.select("lang", "text").distinct().collect():
         texts[r.lang].append(r.text.encode("utf-8", "surrogatepass"))
+    for r in sizes:
+        if not texts[r.lang]:
+            texts[r.lang].append(r.first.encode("utf-8", "surrogatepass"))
     names = sorted(texts)
     return Ppm(names, [sorted(texts[n]) for n in names])
 

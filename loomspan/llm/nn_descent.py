@@ -28,8 +28,10 @@ from .vectors import matrix, unit, usable_vectors
 K, TREES, CELL, ROUNDS = 20, 3, 500, 4
 #: Proposals of one meeting to a node, at most. A list takes K of them all anyway.
 PROPOSALS = 10
-#: Width of the beam, nodes expanded in a step, steps, entry nodes.
-BEAM, STEP, STEPS, ENTRIES = 192, 48, 10, 256
+#: Width of the beam, nodes expanded in a step, entry nodes.
+BEAM, STEP, ENTRIES = 192, 48, 256
+#: Steps after which a walk that still has open nodes is an error.
+STEPS = 10_000
 #: Nodes of the beam that are scored on the original vectors, at least.
 RESCORED = 32
 SALTS = 16
@@ -206,7 +208,7 @@ def _answers(k: int):
 
 
 def greedy_search(spark: SparkSession, scratch: Scratch, singles: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 5, steps: int = STEPS) -> DataFrame:
-    """``query, id``: for each query (a node) the best nodes that its walk found, itself among them: RESCORED, and all that may be among the k best but for rounding."""
+    """``query, id``: for each query (a node) the best nodes that its walk found, which ends when no node of the beam is open, itself among them: RESCORED, and all that may be among the k best but for rounding."""
     edges = graph.select("v", "u").union(_listed_by(graph, K, 99)).distinct()
     lists = scratch.write(edges.groupBy("v").agg(F.collect_list("u").alias("near")), "lists")
     first = singles.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toPandas()
@@ -223,6 +225,8 @@ def greedy_search(spark: SparkSession, scratch: Scratch, singles: DataFrame, gra
         state = renewed
         if not state.where(F.exists("beam", lambda b: b["open"])).limit(1).count():
             break
+    else:
+        raise RuntimeError("walks did not end")
     return state.select("query", "h", "beam").mapInArrow(_answers(k), "query long, id long")
 
 

@@ -139,9 +139,9 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = statistics(t, words)
             a, v = features(words, s)
             pattern.append(votes(s))
-            at.append(a.astype(np.int32))
-            value.append(v.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["votes", "at", "value"])
+            at.append(a.astype(np.int32).tobytes())
+            value.append(v.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["votes", "at", "value"])
 
 
 def _judged(weights: np.ndarray, posterior: dict[str, float], prior: float):
@@ -174,20 +174,20 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Fits the label model on the votes on all documents and the scorer on about ``sample`` of them, drawn by hash.
+    """Fits the label model on the votes on all documents and the scorer on about ``sample`` of them, drawn by hash of text and doc_id, twice as many at most.
 
-    To the driver come the histogram of vote patterns and the features of the sample.
+    To the driver come the histogram of vote patterns and the features of the sample, packed.
     """
-    texts = docs.select(text_or_empty().alias("text"))
-    counts = texts.mapInArrow(_voted, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    texts = docs.select(text_or_empty().alias("text"), *(["doc_id"] if "doc_id" in docs.columns else []))
+    counts = texts.select("text").mapInArrow(_voted, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     patterns = {r.votes: r.n for r in counts}
     posterior, accuracy, share = label_model(patterns)
     total = sum(patterns.values())
     part = min(1.0, sample / max(1, total))
-    drawn = texts.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part * 1_000_000) & (F.octet_length("text") < 200_000))
-    rows = drawn.mapInArrow(_featured, "votes string, at array<int>, value array<float>").collect()
-    rows = sorted(rows, key=lambda r: (r.votes, r.at, r.value))
-    weights = train([(np.array(r.at, dtype=np.int64), np.array(r.value)) for r in rows], np.array([posterior[r.votes] for r in rows]))
+    drawn = texts.where(F.pmod(F.xxhash64(*texts.columns), F.lit(1_000_000_000)) < part * 1_000_000_000).select("text")
+    rows = drawn.mapInArrow(_featured, "votes string, at binary, value binary").limit(2 * sample).collect()
+    rows = sorted((r.votes, bytes(r.at), bytes(r.value)) for r in rows)
+    weights = train([(np.frombuffer(at, dtype=np.int32), np.frombuffer(value, dtype=np.float32)) for _, at, value in rows], np.array([posterior[v] for v, *_ in rows]))
     return QualityModel(weights, posterior, accuracy, share)
 
 

@@ -15,7 +15,7 @@ def usable(col: str = "embedding") -> Column:
 
 
 def usable_vectors(df: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """``vec_id, v array<double>`` of the vectors that take part, all of the commonest dimension."""
+    """``vec_id, v array<double>`` of the vectors that take part, of whatever dimension."""
     return df.where(usable(col)).select(F.col(id_col).alias("vec_id"), F.col(col).cast("array<double>").alias("v"))
 
 

@@ -9,10 +9,12 @@ source's own headers and digests. Ids are name-based, so that a task that is run
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as _html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,13 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 DATE = "1970-01-01T00:00:00Z"  # where the source has none
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>|<head\b[^>]*>.*?</head\s*>", re.I | re.S)
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|article|section|header|footer|nav|aside|main|blockquote|pre|hr|dd|dt|dl|form|figure|figcaption|title)\b[^>]*>", re.I)
+# Tags end at the next angle bracket, of either kind: every pattern passes over a page once, however it is broken.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^<>]*>", re.I | re.S)
+_HEAD, _HEAD_END = re.compile(r"<head\b[^<>]*>", re.I), re.compile(r"</head\s*>", re.I)
+_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|article|section|header|footer|nav|aside|main|blockquote|pre|hr|dd|dt|dl|form|figure|figcaption|title)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
+_LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_LANG = re.compile(r"""<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -69,9 +74,33 @@ def response_record(url: str, body: str, date: str = DATE) -> tuple[list[tuple[s
     return headers, block
 
 
+def _between(page: str, first: re.Pattern, last: re.Pattern) -> tuple[int, int, int, int] | None:
+    """Places of the first opening tag and of the closing tag behind it; none where it isn't closed."""
+    a = first.search(page)
+    b = last.search(page, a.end()) if a else None
+    return (a.start(), a.end(), b.start(), b.end()) if b else None
+
+
+def decoded(payload: bytes, http: dict[str, str]) -> str:
+    """The page as text: content encodings undone, by the charset of the HTTP head or else UTF-8; what can't be decoded becomes U+FFFD."""
+    encoding = http.get("content-encoding", "").strip().lower()
+    try:
+        payload = gzip.decompress(payload) if encoding in ("gzip", "x-gzip") else zlib.decompress(payload) if encoding == "deflate" else payload
+    except (OSError, EOFError, zlib.error):
+        pass  # sent as it is, whatever the head says
+    named = _CHARSET.search(http.get("content-type", ""))
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def visible_text(page: str) -> str:
     """Text that a reader sees: no head, scripts, styles or comments; blocks on lines of their own; entities resolved."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    page = _HIDDEN.sub(" ", page)
+    if head := _between(page, _HEAD, _HEAD_END):
+        page = page[: head[0]] + " " + page[head[3] :]
+    text = _TAG.sub("", _BLOCK.sub("\n", page))
     lines = (_BLANK.sub(" ", x).strip() for x in _html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -86,14 +115,15 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     head, cut, payload = block.partition(b"\r\n\r\n")
     if not cut or not head.startswith(b"HTTP/"):
         head, payload = b"", block
-    page = payload.decode("utf-8", "replace")
+    http = [(k.strip().lower(), v.strip()) for k, c, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]) if c]
+    page = decoded(payload, dict(http))
     source, uri, date = headers["warc-record-id"], headers.get("warc-target-uri", ""), headers.get("warc-date", DATE)
-    title = _TITLE.search(page)
+    title = _between(page, _TITLE, _TITLE_END)
     lang = _LANG.search(page)
     fields = [("via-record", source), *((f"source-{k}", v) for k, v in headers.items() if k not in ("warc-record-id",))]
-    fields += [("http-" + k.strip().lower(), v.strip()) for k, c, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]) if c]
+    fields += [("http-" + k, v) for k, v in http]
     fields += [("source-payload-digest-checked", str(headers.get("warc-payload-digest", digest(payload)) == digest(payload)).lower())]
-    fields += [("title", _BLANK.sub(" ", _html.unescape(_TAG.sub("", title[1]))).strip())] if title else []
+    fields += [("title", _BLANK.sub(" ", _html.unescape(_TAG.sub("", page[title[1] : title[2]]))).strip())] if title else []
     fields += [("languages-cld", lang[1].lower())] if lang else []
     fields += [("outlink", _html.unescape(next(x for x in m if x is not None and x != "") if any(m) else "")) for m in _LINK.findall(page)]
     meta = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
@@ -150,12 +180,12 @@ def records(derived: DataFrame) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed archive files: ``headers map<string,string>, block binary``; files are spread over tasks."""
+    """Records of archive files, plain or gzip-compressed (record by record or whole): ``headers map<string,string>, block binary``; files are spread over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                rows = list(parse(content))
+                rows = list(parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content))
                 yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in rows], pa.binary())], names=["headers", "block"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")

@@ -618,3 +618,50 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "a.warc")).count() == 4
     assert warc.derive({"warc-type": "request"}, b"") == []
     assert warc.derivatives(pages.where("false")).count() == 0
+
+
+def test_warc_of_broken_and_encoded_pages():
+    """Unclosed tags cost no more than their length; charsets and content encodings are undone; text as an independent parser sees it."""
+    import gzip
+    import time
+    from html.parser import HTMLParser
+
+    for tag in ("<title>", "<a ", "<p ", "<head>", "<script ", "<!doctype ", '<a href="', "<html lang"):
+        began = time.perf_counter()
+        warc.derive({"warc-type": "response", "warc-record-id": "<urn:uuid:0>"}, (tag * 40_000).encode())
+        assert time.perf_counter() - began < 5, tag
+    page = "<html><head><title>T &amp; U</title></head><body><p>Café <b>au lait</b></p><script>x</script><div>two</div></body></html>"
+    for extra, payload in (("", page.encode("latin-1")), ("Content-Encoding: gzip\r\n", gzip.compress(page.encode("latin-1")))):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n{extra}\r\n".encode() + payload
+        (_, meta), (_, text) = warc.derive({"warc-type": "response", "warc-record-id": "<urn:uuid:0>"}, block)
+        assert text.decode() == "Café au lait\ntwo" and "title: T & U\r\n" in meta.decode()
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.skip, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("head", "script", "style", "noscript", "template")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("head", "script", "style", "noscript", "template")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        parser = Text()
+        parser.feed(page or "")
+        parser.close()
+        assert "".join("".join(parser.out).split()) == "".join(warc.visible_text(page or "").split())
+
+
+def test_language_of_many_copies(spark, monkeypatch):
+    """A label that has nothing but copies of one text is learned from one of them."""
+    rows = [("aa", "bla blu " * 20)] * 500 + [("bb", f"xyzzy quux {k} " * 20) for k in range(50)]
+    ppm = lang_id.learn(spark.createDataFrame(rows, "lang string, text string"), sample_bytes=3000).ready()
+    assert ppm.languages == ["aa", "bb"] and ppm.predict(["bla blu bla", "quux xyzzy"])[0] == ["aa", "bb"]
