@@ -348,22 +348,28 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = scratch.write(_verified(groups.where("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct(), sets), "links")
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
+    scratch.release()
     # what is left: groups whose members still lie in different components
     open_ = _with_components(groups.select("sig", "cid", "lo"), comps)
     state = open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1 and n > 2").select("sig", "n")
     rest = scratch.write(open_.join(state, "sig").select("sig", "cid", "lo", "comp", "n"), "rest", compact=True)
+    scratch.drop(groups, links)
+    scratch.release()
     small = rest.where(F.col("n") <= SMALL)
     pairs = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig and x.cid < y.cid and x.comp <> y.comp and x.cid <> x.lo")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     # large groups: the nearest of other components first, then whoever is still apart and could be near enough
     large = scratch.write(_clusters(spark, scratch, rest.where(F.col("n") > SMALL).select("sig", "cid")), "large")
+    scratch.release()
     with records_per_batch(spark, BLOCKS):
         near = scratch.write(_between_blocks(large, comps, sets, True), "near")
+    scratch.release()
     more = scratch.write(_verified(pairs.unionByName(near).distinct(), sets), "more")
     scratch.release()
     if not more.isEmpty():
         comps = scratch.write(joined_components(spark, comps, more, scratch), "components")
     with records_per_batch(spark, BLOCKS):
         near = scratch.write(_between_blocks(large, comps, sets, False), "near")
+    scratch.release()
     last = scratch.write(_verified(near, sets), "last")
     scratch.release()
     if not last.isEmpty():
