@@ -11,8 +11,10 @@ The order puts signatures that are frequent in a bounded sample last. It is the
 only moves work and never results. Candidates are verified on the exact sets.
 
 Copies (equal sets) are one content and sign once a task. Groups that share a signature are first tied to
-their smallest member; only what verification leaves in different components is compared further: small
-groups pair by pair, large ones in blocks of ``BLOCK`` x ``BLOCK`` members that give links, not pairs.
+their smallest member; only what verification leaves in different components is compared further. There a set leaves the
+largest groups of each level, all but one of as many as any partner shares with it: of the groups that two partners share, the smallest
+stays in both, as all leave by one order. Small groups are compared pair by pair, large ones in blocks of ``BLOCK`` x ``BLOCK``
+members, by coarse sketches, that give links, not pairs.
 """
 
 from __future__ import annotations
@@ -153,6 +155,12 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def coarse(fine: bytes) -> bytes:
+    """A sketch with a quarter of the buckets, 64 at least."""
+    width = max(64, len(fine) // 4)
+    return folded(np.frombuffer(fine, dtype=np.uint8).reshape(1, -1), width).astype(np.uint8).tobytes()
+
+
 def folded(counts: np.ndarray, width: int) -> np.ndarray:
     """Sketches brought to fewer buckets. The sum of differences of two sketches never exceeds the difference of the sets."""
     return np.minimum(counts.reshape(len(counts), width, -1).sum(axis=2, dtype=np.int32), 255) if counts.shape[1] != width else counts.astype(np.int32)
@@ -207,7 +215,7 @@ def _each_signature(signed: DataFrame) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sketch; rows whose text is not the content they were fetched for (others of the same doc_id) go."""
+    """Adds the sketches; rows whose text is not the content they were fetched for (others of the same doc_id) go."""
     for batch in batches:
         wanted, keep, sketches = batch.column("cid").to_pylist(), [], []
         for k, (_, s) in enumerate(in_parts(batch.column("text").to_pylist())):
@@ -215,7 +223,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(k)
                 sketches.append(sketch(s))
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("cid", "n", "text")), pa.array(sketches, pa.binary())], names=["cid", "n", "text", "sketch"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("cid", "n", "text")), pa.array(sketches, pa.binary()), pa.array(map(coarse, sketches), pa.binary())], names=["cid", "n", "text", "sketch", "coarse"])
 
 
 def similar(inter: int, a: int, b: int) -> bool:
@@ -332,7 +340,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         scratch.drop(groups)
         groups = fewer
     least = groups.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig", "lo")
-    fewer = scratch.write(groups.select("sig", "cid").distinct().join(least, "sig").select("sig", "cid", "lo"), "groups", compact=True)
+    fewer = scratch.write(groups.join(least, "sig").select("sig", "cid", "tag", "lo"), "groups", compact=True)
     scratch.drop(groups)
     groups = fewer
     scratch.release()
@@ -340,7 +348,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # the texts of those that share a signature, each from its first document
     first = full.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     wanted = groups.where("cid <> lo").select(F.explode(F.array("cid", "lo")).alias("cid")).distinct().join(first, "cid")
-    found = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id")).select("cid", "n", "text").mapInArrow(_sketched, "cid long, n long, text string, sketch binary")
+    found = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id")).select("cid", "n", "text").mapInArrow(_sketched, "cid long, n long, text string, sketch binary, coarse binary")
     sets = scratch.write(found.dropDuplicates(["cid"]) if repeated else found, "texts")
     scratch.release()
 
@@ -350,11 +358,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     scratch.release()
     # what is left: groups whose members still lie in different components
-    open_ = _with_components(groups.select("sig", "cid", "lo"), comps)
-    state = open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1 and n > 2").select("sig", "n")
-    rest = scratch.write(open_.join(state, "sig").select("sig", "cid", "lo", "comp", "n"), "rest", compact=True)
+    rest = scratch.write(_open(_with_components(groups, comps), 3), "rest", compact=True)
     scratch.drop(groups, links)
     scratch.release()
+    fewer = scratch.write(_open(_fewest(rest), 2), "rest", compact=True)
+    scratch.drop(rest)
+    rest = fewer
+    scratch.release()
     small = rest.where(F.col("n") <= SMALL)
     pairs = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig and x.cid < y.cid and x.comp <> y.comp and x.cid <> x.lo")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     # large groups: the nearest of other components first, then whoever is still apart and could be near enough
@@ -395,6 +405,19 @@ def _sharing_enough(groups: DataFrame) -> DataFrame:
     return groups.join(enough, ["cid", "tag"], "left_semi")
 
 
+def _open(groups: DataFrame, least: int) -> DataFrame:
+    """Groups (``sig, cid, tag, lo, comp``) of ``least`` members or more that lie in several components, with their size ``n``."""
+    rows = groups.select("sig", "cid", "tag", "lo", "comp")
+    state = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"c0 <> c1 and n >= {least}").select("sig", "n")
+    return rows.join(state, "sig")
+
+
+def _fewest(groups: DataFrame) -> DataFrame:
+    """Groups without the rows that no pair needs to meet: a content that shares t signatures of a level with any partner leaves the t - 1 largest groups of that level."""
+    order = Window.partitionBy("cid", "tag").orderBy(F.desc("n"), "sig")
+    return groups.withColumn("place", F.row_number().over(order)).where("place >= tag % 32").drop("place")
+
+
 def _clusters(spark: SparkSession, scratch: Scratch, large: DataFrame) -> DataFrame:
     """``key, cid, parts``: what is compared with each other; groups that overlap are one cluster unless it is larger than CLUSTER."""
     least = large.groupBy("sig").agg(F.min("cid").alias("lo"))
@@ -409,13 +432,16 @@ def _clusters(spark: SparkSession, scratch: Scratch, large: DataFrame) -> DataFr
 
 
 def _between_blocks(large: DataFrame, comps: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
-    members = _with_components(large, comps).join(sets.select("cid", "n", "sketch"), "cid")
+    members = _with_components(large, comps).join(sets.select("cid", "n", F.col("coarse").alias("sketch")), "cid")
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("k")
-    content = members.groupBy("key", part, "parts").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    blocks = lambda rows: rows.groupBy("key", part, "parts").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # a group of one block meets itself where it is; the others' blocks meet by a join
+    alone = blocks(members.where("parts = 1")).where("c0 <> c1").select(F.col("m").alias("left"), F.col("m").alias("right"))
+    content = blocks(members.where("parts > 1"))
     left = content.select("key", F.col("m").alias("left"), F.col("c0").alias("l0"), F.col("c1").alias("l1"), F.explode(F.expr("sequence(k, parts - 1)")).alias("j"))
     right = content.select("key", F.col("k").alias("j"), F.col("m").alias("right"), F.col("c0").alias("r0"), F.col("c1").alias("r1"))
     open_ = left.join(right, ["key", "j"]).where("least(l0, r0) <> greatest(l1, r1)")
-    return open_.select("left", "right").mapInArrow(_block_pairs(best_only), "a long, b long").distinct()
+    return alone.unionByName(open_.select("left", "right")).mapInArrow(_block_pairs(best_only), "a long, b long").distinct()
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
