@@ -23,3 +23,29 @@ links AS MATERIALIZED (SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b
 everyone AS (SELECT doc_id AS id FROM documents), {_COMPONENTS},
 low AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT e.id AS doc_id, coalesce(n.n, 0) AS n_shingles, low.component_id FROM everyone e JOIN low ON low.id = e.id LEFT JOIN n ON n.doc_id = e.id"""
+
+#: crc32 of the bytes of every distinct feature, by its table of 256 entries.
+OP11 = r"""WITH RECURSIVE d AS MATERIALIZED (SELECT id, doc, w FROM (SELECT doc_id AS id, true AS doc, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark) t,
+  LATERAL (SELECT list_filter(string_split_regex(translate(coalesce(t.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w)),
+f AS MATERIALIZED (SELECT doc, id, g, count(*) AS n FROM (SELECT doc, id, unnest(w) AS g FROM d UNION ALL SELECT doc, id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)) GROUP BY ALL),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+b AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM f)), tab),
+k AS MATERIALIZED (SELECT r.b, coalesce(sum(n) FILTER (doc), 0) AS s, coalesce(sum(n) FILTER (NOT doc), 0) AS t FROM range(10000) r(b) LEFT JOIN b ON b.b = r.b LEFT JOIN f ON f.g = b.g GROUP BY r.b),
+gain AS MATERIALIZED (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM k) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM k) + 10000)::DOUBLE)))::BIGINT AS gain FROM k),
+w AS (SELECT id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM f JOIN b USING (g) JOIN gain USING (b) WHERE doc GROUP BY id),
+s AS (SELECT id AS doc_id, len(d.w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - (total % n + n) % n) // n ELSE 0 END AS weight, ('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (id) WHERE doc),
+c AS (SELECT doc_id, words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM s),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM c WHERE words >= 20)
+SELECT c.doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)"""
+
+OP13 = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+o AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS MATERIALIZED (SELECT lang, term, count(*) AS ln FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, ln FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL) c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p, 1 + 1000000000::HUGEINT * (ln + 1) // (sum(ln) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS q FROM k),
+t AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+s AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT p.lang, p.source, h.source AS item, sum((p.p - h.p) * (p.p - h.p) // h.p) AS value FROM p JOIN p h ON p.lang = h.lang AND p.term = h.term AND p.source <> h.source GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM t UNION ALL FROM s)) WHERE part = 'pair' OR rank <= 200"""

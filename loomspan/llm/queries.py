@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, cover_tree, jaccard, lang_id, line_dedup, nn_descent, oracles, packing, quality, suffix_dedup, warc
+from . import bpe, cover_tree, divergence, jaccard, lang_id, line_dedup, nn_descent, oracles, packing, quality, resampling, secret_scan, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,21 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(spark, table(spark, sf_dir, "documents"))
+    counts = [secret_scan.counted("base", name).alias(f"n_{name}") for name in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -64,6 +79,9 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE: dict[str, str] = {"op3_embedding_near_dedup": oracles.OP3, "op7_suffix_array_dedup": oracles.OP7, "op9_ngram_jaccard_join": oracles.OP9}
+ORACLE: dict[str, str] = {"op3_embedding_near_dedup": oracles.OP3, "op7_suffix_array_dedup": oracles.OP7, "op9_ngram_jaccard_join": oracles.OP9, "op11_importance_resampling": oracles.OP11, "op13_source_divergence": oracles.OP13}
