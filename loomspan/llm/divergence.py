@@ -13,17 +13,18 @@ from .common import Scratch, text_or_empty
 
 SCALE = 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms: all of ASCII but letters.
+_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, df``: occurrences, and rows that hold the term. A row's terms are sorted and counted as runs before anything is exploded."""
     text = F.translate(text_or_empty(), _UPPER, _LOWER)
-    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.sort_array(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))).alias("t"))
+    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.sort_array(F.split(text, _BETWEEN)).alias("t"))
     firsts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda i: i.isNotNull())
-    rows = rows.where(F.size("t") > 0).select("lang", "source", "t", firsts.alias("at"))
+    rows = rows.select("lang", "source", "t", firsts.alias("at"))
     runs = F.transform("at", lambda b, j: F.struct(F.get("t", b).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("t")) - b).alias("n")))
-    return rows.select("lang", "source", F.explode(runs).alias("r")).groupBy("lang", "source", F.col("r.term").alias("term")).agg(F.sum("r.n").alias("n"), F.count("*").alias("df"))
+    return rows.select("lang", "source", F.explode(runs).alias("r")).where("r.term <> ''").groupBy("lang", "source", F.col("r.term").alias("term")).agg(F.sum("r.n").alias("n"), F.count("*").alias("df"))
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
