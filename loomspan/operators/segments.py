@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import BLOCK, SAMPLING_RATE, VadParams
+from ..tables import Rounds
+from .ordered import as_of, scanned
+
+#: Cells that long recordings are cut into: samples (35 minutes at 16 kHz), intervals, frames.
+CELL_SAMPLES, CELL_INTERVALS, CELL_FRAMES = 1 << 25, 1 << 14, 1 << 16
+#: Positions that one row of the packing's jump table leaps over at first.
+BLOCK_OF_JUMPS = 512
+
 
 def _order():
     return Window.partitionBy("rec_id").orderBy("k")
@@ -24,43 +34,58 @@ def speech_totals(intervals: DataFrame, rate: int = SAMPLING_RATE) -> DataFrame:
     return g.select("rec_id", (F.col("kept") / rate).alias("kept_s"), ((F.col("last") - F.col("kept")) / rate).alias("removed_s"))
 
 
-def time_map(intervals: DataFrame) -> DataFrame:
-    """Chunks on the timeline without silence: ``rec_id, k, lo, hi, silence`` (samples); chunk k covers [lo, hi) and ``silence`` was removed before it."""
+def time_map(intervals: DataFrame, mark_last: bool = True) -> DataFrame:
+    """Chunks on the timeline without silence: ``rec_id, k, lo, hi, silence`` (samples); chunk k covers [lo, hi) and ``silence`` was removed before it.
+
+    ``mark_last`` adds ``is_last``, which takes a join with each recording's last k.
+    """
     size = F.col("end") - F.col("start")
-    until = F.sum(size).over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    chunks = intervals.select("rec_id", "k", (until - size).alias("lo"), until.alias("hi"), (F.col("start") - (until - size)).alias("silence"))
-    last = F.max("k").over(Window.partitionBy("rec_id"))
-    return chunks.withColumn("is_last", F.col("k") == last)
+    summed = scanned(intervals.select("rec_id", "k", "start", "end"), ["rec_id"], F.floor(F.col("k") / CELL_INTERVALS), ["k"], hi=(size, F.sum))
+    chunks = summed.select("rec_id", "k", (F.col("hi") - size).alias("lo"), "hi", (F.col("start") - (F.col("hi") - size)).alias("silence"))
+    if not mark_last:
+        return chunks
+    last = intervals.groupBy("rec_id").agg(F.max("k").alias("last"))
+    return chunks.join(last, "rec_id").withColumn("is_last", F.col("k") == F.col("last")).drop("last")
+
+
+def chunk_of(times: DataFrame, chunks: DataFrame, sample: Column) -> DataFrame:
+    """Adds ``chunk`` (``k, silence``) to times at ``sample`` of the timeline without silence: the last chunk that begins at or before it, the first one before all.
+
+    Times and chunk borders are sorted together; a recording's borders never meet all of its times. Null times, and times of recordings without chunks, are dropped.
+    """
+    found = as_of(times, chunks, ["rec_id"], F.greatest(sample, F.lit(0)), F.col("lo"), F.struct("k", "silence"), CELL_SAMPLES, "chunk")
+    return found.where("chunk is not null")
 
 
 def original_times(times: DataFrame, chunks: DataFrame, rate: int = SAMPLING_RATE, places: int = 2) -> DataFrame:
     """Maps ``rec_id, t_no, t (seconds), is_end`` to the original timeline: ``k`` and ``original``.
 
     A start at a boundary belongs to the chunk that begins there, an end to the one that ends there; what lies behind the last chunk
-    belongs to it. An equi-join on the recording with a range condition; chunks are the small side and Spark decides how they travel.
+    belongs to it.
     """
     s = F.floor(F.col("t") * rate).cast("long")
-    at = times.withColumn("s", s)
-    end = F.col("is_end") & (F.col("s") > 0)
-    inside = F.when(end, (F.col("lo") < F.col("s")) & (F.col("s") <= F.col("hi"))).otherwise((F.col("lo") <= F.col("s")) & (F.col("s") < F.col("hi")))
-    behind = F.col("is_last") & F.when(end, F.col("s") > F.col("hi")).otherwise(F.col("s") >= F.col("hi"))
-    found = at.join(chunks, "rec_id").where(inside | behind)
-    return found.select(*times.columns, "k", F.bround(F.col("silence") / rate + F.col("t"), places).alias("original"))
+    found = chunk_of(times, chunks, F.when(F.col("t").isNotNull(), F.when(F.col("is_end") & (s > 0), s - 1).otherwise(s)))
+    return found.select(*times.columns, "chunk.k", F.bround(F.col("chunk.silence") / rate + F.col("t"), places).alias("original"))
+
+
+def chunk_numbers(times: DataFrame, chunks: DataFrame, rate: int = SAMPLING_RATE) -> DataFrame:
+    """``chunk`` for each of ``rec_id, t_no, t``: the number of chunks that end at or before it, the last one at most."""
+    found = chunk_of(times, chunks, F.floor(F.col("t") * rate).cast("long"))
+    return found.select(*times.columns, F.col("chunk.k").cast("long").alias("chunk"))
 
 
-def restore_words(words: DataFrame, chunks: DataFrame, rate: int = SAMPLING_RATE) -> DataFrame:
+def restore_words(words: DataFrame, chunks: DataFrame, rate: int = SAMPLING_RATE, places: int = 2) -> DataFrame:
     """Words on the original timeline; both ends follow the chunk that holds the word's middle."""
-    mid = words.withColumn("t", (F.col("start") + F.col("end")) / 2).withColumn("is_end", F.lit(False))
-    s = F.floor(F.col("t") * rate).cast("long")
-    found = mid.withColumn("s", s).join(chunks, "rec_id").where(((F.col("lo") <= F.col("s")) & (F.col("s") < F.col("hi"))) | (F.col("is_last") & (F.col("s") >= F.col("hi"))))
-    shift = F.col("silence") / rate
-    return found.select("rec_id", "seg_no", "word_no", "k", F.bround(F.col("start") + shift, 2).alias("start"), F.bround(F.col("end") + shift, 2).alias("end"))
+    found = chunk_of(words, chunks, F.floor((F.col("start") + F.col("end")) / 2 * rate).cast("long"))
+    shift = F.col("chunk.silence") / rate
+    return found.select("rec_id", "seg_no", "word_no", "chunk.k", F.bround(F.col("start") + shift, places).alias("start"), F.bround(F.col("end") + shift, places).alias("end"))
 
 
 def drop_silence(frames: DataFrame, intervals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Frames of ``block`` samples that begin within an interval."""
-    at = F.col("f.frame_no") * block
-    return frames.alias("f").join(intervals.alias("i"), (F.col("f.rec_id") == F.col("i.rec_id")) & (at >= F.col("i.start")) & (at < F.col("i.end")), "left_semi")
+    """Frames of ``block`` samples that begin within an interval; frames and intervals are sorted together, and intervals may overlap."""
+    at = (F.col("frame_no") * block).cast("long")
+    found = as_of(frames, intervals.where("start < end"), ["rec_id"], at, F.col("start"), F.col("end"), CELL_SAMPLES, "__until")
+    return found.where(at < F.col("__until")).select(*frames.columns)
 
 
 def pack_intervals(intervals: DataFrame, max_samples: int, rate: int = SAMPLING_RATE) -> DataFrame:
@@ -68,18 +93,50 @@ def pack_intervals(intervals: DataFrame, max_samples: int, rate: int = SAMPLING_
 
     The interval that no longer fits begins the next chunk and counts to its length, but isn't listed among its segments; an interval over
     the limit at the very start leaves an empty chunk before it.
+
+    Where a chunk that begins at some interval ends follows from prefix sums. These pointers are followed by doubling: each interval first leaps
+    to where its chain leaves a block of BLOCK_OF_JUMPS intervals, then twice, four times as far, until no chain goes on. No row holds a recording.
     """
-    items = F.array_sort(F.collect_list(F.struct("k", "start", "end")))
-    nothing = "cast(array() as array<struct<start: bigint, end: bigint>>)"
-    fold = f"""aggregate(items, struct(cast(0 as bigint) as size, cast(0 as bigint) as done, {nothing} as segs,
-        cast(array() as array<struct<offset: double, duration: double, segments: array<struct<start: bigint, end: bigint>>>>) as out),
-        (a, x) -> if(a.size + x.end - x.start > {max_samples},
-            struct(x.end - x.start as size, a.done + a.size as done, {nothing} as segs,
-                concat(a.out, array(struct(cast(a.done as double) / {rate} as offset, cast(a.size as double) / {rate} as duration, a.segs as segments))) as out),
-            struct(a.size + x.end - x.start as size, a.done as done, concat(a.segs, array(struct(x.start as start, x.end as end))) as segs, a.out as out)),
-        a -> concat(a.out, array(struct(cast(a.done as double) / {rate} as offset, cast(a.size as double) / {rate} as duration, a.segs as segments))))"""
-    packed = intervals.groupBy("rec_id").agg(items.alias("items")).select("rec_id", F.expr(fold).alias("chunks"))
-    return packed.select("rec_id", F.posexplode("chunks").alias("chunk_no", "c")).select("rec_id", "chunk_no", "c.offset", "c.duration", "c.segments")
+    spark = intervals.sparkSession
+    rounds = Rounds(spark, "packing")
+    size = F.col("end") - F.col("start")
+    cell = F.floor(F.col("k") / CELL_INTERVALS)
+    items = scanned(intervals.select("rec_id", "k", "start", "end"), ["rec_id"], cell, ["k"], hi=(size, F.sum), pos=(F.lit(1).cast("long"), F.sum))
+    items = items.select("rec_id", (F.col("pos") - 1).alias("pos"), "start", "end", (F.col("hi") - size).alias("lo"), "hi")
+    fits = as_of(items, items, ["rec_id"], F.col("lo") + max_samples, F.col("hi"), F.col("pos"), CELL_SAMPLES, "fits")
+    items = rounds.write(fits.withColumn("nxt", F.greatest("fits", "pos") + 1).drop("fits"), "items")
+
+    # where the chain of each interval leaves its block, and after how many chunks
+    block = F.floor(F.col("pos") / BLOCK_OF_JUMPS)
+    blocks = items.groupBy("rec_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "nxt"))).alias("b"))
+    leave = """aggregate(reverse(b), cast(array() as array<struct<pos: bigint, `to`: bigint, n: bigint>>), (a, x) -> concat(array(
+        if(x.nxt - x.pos > size(a), named_struct('pos', x.pos, 'to', x.nxt, 'n', 1L), named_struct('pos', x.pos, 'to', a[cast(x.nxt - x.pos - 1 as int)].`to`, 'n', a[cast(x.nxt - x.pos - 1 as int)].n + 1))), a))"""
+    exits = blocks.selectExpr("rec_id", f"inline({leave}) as (pos, dest, n)")
+    last = items.groupBy("rec_id").agg(F.max("pos").alias("last"))
+    jumps = rounds.write(exits.join(last, "rec_id").where("dest <= last").drop("last"), "jumps")
+    first = items.where("pos = 0").select("rec_id", "pos", F.when(size > max_samples, 1).otherwise(0).cast("long").alias("chunk_no"))
+    reached = rounds.write(first, "entries")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, ["rec_id", "pos"]).select("rec_id", F.col("dest").alias("pos"), (F.col("chunk_no") + F.col("n")).alias("chunk_no"))
+        both = rounds.write(reached.unionByName(more), "entries")
+        far = jumps.alias("a").join(jumps.alias("b"), F.expr("a.rec_id <=> b.rec_id and a.dest = b.pos")).selectExpr("a.rec_id", "a.pos", "b.dest", "a.n + b.n as n")
+        far = rounds.write(far, "jumps")
+        rounds.drop(reached, jumps)
+        reached, jumps = both, far
+
+    # the chunks that begin in a block, from its entry on
+    entered = reached.withColumn("block", block).withColumnRenamed("pos", "entry").join(blocks, ["rec_id", "block"])
+    walk = """aggregate(b, named_struct('nxt', entry, 'starts', cast(array() as array<bigint>)), (a, x) -> if(x.pos = a.nxt, named_struct('nxt', x.nxt, 'starts', concat(a.starts, array(x.pos))), a), a -> a.starts)"""
+    starts = entered.select("rec_id", "chunk_no", F.posexplode(F.expr(walk)).alias("i", "pos")).select("rec_id", "pos", (F.col("chunk_no") + F.col("i")).alias("chunk_no"))
+    placed = as_of(items, starts, ["rec_id"], F.col("pos"), F.col("pos"), F.struct(F.col("pos").alias("first"), "chunk_no"), CELL_INTERVALS, "c")
+    listed = F.when((F.col("c.chunk_no") == 0) | (F.col("pos") > F.col("c.first")), F.struct("pos", "start", "end"))
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    packed = placed.groupBy("rec_id", F.col("c.chunk_no").alias("chunk_no")).agg(F.min("lo").alias("lo"), F.sum(size).alias("size"), F.array_sort(F.collect_list(listed)).alias("s"))
+    segments = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    seconds = lambda c: (F.col(c).cast("double") / rate)
+    packed = packed.select("rec_id", "chunk_no", seconds("lo").alias("offset"), seconds("size").alias("duration"), segments.alias("segments"))
+    empty = first.where("chunk_no = 1").select("rec_id", F.lit(0).cast("long").alias("chunk_no"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("duration"), none.alias("segments"))
+    return packed.unionByName(empty)
 
 
 def _segmentation(p: VadParams, rate: int) -> str:
@@ -117,24 +174,55 @@ def _segmentation(p: VadParams, rate: int) -> str:
     return f"aggregate(items, {begin}, (a, x) -> {body}, {finish})"
 
 
+def _unlimited(frames: DataFrame, p: VadParams, rate: int) -> DataFrame:
+    """Speech without a limit on its length, as islands: a gap closes it whose quiet frames span the asked silence. ``rec_id, start, last_start, end`` (null: open)."""
+    cell = F.floor(F.col("frame_no") / CELL_FRAMES)
+    loud = F.col("prob") >= p.threshold
+    runs = scanned(frames, ["rec_id"], cell, ["frame_no"], since=(F.when(loud, F.col("frame_no")), F.max)).where("since is not null")
+    quiet = F.when(F.col("prob") < p.low, F.col("frame_no") * BLOCK)
+    runs = runs.groupBy("rec_id", "since").agg(F.min(quiet).alias("first"), F.max(quiet).alias("last"))
+    ends = F.col("last") - F.col("first") >= p.samples(p.min_silence_duration_ms, rate)
+    runs = scanned(runs, ["rec_id"], F.floor(F.col("since") / CELL_FRAMES), ["since"], strict=True, segment=(F.when(ends, F.col("since")), F.max))
+    found = runs.groupBy("rec_id", "segment").agg((F.min("since") * BLOCK).alias("start"), F.max(F.when(ends, F.col("first"))).alias("end"))
+    return found.select("rec_id", "start", "end")
+
+
+def _pieces(frames: DataFrame, p: VadParams, rate: int) -> DataFrame:
+    """Frames with ``piece``, within which speech can be followed from a closed start; frames between pieces are left out.
+
+    Where all of the last 2m + 2 frames were quiet, m frames being the asked silence, speech is closed whatever came before: a limit of length can
+    restart the count of silence once, and a second one closes. The quiet frames are counted within a cell, which finds such places later, never wrongly.
+    """
+    m = math.ceil(p.samples(p.min_silence_duration_ms, rate) / BLOCK)
+    cell = F.floor(F.col("frame_no") / CELL_FRAMES)
+    inside = Window.partitionBy("rec_id", "__c").orderBy("frame_no")
+    rows = frames.withColumn("__c", cell)
+    broken = (F.col("prob") >= min(p.low, p.threshold)) | F.coalesce(F.col("frame_no") - F.lag("frame_no").over(inside) != 1, F.lit(True))
+    rows = rows.withColumn("__b", F.when(broken, F.col("frame_no")))
+    rows = rows.withColumn("__still", F.col("frame_no") - F.max("__b").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) >= 2 * m + 2)
+    rows = scanned(rows, ["rec_id"], F.col("__c"), ["frame_no"], piece=(F.when(F.col("__still"), F.col("frame_no")), F.max))
+    return rows.where("not __still").select("rec_id", F.coalesce("piece", F.lit(-1).cast("long")).alias("piece"), "frame_no", "prob")
+
+
 def speech_segments(frames: DataFrame, params: VadParams | dict | None = None, rate: int = SAMPLING_RATE, lengths: DataFrame | None = None) -> DataFrame:
     """Speech intervals from frame probabilities (``rec_id, frame_no, prob``): ``rec_id, k, start, end`` in samples, padded.
 
-    ``lengths`` (``rec_id, samples``) tells how long recordings are; all frames are taken as whole otherwise. One recording is one fold.
+    ``lengths`` (``rec_id, samples``) tells how long recordings are; all frames are taken as whole otherwise. Without a limit on the length of
+    speech, intervals are found as islands by running maxima over cells of frames. With one, a recording is cut where speech is closed whatever
+    came before, and each piece is followed on its own; what one row holds is speech without a pause of twice the asked silence.
     """
     p = VadParams.of(params)
-    items = frames.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("frame_no").alias("i"), F.col("prob").alias("p")))), lambda x: x).alias("items"))
-    items = items.withColumn("total", F.size("items").cast("long") * BLOCK)
-    if lengths is not None:
-        items = items.join(lengths, "rec_id").withColumn("total", F.col("samples").cast("long"))
-    found = items.select("rec_id", "total", F.posexplode(F.expr(_segmentation(p, rate))).alias("k", "s")).select("rec_id", "total", F.col("k").cast("long").alias("k"), "s.start", "s.end")
+    frames = frames.select("rec_id", F.col("frame_no").cast("long").alias("frame_no"), "prob").where("prob is not null")
+    totals = frames.groupBy("rec_id").agg((F.count("*") * BLOCK).alias("total")) if lengths is None else lengths.select("rec_id", F.col("samples").cast("long").alias("total"))
+    if p.longest(rate) == float("inf") and p.low <= p.threshold:
+        found = _unlimited(frames, p, rate).join(totals, "rec_id").withColumn("end", F.coalesce("end", "total"))
+        found = found.where(F.col("end") - F.col("start") > p.samples(p.min_speech_duration_ms, rate))
+    else:
+        items = _pieces(frames, p, rate).groupBy("rec_id", "piece").agg(F.array_sort(F.collect_list(F.struct(F.col("frame_no").alias("i"), F.col("prob").alias("p")))).alias("items"))
+        found = items.join(totals, "rec_id").select("rec_id", "total", F.inline(F.expr(_segmentation(p, rate))))
+    found = found.select("rec_id", "total", "start", "end", (F.row_number().over(Window.partitionBy("rec_id").orderBy("start", "end")) - 1).cast("long").alias("k"))
     pad = int(p.samples(p.speech_pad_ms, rate))
-    totals = found.select("rec_id", "k", "total")
-    return pad_intervals_of(found, pad).join(totals, ["rec_id", "k"]).select("rec_id", "k", "start", F.least("end", "total").alias("end"))
-
-
-def pad_intervals_of(found: DataFrame, pad: int) -> DataFrame:
-    return pad_intervals(found, pad, F.lit((1 << 62)))
+    return pad_intervals(found, pad, F.col("total"))
 
 
 def clip_pairs(spec: Column, content_frames: Column, frames_per_second: int = 100) -> Column:

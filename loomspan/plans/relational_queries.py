@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import features as X, quality as Q, reports as P
 from ..sources import relations as R, scans
+from ..params import VadParams
 from ..streaming import sessions as ST
+from ..streaming.machine import STORE, speech_stream
+from ..tables import shared_folder
+from . import oracles
 from .registry import query
 
 
@@ -291,14 +295,10 @@ def w9(spark, d):
 
 # --- streams ----------------------------------------------------------------------------------
 
-_N = [0]
-
-
-def _stream(spark: SparkSession, d: str, build, mode: str = "complete") -> DataFrame:
+def _stream(spark: SparkSession, d: str, build, mode: str = "complete", **settings: str) -> DataFrame:
     schema = R.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    _N[0] += 1
-    return ST.run_once(build(events), f"loomspan_{_N[0]}", tempfile.mkdtemp(prefix="loomspan-stream-"), mode)
+    return ST.run_once(build(events), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", mode, **settings)
 
 
 @query("ST1_sessions", """SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 7200 AS "end", count(*) AS n, round_even(sum(value), 4) AS total FROM (SELECT *, sum(CASE WHEN gap >= 7200 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events)) GROUP BY user_id, s""")
@@ -317,7 +317,11 @@ def st3(spark, d):
     return _stream(spark, d, lambda e: ST.tumbling(e, "1 hour", hop="30 minutes")).select(F.unix_timestamp("start").alias("start"), "event_type", "n", "total")
 
 
-@query("ST4_speech_stream")
+_ST4 = VadParams(threshold=0.2, min_silence_duration_ms=600, min_speech_duration_ms=100, speech_pad_ms=120, max_speech_duration_s=8, min_silence_at_max_speech=250)
+
+
+@query("ST4_speech_stream", oracles.speech("(SELECT user_id % 7 AS rec_id, event_id AS no, least(value / 200, 1.0::DOUBLE) AS prob FROM events)", _ST4, ended=False))
 def st4(spark, d):
-    """Frames of the stream carry their number, so that state can be kept across batches."""
-    return _stream(spark, d, lambda e: ST.speech_stream(e.selectExpr("user_id as rec_id", "event_id as frame_no", "least(value / 200, 1.0D) as prob")), "append")
+    """Seven recordings, whose frames are numbered by event; the last interval of each waits for its successor, as no frame ends it."""
+    frames = lambda e: e.selectExpr("user_id % 7 as rec_id", "event_id as frame_no", "least(value / 200, 1.0D) as prob")
+    return _stream(spark, d, lambda e: speech_stream(frames(e), _ST4), "append", **{STORE[0].replace(".", "__"): STORE[1]})

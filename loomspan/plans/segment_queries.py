@@ -8,6 +8,7 @@ from ..functions import time as C
 from ..operators import decoding as D, features as X, segments as S, words as W
 from ..params import DecodeParams, VadParams
 from ..sources import relations as R
+from . import oracles
 from .registry import query
 
 _MAP = """SELECT rec_id, k, hi - size AS lo, hi, start - (hi - size) AS silence, k = max(k) OVER (PARTITION BY rec_id) AS is_last FROM (SELECT *, "end" - start AS size, sum("end" - start) OVER (PARTITION BY rec_id ORDER BY k)::BIGINT AS hi FROM intervals)"""
@@ -32,22 +33,23 @@ _TIMES = 'SELECT rec_id, k AS t_no, (k * 17000 + (k * 7919) % 9000) / 16000.0::D
 def j1(spark, d):
     i = R.intervals(spark, d)
     times = i.selectExpr("rec_id", "k as t_no", "(k * 17000 + (k * 7919) % 9000) / 16000.0D as t", "k % 2 = 1 as is_end")
-    return S.original_times(times, S.time_map(i), places=8)
+    return S.original_times(times, S.time_map(i, mark_last=False), places=8)
 
 
 @query("X13_chunk_of_time", R.oracle(f"SELECT t.rec_id, t.t_no, least((SELECT count(*) FROM ({_MAP}) m WHERE m.rec_id = t.rec_id AND m.hi <= floor(t.t * 16000)), (SELECT count(*) - 1 FROM intervals i WHERE i.rec_id = t.rec_id)) AS chunk FROM ({_TIMES}) t", "intervals"))
 def x13(spark, d):
     i = R.intervals(spark, d)
-    ends = S.time_map(i).groupBy("rec_id").agg(F.array_sort(F.collect_list("hi")).alias("ends"))
     times = i.selectExpr("rec_id", "k as t_no", "(k * 17000 + (k * 7919) % 9000) / 16000.0D as t")
-    return times.join(ends, "rec_id").select("rec_id", "t_no", F.least(F.size(F.filter("ends", lambda e: e <= F.floor(F.col("t") * 16000))), F.size("ends") - 1).cast("long").alias("chunk"))
+    return S.chunk_numbers(times, S.time_map(i, mark_last=False)).select("rec_id", "t_no", "chunk")
 
 
-@query("J1_restore_words")
+@query("J1_restore_words", R.oracle(f"""SELECT w.rec_id, w.seg_no, w.word_no, m.k, round_even(w.start + m.silence / 16000.0::DOUBLE, 8) AS start, round_even(w."end" + m.silence / 16000.0::DOUBLE, 8) AS "end"
+    FROM (SELECT rec_id, 0::BIGINT AS seg_no, k AS word_no, k * 0.7::DOUBLE AS start, k * 0.7::DOUBLE + 0.4::DOUBLE AS "end", floor((k * 0.7::DOUBLE + (k * 0.7::DOUBLE + 0.4::DOUBLE)) / 2 * 16000)::BIGINT AS s FROM intervals) w
+    JOIN ({_MAP}) m ON w.rec_id = m.rec_id AND (m.lo <= w.s AND w.s < m.hi OR m.is_last AND w.s >= m.hi)""", "intervals"))
 def j1w(spark, d):
     i = R.intervals(spark, d)
     words = i.selectExpr("rec_id", "cast(0 as bigint) as seg_no", "k as word_no", "k * 0.7D as start", "k * 0.7D + 0.4D as end")
-    return S.restore_words(words, S.time_map(i))
+    return S.restore_words(words, S.time_map(i, mark_last=False), places=8)
 
 
 @query("A15_speech_totals", R.oracle('SELECT rec_id, sum("end" - start) / 16000.0::DOUBLE AS kept_s, (max("end") - sum("end" - start)) / 16000.0::DOUBLE AS removed_s FROM intervals GROUP BY rec_id', "intervals"))
@@ -75,9 +77,12 @@ def _speech(spark: SparkSession, d: str, p: VadParams) -> DataFrame:
     return S.speech_segments(R.frames(spark, d), p)
 
 
-@query("F1_speech_segments")
+_F1 = VadParams(threshold=0.2, min_silence_duration_ms=60, speech_pad_ms=10, max_speech_duration_s=0.5, min_silence_at_max_speech=20)
+
+
+@query("F1_speech_segments", R.oracle(oracles.speech("(SELECT rec_id, frame_no AS no, prob FROM frames)", _F1), "frames"))
 def f1(spark, d):
-    return _speech(spark, d, VadParams(threshold=0.2, min_silence_duration_ms=60, speech_pad_ms=10, max_speech_duration_s=0.5, min_silence_at_max_speech=20))
+    return _speech(spark, d, _F1)
 
 
 @query("F1_simple_sessions", R.oracle("""SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY min(frame_no)) - 1 AS k, min(frame_no) * 512 AS start, (max(frame_no) + 1) * 512 AS "end"
@@ -87,6 +92,14 @@ def f1s(spark, d):
     return _speech(spark, d, VadParams(threshold=0.25, neg_threshold=0.25, min_silence_duration_ms=0, speech_pad_ms=0))
 
 
+@query("F1_unlimited_speech", R.oracle("""SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start) - 1 AS k, start, "end" FROM (SELECT rec_id, min(frame_no) * 512 AS start, coalesce(max(first) FILTER (closes), any_value(n) * 512) AS "end" FROM
+    (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM
+      (SELECT rec_id, min(frame_no) FILTER (prob >= 0.3) AS frame_no, any_value(n) AS n, min(frame_no * 512) FILTER (prob < 0.15) AS first, coalesce(max(frame_no * 512) FILTER (prob < 0.15) - min(frame_no * 512) FILTER (prob < 0.15) >= 1600, false) AS closes FROM
+        (SELECT *, count(*) FILTER (prob >= 0.3) OVER (PARTITION BY rec_id ORDER BY frame_no) AS run, count(*) OVER (PARTITION BY rec_id) AS n FROM frames) WHERE run > 0 GROUP BY rec_id, run)) GROUP BY rec_id, segment) WHERE "end" - start > 800""", "frames"))
+def f1u(spark, d):
+    return _speech(spark, d, VadParams(threshold=0.3, neg_threshold=0.15, min_silence_duration_ms=100, min_speech_duration_ms=50, speech_pad_ms=0))
+
+
 @query("P4_clip_pairs", "SELECT part.p_partkey, 100 * p_size AS start, CASE WHEN p_size % 2 = 0 THEN 100 * (p_size + 7) ELSE 9000 END AS \"end\" FROM part")
 def p4(spark, d):
     spec = F.expr("if(p_size % 2 = 0, concat(p_size, ',', p_size + 7), cast(p_size as string))")

@@ -1,17 +1,11 @@
-"""Streams of speech frames: sessions by gap, windows, and the hysteresis machine with kept state.
+"""Streams of events: sessions by gap, windows, and running a query to the end of its input.
 
 Late data: events behind the watermark are dropped. That is an addition of this library; recordings that are read whole have none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..params import BLOCK, VadParams
 
 WATERMARK = "1 hour"
 
@@ -30,47 +24,30 @@ def tumbling(events: DataFrame, length: str = "1 hour", watermark: str = WATERMA
     return events.withWatermark(ts, watermark).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-_STATE = "open boolean, start long, quiet long, frames long"
-
-
-def speech_stream(frames: DataFrame, params: VadParams | None = None, rate: int = 16_000) -> DataFrame:
-    """Speech intervals from a stream of ``rec_id, frame_no, prob``, without the limit on length and without padding: ``rec_id, start, end``.
+def run_once(stream: DataFrame, folder: str, mode: str = "append", **settings: str) -> DataFrame:
+    """Runs a query over all that is there now and returns the table that its batches wrote below ``folder``, which also holds its checkpoint.
 
-    State is kept by recording: whether speech is open, since when, and since when it is quiet. An interval is emitted when it closes, and the
-    last when a frame with a null probability ends the recording. Frames of a recording come in order, over any number of batches.
+    Tasks write; nothing passes through the driver. In ``complete`` mode the last batch holds the result, else all batches together. A batch
+    that is repeated after a failure overwrites itself. ``settings`` (``__`` for dots) hold while the query runs.
     """
-    p = params or VadParams()
-    silence, speech = p.samples(p.min_silence_duration_ms, rate), p.samples(p.min_speech_duration_ms, rate)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_, start, quiet, count = state.get if state.exists else (False, 0, -1, 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("frame_no").itertuples():
-            at = BLOCK * int(row.frame_no)
-            if pd.isna(row.prob):
-                if open_ and at - start > speech:
-                    out.append((key[0], start, at))
-                open_, quiet = False, -1
-                continue
-            count = int(row.frame_no) + 1
-            if row.prob >= p.threshold:
-                quiet = -1
-                if not open_:
-                    open_, start = True, at
-            elif row.prob < p.low and open_:
-                quiet = at if quiet < 0 else quiet
-                if at - quiet >= silence:
-                    if quiet - start > speech:
-                        out.append((key[0], start, quiet))
-                    open_, quiet = False, -1
-        state.update((open_, start, quiet, count))
-        yield pd.DataFrame(out, columns=["rec_id", "start", "end"])
-
-    return frames.groupBy("rec_id").applyInPandasWithState(step, "rec_id long, start long, end long", _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a query over all that is there now and returns what it wrote to a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    results = f"{folder}/results"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{results}/batch={number}")
+
+    before = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k.replace("__", "."), v)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    where = spark._jvm.org.apache.hadoop.fs.Path(results)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], stream.schema)
+    wrote = spark.read.schema(stream.schema.add("batch", "long")).parquet(results)
+    if mode == "complete":
+        wrote = wrote.where(F.col("batch") == wrote.agg(F.max("batch")).first()[0])
+    return wrote.drop("batch")
