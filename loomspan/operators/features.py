@@ -1,16 +1,16 @@
 """Signal features: windows, overlapping frames, spectra and mel energies.
 
-A recording is an array of samples, never a row a sample. Spectra are computed in Arrow batches with numpy;
-``relational_power`` states the same transform relationally, for small signals and as a check.
+Samples travel in blocks, never a row a sample. Blocks exchange their ends, so that spectra are computed block by block in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..params import WINDOW_FRAMES
 
@@ -71,43 +71,79 @@ def mel_filters(rate: int = 16_000, n_fft: int = 400, n_mels: int = 80) -> np.nd
     return np.maximum(0, np.minimum(rise, fall)) * (2 / (edge[2:] - edge[:-2]))[:, None]
 
 
-def spectrum(samples: np.ndarray, n_fft: int = 400, hop: int = 160) -> np.ndarray:
-    """Power of a signal mirrored at its ends, frames along the last axis."""
-    x = np.pad(samples, n_fft // 2, mode="reflect") if len(samples) > n_fft // 2 else np.pad(samples, n_fft // 2)
-    frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop]
-    return np.abs(np.fft.rfft(frames * hann(n_fft), axis=1)).T ** 2
+def blocks_of(signals: DataFrame, block: int, samples: str = "samples") -> DataFrame:
+    """``rec_id, block_no, samples``: successive blocks, the last as long as it is; an empty signal has none."""
+    n = F.ceil(F.size(samples) / block).cast("int")
+    e = signals.where(F.size(samples) > 0).select("rec_id", F.col(samples).alias("x"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block_no"))
+    return e.select("rec_id", F.col("block_no").cast("long").alias("block_no"), F.slice("x", F.col("block_no") * block + 1, F.lit(block)).alias("samples"))
 
 
-def log_mel(signals: DataFrame, rate: int = 16_000, n_fft: int = 400, hop: int = 160, n_mels: int = 80, samples: str = "samples") -> DataFrame:
-    """``rec_id, frame_no, mel``: log10 of mel energies, at most 8 below the recording's maximum, shifted and scaled to about -1..1."""
-    filters = mel_filters(rate, n_fft, n_mels)
+def with_halos(blocks: DataFrame, reach: int) -> DataFrame:
+    """Blocks (``rec_id, block_no, samples``) with ``reach`` samples of their neighbours on either side, mirrored at the ends of the signal.
+
+    All blocks but the last have one length, of more than ``reach``. Each block sends its ends to its neighbours, so that only those move between rows.
+    A signal of at most ``reach`` samples has zeros around it. Adds ``is_last``; null samples drop out.
+    """
+    own = blocks.where(F.size("samples") > 0).select("rec_id", "block_no", F.col("samples").cast("array<double>").alias("samples"))
+    size = F.size("samples")
+    before = own.select("rec_id", (F.col("block_no") + 1).alias("block_no"), F.slice("samples", F.greatest(size - reach + 1, F.lit(1)), F.lit(reach)).alias("before"))
+    after = own.select("rec_id", (F.col("block_no") - 1).alias("block_no"), F.slice("samples", F.lit(1), F.lit(reach)).alias("after"))
+    met = own.join(before, ["rec_id", "block_no"], "left").join(after, ["rec_id", "block_no"], "left")
+    zeros = F.array_repeat(F.lit(0.0), reach)
+    tiny = F.col("before").isNull() & F.col("after").isNull() & (size <= reach)
+    left = F.coalesce(F.col("before"), F.when(tiny, zeros).otherwise(F.reverse(F.slice("samples", F.lit(2), F.lit(reach)))))
+    met = met.select("rec_id", "block_no", tiny.alias("tiny"), F.col("after").isNull().alias("is_last"), size.alias("n"), F.concat(left, "samples", F.coalesce("after", F.array().cast("array<double>"))).alias("x"))
+    # where the signal ends within reach, what lacks is mirrored about its last sample
+    lacks = F.col("n") + 2 * reach - F.size("x")
+    mirrored = F.slice(F.reverse("x"), F.lit(2), lacks)
+    return met.select("rec_id", "block_no", "is_last", "n", F.concat("x", F.when(F.col("tiny"), zeros).otherwise(mirrored)).alias("x"))
+
+
+def stft_power(blocks: DataFrame, block: int, n_fft: int = 400, hop: int = 160) -> DataFrame:
+    """Power of Hann-windowed frames about every ``hop``-th sample: ``rec_id, frame_no, power`` (n_fft / 2 + 1 values), one frame more than whole hops.
+
+    A frame is computed in the row of the block that its middle lies in, from the block and its halos; ``block`` is a multiple of ``hop``.
+    """
+    if block % hop or block <= n_fft // 2 or n_fft % 2:
+        raise ValueError("blocks are whole hops, longer than half a frame, and frames are even")
+    window = hann(n_fft)
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for rec, x in zip(pdf["rec_id"], pdf["samples"], strict=True):
-                power = spectrum(np.asarray(x, dtype=float), n_fft, hop)[:, :-1]
-                e = np.log10(np.maximum(filters @ power, 1e-10))
-                e = (np.maximum(e, e.max() - 8) + 4) / 4 if e.size else e
-                yield pd.DataFrame({"rec_id": rec, "frame_no": np.arange(e.shape[1]), "mel": list(e.T)})
+            for rec, no, last, n, x in zip(pdf["rec_id"], pdf["block_no"], pdf["is_last"], pdf["n"], pdf["x"], strict=True):
+                frames = np.lib.stride_tricks.sliding_window_view(np.asarray(x, dtype=float), n_fft)[::hop]
+                frames = frames[: n // hop + 1 if last else block // hop]
+                power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
+                yield pd.DataFrame({"rec_id": rec, "frame_no": no * (block // hop) + np.arange(len(power)), "power": list(power)})
 
-    return signals.select("rec_id", F.col(samples).alias("samples")).mapInPandas(run, "rec_id long, frame_no long, mel array<double>")
+    return with_halos(blocks, n_fft // 2).mapInPandas(run, "rec_id long, frame_no long, power array<double>")
 
 
-def relational_power(signals: DataFrame, samples: str = "samples") -> DataFrame:
-    """Discrete Fourier power of whole arrays: ``rec_id, bin, power``, by two aggregations over the elements."""
-    n = F.size(samples)
-    e = signals.select("rec_id", samples, n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor(n / 2).cast("int"))).alias("bin"))
-    zero = F.lit(0.0)
-    angle = lambda i: F.lit(2 * math.pi) * F.col("bin") * i / F.col("n")
-    part = lambda f: F.aggregate(F.transform(samples, lambda x, i: x.cast("double") * f(angle(i))), zero, lambda a, x: a + x)
-    return e.select("rec_id", "bin", (F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2)).alias("power"))
+def power_rows(power: DataFrame) -> DataFrame:
+    return power.select("rec_id", "frame_no", F.posexplode("power").alias("bin", "power")).withColumn("bin", F.col("bin").cast("long"))
+
+
+def mel_energies(spark: SparkSession, power: DataFrame, rate: int = 16_000, n_fft: int = 400, n_mels: int = 80) -> DataFrame:
+    """``rec_id, frame_no, mel, power``: rows of power (``bin, power``) joined with the filters' weights above zero, which are few as filters are narrow."""
+    filters = mel_filters(rate, n_fft, n_mels)
+    weights = spark.createDataFrame([(int(m), int(b), float(filters[m, b])) for m, b in zip(*np.nonzero(filters), strict=True)], "mel long, bin long, weight double")
+    heard = power.join(F.broadcast(weights), "bin").groupBy("rec_id", "frame_no", "mel").agg(F.sum(F.col("power") * F.col("weight")).alias("power"))
+    return heard
 
 
 def log_energies(power: DataFrame) -> DataFrame:
-    """log10 of power, floored at 1e-10 and at 8 below the recording's maximum, then (x + 4) / 4."""
-    logged = power.withColumn("e", F.log10(F.greatest("power", F.lit(1e-10))))
-    top = F.max("e").over(Window.partitionBy("rec_id"))
-    return logged.select("rec_id", "bin", ((F.greatest(F.col("e"), top - 8) + 4) / 4).alias("e"))
+    """Replaces ``power`` by ``e``: log10, floored at 1e-10 and at 8 below the recording's maximum, then (x + 4) / 4."""
+    logged = power.withColumn("e", F.log10(F.greatest("power", F.lit(1e-10)))).drop("power")
+    top = logged.groupBy("rec_id").agg(F.max("e").alias("top"))
+    return logged.join(top, "rec_id").withColumn("e", (F.greatest(F.col("e"), F.col("top") - 8) + 4) / 4).drop("top")
+
+
+def log_mel(signals: DataFrame, rate: int = 16_000, n_fft: int = 400, hop: int = 160, n_mels: int = 80, block: int = 480_000, samples: str = "samples") -> DataFrame:
+    """``rec_id, frame_no, mel, e``: log mel energies of all frames but the last, at most 8 below the recording's maximum, shifted and scaled to about -1..1."""
+    blocks = blocks_of(signals, block, samples)
+    ends = signals.select("rec_id", F.floor(F.size(samples) / hop).alias("frames"))
+    power = stft_power(blocks, block, n_fft, hop).join(ends, "rec_id").where("frame_no < frames").drop("frames")
+    return log_energies(mel_energies(signals.sparkSession, power_rows(power), rate, n_fft, n_mels))
 
 
 def resample(samples: np.ndarray, rate: int, to: int = 16_000) -> np.ndarray:

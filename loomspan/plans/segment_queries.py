@@ -418,22 +418,39 @@ def w12(spark, d):
     return b.select("rec_id", F.col("block_no").cast("long").alias("block_no"), F.round(F.aggregate("block", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-_POWER = f"SELECT rec_id, bin, pow(sum(v * cos(2 * pi() * bin * i / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * i / 64)), 2) AS power FROM (SELECT rec_id, unnest(x) AS v, unnest(range(64)) AS i FROM ({_SAMPLES})), range(33) b(bin) GROUP BY ALL"
+def _stft(n: int, hop: int) -> str:
+    """Power of windowed frames about every ``hop``-th of 64 samples, by the sums of the transform; samples beyond the ends are mirrored."""
+    part = lambda f: f"pow(sum(v * (0.5 - 0.5 * cos(2 * pi() * j / {n})) * {f}(2 * pi() * bin * j / {n})), 2)"
+    at = f"SELECT rec_id, f AS frame_no, j, x[1 + CASE WHEN i < 0 THEN -i WHEN i > 63 THEN 126 - i ELSE i END] AS v FROM (SELECT rec_id, x, f, j, f * {hop} - {n // 2} + j AS i FROM ({_SAMPLES}), range({64 // hop + 1}) a(f), range({n}) b(j))"
+    return f"SELECT rec_id, frame_no, bin, {part('cos')} + {part('sin')} AS power FROM ({at}), range({n // 2 + 1}) c(bin) GROUP BY ALL"
 
 
-@query("X18_power", f"SELECT rec_id, bin, round(power, 6) AS power FROM ({_POWER})")
+def _power(spark, d):
+    return X.power_rows(X.stft_power(X.blocks_of(_signals(spark, d), 24), 24, 16, 8))
+
+
+@query("X18_power", f"SELECT rec_id, frame_no, bin, round(power, 6) AS power FROM ({_stft(16, 8)})")
 def x18(spark, d):
-    return X.relational_power(_signals(spark, d)).select("rec_id", F.col("bin").cast("long").alias("bin"), F.round("power", 6).alias("power"))
+    """Signals are cut into blocks of 24 samples, which exchange their ends."""
+    return _power(spark, d).withColumn("power", F.round("power", 6))
+
 
+_LOGGED = "SELECT *, log10(greatest(power, 1e-10)) AS e FROM"
 
-@query("X19_log_energies", f"SELECT rec_id, bin, round((greatest(e, max(e) OVER (PARTITION BY rec_id) - 8) + 4) / 4, 5) AS e FROM (SELECT rec_id, bin, log10(greatest(power, 1e-10)) AS e FROM ({_POWER}))")
+
+@query("X19_log_energies", f"SELECT rec_id, frame_no, bin, round((greatest(e, max(e) OVER (PARTITION BY rec_id) - 8) + 4) / 4, 5) AS e FROM ({_LOGGED} ({_stft(16, 8)}))")
 def x19(spark, d):
-    return X.log_energies(X.relational_power(_signals(spark, d))).select("rec_id", F.col("bin").cast("long").alias("bin"), F.round("e", 5).alias("e"))
+    return X.log_energies(_power(spark, d)).withColumn("e", F.round("e", 5))
+
+
+_FILTERS = """SELECT i AS mel, bin, greatest(0, least((bin * 500 - a) / (b - a), (c - bin * 500) / (c - b))) * 2 / (c - a) AS weight FROM
+    (SELECT i, hz AS a, lead(hz) OVER (ORDER BY i) AS b, lead(hz, 2) OVER (ORDER BY i) AS c FROM (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4::DOUBLE) / 27 * (m - 15)) END AS hz FROM (SELECT i, i * (15 + ln(8::DOUBLE) * 27 / ln(6.4::DOUBLE)) / 9 AS m FROM range(10) r(i)))), range(17) s(bin) WHERE c IS NOT NULL"""
 
 
-@query("X17_log_mel")
+@query("X17_log_mel", f"""SELECT rec_id, frame_no, mel, round((greatest(e, max(e) OVER (PARTITION BY rec_id) - 8) + 4) / 4, 5) AS e FROM ({_LOGGED}
+    (SELECT rec_id, frame_no, mel, sum(power * weight) AS power FROM ({_stft(32, 8)}) JOIN ({_FILTERS}) USING (bin) WHERE frame_no < 8 AND weight > 0 GROUP BY ALL))""")
 def x17(spark, d):
-    return X.log_mel(_signals(spark, d), n_fft=32, hop=8, n_mels=8)
+    return X.log_mel(_signals(spark, d), n_fft=32, hop=8, n_mels=8, block=24).withColumn("e", F.round("e", 5))
 
 
 @query("S3_regroup", R.oracle("""WITH RECURSIVE c AS MATERIALIZED (SELECT rec_id, k, "end" - start AS len, max(k) OVER (PARTITION BY rec_id) AS last FROM intervals), r AS (SELECT rec_id, k, len AS held, last, CASE WHEN len >= 50000 OR k = last THEN len END AS out FROM c WHERE k = 0

@@ -229,18 +229,51 @@ def test_suppressed():
     assert D.start_sequence(DecodeParams(language="en", task="translate")) == [50258, 50259, 50358]
 
 
-def test_mel_and_spectrum():
+def power_of(samples, n_fft, hop):
+    """Power of a whole signal mirrored at its ends, a frame a row."""
+    x = np.pad(samples, n_fft // 2, mode="reflect") if len(samples) > n_fft // 2 else np.pad(samples, n_fft // 2)
+    return np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * X.hann(n_fft), axis=1)) ** 2
+
+
+def test_mel_filters():
     f = X.mel_filters()
     assert f.shape == (80, 201) and (f >= 0).all() and (f.sum(axis=1) > 0).all()
-    tone = np.sin(2 * np.pi * 1000 * np.arange(16_000) / 16_000)
-    power = X.spectrum(tone)
-    assert power.shape == (201, 101) and power.mean(axis=1).argmax() == 25
+    assert power_of(np.sin(2 * np.pi * 1000 * np.arange(16_000) / 16_000), 400, 160).mean(axis=0).argmax() == 25
 
 
-def test_relational_power_is_the_transform(spark):
-    x = np.random.default_rng(0).normal(size=16)
-    got = {r.bin: r.power for r in X.relational_power(spark.createDataFrame([(1, x.tolist())], "rec_id long, samples array<double>")).collect()}
-    assert np.allclose([got[k] for k in range(9)], np.abs(np.fft.rfft(x)) ** 2)
+@pytest.mark.parametrize("n_fft, hop, block", [(16, 4, 12), (16, 8, 24), (400, 160, 480)])
+def test_power_of_blocks_equals_that_of_the_signal(spark, n_fft, hop, block):
+    """Lengths about every border: shorter than half a frame, last blocks of a few samples, whole blocks."""
+    r = np.random.default_rng(0)
+    lengths = sorted({0, 1, 2, n_fft // 2, n_fft // 2 + 1, hop, n_fft, block - 1, block, block + 1, block + n_fft // 2, 2 * block - 3, 2 * block, 2 * block + 1, 5 * block + hop})
+    signals = {k: r.normal(size=n).round(4) for k, n in enumerate(lengths)}
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in signals.items()] + [(99, None)], "rec_id long, samples array<double>")
+    got = {}
+    for x in X.stft_power(X.blocks_of(df, block), block, n_fft, hop).orderBy("rec_id", "frame_no").collect():
+        got.setdefault(x.rec_id, []).append((x.frame_no, x.power))
+    assert set(got) == {k for k, x in signals.items() if len(x)}
+    for k, rows in got.items():
+        want = power_of(signals[k], n_fft, hop)
+        assert [i for i, _ in rows] == list(range(len(want))) and np.allclose([p for _, p in rows], want)
+    mel = {}
+    for x in X.log_mel(df, 16_000, n_fft, hop, 8, block).collect():
+        mel.setdefault(x.rec_id, {})[x.frame_no, x.mel] = x.e
+    filters = X.mel_filters(16_000, n_fft, 8)
+    for k, x in signals.items():
+        e = np.log10(np.maximum(filters @ power_of(x, n_fft, hop)[:-1].T, 1e-10)) if len(x) >= hop else np.empty((8, 0))
+        heard = [m for m in range(8) if filters[m].any()]
+        want = {(i, m): (max(e[m, i], e.max() - 8) + 4) / 4 for m in heard for i in range(e.shape[1])}
+        assert mel.get(k, {}) == pytest.approx(want)
+
+
+def test_power_of_a_long_signal(spark):
+    """Ten minutes as blocks of a second; no row holds the signal."""
+    blocks = spark.range(600).selectExpr("1L as rec_id", "id as block_no", "transform(sequence(0, 15999), i -> sin((id * 16000 + i) * 0.3D)) as samples")
+    got = X.stft_power(blocks, 16_000)
+    n, far, bins = got.agg(F.count("*"), F.max("frame_no"), F.max(F.size("power"))).first()
+    assert (n, far, bins) == (60_001, 60_000, 201)
+    with pytest.raises(ValueError):
+        X.stft_power(blocks, 16_001)
 
 
 def test_wav(spark, tmp_path):
