@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import math
 import zlib
 
 import numpy as np
@@ -99,69 +100,101 @@ def flatten(text) -> Column:
     return _mapped(flat, "string", text)
 
 
-def edit_counts(ref: Column, hyp: Column) -> Column:
-    """Substitutions, deletions and insertions of the preferred alignment, propagated forward row by row.
+OK, SUB, DEL, INS = "ok", "sub", "del", "ins"
+_FAR = 1 << 29
 
-    Of equal costs the diagonal wins, then deletion. State is one row of the table; each cell holds (cost, s, d, i).
-    """
-    long = lambda x: F.lit(x).cast("int")
-    cell = lambda c, s, d, i: F.struct(c.alias("c"), s.alias("s"), d.alias("d"), i.alias("i"))
-    chars = lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, ""))
-    h = chars(hyp)
-    first = F.concat(F.array(cell(long(0), long(0), long(0), long(0))), F.transform(h, lambda _, j: cell((j + 1).cast("int"), long(0), long(0), (j + 1).cast("int"))))
 
-    def row(up: Column, r: Column) -> Column:
-        top = F.element_at(up, 1)
-        start = F.array(cell(top["c"] + 1, top["s"], top["d"] + 1, top["i"]))
+class _Band:
+    """Rows of the edit table of two sequences of codes, as far as ``reach`` cells from the diagonal; place b of row i is column i + b - reach."""
 
-        def extend(out: Column, x: Column) -> Column:
-            left, above, corner = F.element_at(out, -1), F.get(up, F.size(out)), F.get(up, F.size(out) - 1)
-            cost = F.when(r == x, long(0)).otherwise(long(1))
-            diagonal = corner["c"] + cost
-            new = (
-                F.when(diagonal <= F.least(above["c"], left["c"]) + 1, cell(diagonal, corner["s"] + cost, corner["d"], corner["i"]))
-                .when(above["c"] <= left["c"], cell(above["c"] + 1, above["s"], above["d"] + 1, above["i"]))
-                .otherwise(cell(left["c"] + 1, left["s"], left["d"], left["i"] + 1))
-            )
-            return F.concat(out, F.array(new))
+    def __init__(self, a: np.ndarray, b: np.ndarray, reach: int):
+        self.a, self.reach, self.width = a, reach, 2 * reach + 1
+        self.along = np.arange(self.width, dtype=np.int32)
+        # codes of the second sequence by the place of their column, foreign beyond its ends
+        self.b = np.full(len(a) + self.width + 1, -1, dtype=np.int32)
+        at = np.arange(len(b)) + reach
+        self.b[at[at < len(self.b)]] = b[at < len(self.b)]
 
-        return F.aggregate(h, start, extend)
+    def first(self) -> np.ndarray:
+        return np.where(self.along < self.reach, _FAR, self.along - self.reach).astype(np.int32)
 
-    return F.aggregate(chars(ref), first, row, lambda last: F.element_at(last, -1))
+    def next(self, row: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row i from the one above, with what its cells would cost by the diagonal and by a deletion."""
+        diagonal = row + (self.b[i - 1 : i - 1 + self.width] != self.a[i - 1])
+        above = np.append(row[1:], _FAR) + 1
+        new = np.minimum(diagonal, above) - self.along
+        return np.minimum.accumulate(new) + self.along, diagonal, above  # insertions carry on along the row
 
 
-OK, SUB, DEL, INS = "ok", "sub", "del", "ins"
+def _coded(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
+    code: dict = {}
+    return tuple(np.array([code.setdefault(x, len(code)) for x in s], dtype=np.int32) for s in (ref, hyp))
+
+
+def _banded(a: np.ndarray, b: np.ndarray) -> tuple[int, _Band, list[np.ndarray], int]:
+    """Distance, the band that holds all cheapest alignments, and every so many of its rows.
+
+    The band doubles until the distance is no more than its reach; then no cheapest alignment leaves it, and neither does the preferred one.
+    """
+    n, m = len(a), len(b)
+    reach = max(64, abs(n - m))
+    while True:
+        band = _Band(a, b, min(reach, max(n, m)))
+        every = max(1, math.isqrt(n))
+        row = band.first()
+        kept = [row]
+        for i in range(1, n + 1):
+            row = band.next(row, i)[0]
+            if i % every == 0:
+                kept.append(row)
+        distance = int(row[m - n + band.reach])
+        if distance <= band.reach or band.reach == max(n, m):
+            return distance, band, kept, every
+        reach *= 2
+
+
+def edit_distance(ref, hyp) -> int:
+    return _banded(*_coded(ref, hyp))[0]
 
 
 def edit_ops(ref, hyp) -> tuple[int, list[tuple[str, object, object]]]:
     """Distance and operations between two sequences, by backward walk: diagonal first, then deletion, then insertion.
 
-    Rows of the table are made at once; of each cell only its step is kept, in one byte.
+    Every sqrt(n)-th row of a band about the diagonal is kept, and the steps between two of them are made again when the walk gets there: memory
+    is the band's width (at most that of a whole row) times 2 sqrt(n) cells, and time grows with the distance.
     """
-    n, m = len(ref), len(hyp)
-    code: dict = {}
-    a, b = (np.array([code.setdefault(x, len(code)) for x in s], dtype=np.int64) for s in (ref, hyp))
-    along = np.arange(m + 1)
-    row, steps = along.copy(), np.empty((n, m), dtype=np.uint8)
-    for i in range(n):
-        diagonal, above = row[:-1] + (b != a[i]), row[1:] + 1
-        new = np.append(i + 1, np.minimum(diagonal, above))
-        new = np.minimum.accumulate(new - along) + along  # insertions carry on along the row
-        steps[i] = np.where(new[1:] == diagonal, 0, np.where(new[1:] == above, 1, 2))
-        row = new
-    i, j, ops = n, m, []
-    while i or j:
-        step = 1 if not j else 2 if not i else steps[i - 1, j - 1]
-        if step == 0:
-            i, j = i - 1, j - 1
-            ops.append((OK if ref[i] == hyp[j] else SUB, ref[i], hyp[j]))
-        elif step == 1:
-            i -= 1
-            ops.append((DEL, ref[i], None))
-        else:
-            j -= 1
-            ops.append((INS, None, hyp[j]))
-    return int(row[-1]), ops[::-1]
+    a, b = _coded(ref, hyp)
+    distance, band, kept, every = _banded(a, b)
+    i, j, ops = len(a), len(b), []
+    while i:
+        low = (i - 1) // every * every
+        row, steps = kept[low // every], np.empty((i - low, band.width), dtype=np.uint8)
+        for k in range(low + 1, i + 1):
+            row, diagonal, above = band.next(row, k)
+            steps[k - low - 1] = np.where(row == diagonal, 0, np.where(row == above, 1, 2))
+        while i > low:
+            step = steps[i - low - 1, j - i + band.reach]
+            if step == 0:
+                i, j = i - 1, j - 1
+                ops.append((OK if a[i] == b[j] else SUB, ref[i], hyp[j]))
+            elif step == 1:
+                i -= 1
+                ops.append((DEL, ref[i], None))
+            else:
+                j -= 1
+                ops.append((INS, None, hyp[j]))
+    ops += [(INS, None, hyp[k]) for k in reversed(range(j))]
+    return distance, ops[::-1]
+
+
+def edit_counts(ref, hyp) -> Column:
+    """Substitutions, deletions and insertions of the preferred alignment of two texts, as an array."""
+
+    def counts(r: str, h: str) -> list[int]:
+        tags = [tag for tag, *_ in edit_ops(r, h)[1]]
+        return [tags.count(tag) for tag in (SUB, DEL, INS)]
+
+    return _mapped(counts, "array<bigint>", ref, hyp)
 
 
 def alignment(ref, hyp) -> Column:
@@ -171,7 +204,7 @@ def alignment(ref, hyp) -> Column:
 
 def word_distance(ref, hyp) -> Column:
     """Edits between the blank-separated words of two texts."""
-    return _mapped(lambda r, h: edit_ops(r.split(), h.split())[0], "long", ref, hyp)
+    return _mapped(lambda r, h: edit_distance(r.split(), h.split()), "long", ref, hyp)
 
 
 def compressed_ratio(t: str) -> float:

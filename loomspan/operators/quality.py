@@ -88,8 +88,9 @@ def leave_one_out(words: DataFrame, thresholds: DataFrame, group: str) -> DataFr
     Counts add up, so the others' are the total less the group's own: no group meets another.
     """
     own = sweep(words, thresholds, [group]).select(group, "t", "stp", "sfp", "sfn")
-    every = Window.partitionBy("t")
-    rest = own.select("*", *((F.sum(c).over(every) - F.col(c)).alias(f"r{c}") for c in ("stp", "sfp", "sfn")))
+    # as many rows as thresholds
+    every = own.groupBy("t").agg(*(F.sum(c).alias(f"a{c}") for c in ("stp", "sfp", "sfn")))
+    rest = own.join(F.broadcast(every), "t").select(*own.columns, *((F.col(f"a{c}") - F.col(c)).alias(f"r{c}") for c in ("stp", "sfp", "sfn")))
     order = Window.partitionBy(group).orderBy(F.desc(f1(F.col("rstp"), F.col("rsfp"), F.col("rsfn"))), "t")
     return rest.withColumn("r", F.row_number().over(order)).where("r = 1").select(group, "t", F.col("stp").alias("tp"), F.col("sfp").alias("fp"), F.col("sfn").alias("fn"))
 
@@ -121,8 +122,9 @@ def review_workload(flags: DataFrame) -> DataFrame:
 
 def error_rates(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Distance and character error rate; ``s, d, i`` sum to the distance."""
+    distance = F.levenshtein(ref, hyp).cast("long")
     counts = T.edit_counts(F.col(ref), F.col(hyp))
-    return pairs.withColumn("ops", counts).select("*", F.col("ops.c").cast("long").alias("distance"), F.col("ops.s").cast("long").alias("s"), F.col("ops.d").cast("long").alias("d"), F.col("ops.i").cast("long").alias("i"), T.character_error_rate(F.col("ops.c"), F.length(ref)).alias("cer")).drop("ops")
+    return pairs.withColumns({"distance": distance, "ops": counts}).select("*", *(F.get("ops", k).alias(n) for k, n in enumerate("sdi")), T.character_error_rate(F.col("distance"), F.length(ref)).alias("cer")).drop("ops")
 
 
 def corpus_word_error_rate(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

@@ -121,14 +121,25 @@ def x5(spark, d):
     return _pairs(spark, d).select("id", F.levenshtein("ref", "hyp").cast("long").alias("distance"))
 
 
-@query("X6_edit_counts")
+_EDITS = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT id, ref, hyp FROM ({_PAIRS})),
+    r AS (SELECT id, ref, hyp, 0::BIGINT AS k, list_transform(range(length(hyp) + 1), lambda j: {{'c': j, 's': 0::BIGINT, 'd': 0::BIGINT, 'i': j, 'o': list_reduce(list_prepend('', list_transform(range(1, j + 1), lambda q: '|ins::' || hyp[q])), lambda x, y: x || y)}}) AS up FROM p
+      UNION ALL SELECT id, ref, hyp, k + 1, list_reduce(list_prepend([{{'c': up[1].c + 1, 's': up[1].s, 'd': up[1].d + 1, 'i': up[1].i, 'o': up[1].o || '|del:' || ref[k + 1] || ':'}}], list_transform(range(1, length(hyp) + 1), lambda j: [{{'c': j, 's': 0::BIGINT, 'd': 0::BIGINT, 'i': 0::BIGINT, 'o': ''}}])), lambda done, cell: list_append(done,
+          CASE WHEN up[cell[1].c].c + CASE WHEN ref[k + 1] = hyp[cell[1].c] THEN 0 ELSE 1 END <= least(up[cell[1].c + 1].c, done[-1].c) + 1 THEN
+            {{'c': up[cell[1].c].c + CASE WHEN ref[k + 1] = hyp[cell[1].c] THEN 0 ELSE 1 END, 's': up[cell[1].c].s + CASE WHEN ref[k + 1] = hyp[cell[1].c] THEN 0 ELSE 1 END, 'd': up[cell[1].c].d, 'i': up[cell[1].c].i, 'o': up[cell[1].c].o || CASE WHEN ref[k + 1] = hyp[cell[1].c] THEN '|ok:' ELSE '|sub:' END || ref[k + 1] || ':' || hyp[cell[1].c]}}
+          WHEN up[cell[1].c + 1].c <= done[-1].c THEN {{'c': up[cell[1].c + 1].c + 1, 's': up[cell[1].c + 1].s, 'd': up[cell[1].c + 1].d + 1, 'i': up[cell[1].c + 1].i, 'o': up[cell[1].c + 1].o || '|del:' || ref[k + 1] || ':'}}
+          ELSE {{'c': done[-1].c + 1, 's': done[-1].s, 'd': done[-1].d, 'i': done[-1].i + 1, 'o': done[-1].o || '|ins::' || hyp[cell[1].c]}} END)) FROM r WHERE k < length(ref))
+    SELECT id, up[-1] AS x FROM r WHERE k = length(ref)"""
+
+
+@query("X6_edit_counts", f"SELECT id, x.s AS s, x.d AS d, x.i AS i, x.c AS distance FROM ({_EDITS})")
 def x6(spark, d):
     return Q.error_rates(_pairs(spark, d)).select("id", "s", "d", "i", "distance")
 
 
-@query("F10_alignment")
+@query("F10_alignment", f"SELECT id, x.o AS ops FROM ({_EDITS})")
 def f10(spark, d):
-    return _pairs(spark, d).select("id", T.alignment("ref", "hyp").alias("ops"))
+    step = lambda o: F.concat(F.lit("|"), o["tag"], F.lit(":"), F.coalesce(o["ref"], F.lit("")), F.lit(":"), F.coalesce(o["hyp"], F.lit("")))
+    return _pairs(spark, d).select("id", F.array_join(F.transform(T.alignment("ref", "hyp"), step), "").alias("ops"))
 
 
 @query("A7_word_error_rate")

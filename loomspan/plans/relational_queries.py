@@ -97,9 +97,11 @@ def s17(spark, d):
     return scans.missing_files(wanted, part, part.where("name % 3 = 0"))
 
 
-@query("U3_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("U3_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u3(spark, d):
-    return R.table(spark, d, "customer").selectExpr("c_custkey as k").join(R.table(spark, d, "orders").selectExpr("o_custkey as k"), "k", "left_anti")
+    """Customers without an urgent order."""
+    urgent = R.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_custkey as k")
+    return R.table(spark, d, "customer").selectExpr("c_custkey as k").join(urgent, "k", "left_anti")
 
 
 @query("S18_models", "SELECT s_suppkey, s_name, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")

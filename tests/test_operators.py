@@ -35,6 +35,58 @@ def test_error_rate_counts_agree_with_the_walk_back(spark):
         assert row.s + row.d + row.i == row.distance
 
 
+def table_ops(ref, hyp):
+    """The preferred alignment by the whole table."""
+    d = [[i + j if not i * j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i, a in enumerate(ref, 1):
+        for j, b in enumerate(hyp, 1):
+            d[i][j] = min(d[i - 1][j - 1] + (a != b), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    i, j, ops = len(ref), len(hyp), []
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            ops.append((T.OK if ref[i] == hyp[j] else T.SUB, ref[i], hyp[j]))
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+            ops.append((T.DEL, ref[i], None))
+        else:
+            j -= 1
+            ops.append((T.INS, None, hyp[j]))
+    return d[-1][-1], ops[::-1]
+
+
+def test_alignment_in_a_band_equals_the_table():
+    r = random.Random(12)
+    pairs = [("", ""), ("", "abc"), ("abc", ""), ("a" * 40, "b" * 9), ("ab" * 30, "ba" * 30)]
+    for n in [*range(0, 12)] * 8 + [60, 90] * 6:
+        a = r.choices("abc", k=n)
+        b = [x for x in a if r.random() > 0.2] if r.random() < 0.6 else r.choices("abc", k=r.randint(0, 30))
+        for _ in range(r.randint(0, 5)):
+            b.insert(r.randint(0, len(b)), r.choice("abcd"))
+        pairs += [("".join(a), "".join(b)), ("".join(b), "".join(a))]
+    for a, b in pairs:
+        assert T.edit_ops(a, b) == table_ops(a, b), (a, b)
+        assert T.edit_distance(a, b) == table_ops(a, b)[0]
+
+
+def test_alignment_of_long_texts_in_little_memory():
+    """Two texts of 10^5 characters with a hundred edits; the whole table would be 10^10 cells."""
+    import tracemalloc
+
+    r = random.Random(13)
+    a = r.choices("abcdefghij", k=100_000)
+    b = list(a)
+    for _ in range(120):
+        at = r.randrange(len(b))
+        b[at : at + r.randint(0, 1)] = r.choices("abcdefghij", k=r.randint(0, 2))
+    tracemalloc.start()
+    distance, ops = T.edit_ops(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 80 < distance <= 240 and peak < 200e6
+    assert [x for _, x, _ in ops if x is not None] == a and [y for *_, y in ops if y is not None] == b and sum(t != T.OK for t, *_ in ops) == distance
+
+
 def test_clock_and_sizes(spark):
     df = spark.createDataFrame([(0.0, 0), (61.5, 1023), (3600.0, 1536), (360000.25, 5 << 30)], "s double, n long")
     got = [tuple(r) for r in df.select(clock(F.col("s")), clock(F.col("s"), True, ","), human_size(F.col("n"))).collect()]
