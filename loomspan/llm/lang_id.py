@@ -25,6 +25,7 @@ SAMPLE_BYTES = 3_000_000
 #: Languages that get a sample of that size. With more labels than this the samples of all are smaller.
 MAX_LANGUAGES = 400
 SLICE = 1 << 19
+#: Letters, and numbers that are written as other signs, which ``isalpha`` tells apart.
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\n" * ORDER
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +144,7 @@ class Ppm:
         bits = self.code_lengths([t.encode("utf-8", "surrogatepass") for t in texts])
         names, scores = [], []
         for t, row in zip(texts, bits, strict=True):
-            if not self.languages or not _LETTER.search(t):
+            if not self.languages or not any(m[0].isalpha() for m in _LETTER.finditer(t)):
                 names.append("und")
                 scores.append(0.0)
             else:

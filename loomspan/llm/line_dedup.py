@@ -213,7 +213,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
     row, lost, mine = (unused(docs, x) for x in ("row", "lost", "mine"))
     key = F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
     gone = _judged(docs, classes, key.alias("row")).where("not kept").groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lost))
-    cut = F.expr(f"array_join(transform(array_except(sequence(0, size(split(text, '\n')) - 1), `{lost}`), i -> element_at(split(text, '\n'), i + 1)), '\n')")
+    # a text is split once; a long one has many lines to look up
+    cut = F.expr(f"transform(array(split(text, '\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), `{lost}`), i -> ls[i]), '\n'))[0]")
     whole = F.col(lost).isNull()
     out = docs.withColumn(mine, key).join(gone, F.col(mine).eqNullSafe(F.col(row)), "left").withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     return out.where(whole | (F.btrim("text", F.lit(" \t\r\n")) != "")).select(*docs.columns)

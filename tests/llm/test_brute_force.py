@@ -396,6 +396,14 @@ def test_line_dedup_of_crlf_texts(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark, df).collect()} == {1: rows[0][1], 2: "second\r\n\r\n\t", 3: "third"}
 
 
+def test_line_dedup_of_many_lines(spark):
+    """Fifty thousand lines of one text, every other of which repeats an earlier one."""
+    lines = [f"line number {k // 2} of a long text {k // 2 * 7919}" if k % 2 == 0 else f"the same line {k % 10} every time" for k in range(50_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "short\nand clean")], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, docs, 1.0).collect()}
+    assert kept == {1: "\n".join(dict.fromkeys(lines)), 2: "short\nand clean"}
+
+
 def test_line_dedup_recall(spark):
     """Of the pairs at 0.75 and above, in bands that hundreds of other lines share, at least 0.98 meet."""
     r = np.random.default_rng(9)
@@ -476,6 +484,14 @@ def test_language_id(spark, sf_dir, nothing):
     assert lang_id.identify_languages(spark, nothing.withColumn("lang", F.lit("en"))).count() == 0
 
 
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(k, t, x) for k, (t, x) in enumerate([("plain words of one tongue", "a"), ("autres mots que voici", "b")] * 30)]
+    signs = ["½ ²", "①②", "Ⅷ", "123 _ !", "", None, "½ a"]
+    df = spark.createDataFrame([*rows, *((1000 + k, t, None) for k, t in enumerate(signs))], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in lang_id.identify_languages(spark, df).where("doc_id >= 1000").collect()}
+    assert [got[1000 + k] == "und" for k in range(len(signs))] == [not any(c.isalpha() for c in t or "") for t in signs]
+
+
 def test_language_id_learns_every_label(spark, monkeypatch):
     """A label whose texts are all long, and more labels than get a full sample."""
     monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 2)
