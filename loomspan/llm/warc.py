@@ -24,6 +24,8 @@ DATE = "1970-01-01T00:00:00Z"  # where the source has none
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 # Tags end at the next angle bracket, of either kind: every pattern passes over a page once, however it is broken.
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^<>]*>", re.I | re.S)
+#: What no element of the page lies in.
+_CODE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _HEAD, _HEAD_END = re.compile(r"<head\b[^<>]*>", re.I), re.compile(r"</head\s*>", re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|article|section|header|footer|nav|aside|main|blockquote|pre|hr|dd|dt|dl|form|figure|figcaption|title)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
@@ -118,14 +120,15 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     http = [(k.strip().lower(), v.strip()) for k, c, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]) if c]
     page = decoded(payload, dict(http))
     source, uri, date = headers["warc-record-id"], headers.get("warc-target-uri", ""), headers.get("warc-date", DATE)
-    title = _between(page, _TITLE, _TITLE_END)
-    lang = _LANG.search(page)
+    marked = _CODE.sub(" ", page)
+    title = _between(marked, _TITLE, _TITLE_END)
+    lang = _LANG.search(marked)
     fields = [("via-record", source), *((f"source-{k}", v) for k, v in headers.items() if k not in ("warc-record-id",))]
     fields += [("http-" + k, v) for k, v in http]
     fields += [("source-payload-digest-checked", str(headers.get("warc-payload-digest", digest(payload)) == digest(payload)).lower())]
-    fields += [("title", _BLANK.sub(" ", _html.unescape(_TAG.sub("", page[title[1] : title[2]]))).strip())] if title else []
+    fields += [("title", " ".join(_html.unescape(_TAG.sub("", marked[title[1] : title[2]])).split()))] if title else []
     fields += [("languages-cld", lang[1].lower())] if lang else []
-    fields += [("outlink", _html.unescape(next(x for x in m if x is not None and x != "") if any(m) else "")) for m in _LINK.findall(page)]
+    fields += [("outlink", _html.unescape(next(x for x in m if x is not None and x != "") if any(m) else "")) for m in _LINK.findall(marked)]
     meta = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
     text = visible_text(page).encode("utf-8", "surrogatepass")
     out = []

@@ -676,6 +676,48 @@ def test_warc_of_broken_and_encoded_pages():
         assert "".join("".join(parser.out).split()) == "".join(warc.visible_text(page or "").split())
 
 
+def test_warc_metadata_against_an_independent_parser(spark, sf_dir):
+    """Title, language and outlinks of pages with comments, scripts and styles."""
+    from html.parser import HTMLParser
+
+    class Marks(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.title, self.lang, self.links, self.within = None, None, [], False
+
+        def handle_starttag(self, tag, attrs):
+            found = dict(reversed(attrs))
+            if tag == "html" and self.lang is None:
+                self.lang = found.get("lang")
+            if tag == "a" and found.get("href") is not None:
+                self.links.append(found["href"])
+            if tag == "title" and self.title is None:
+                self.title, self.within = "", True
+
+        def handle_endtag(self, tag):
+            self.within = self.within and tag != "title"
+
+        def handle_data(self, data):
+            if self.within:
+                self.title += data
+
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    pages += [
+        "<!-- <title>ghost</title><a href='http://c/'> --><html lang='fr'><head><title>A  &amp;\n b</title><style>a{}<a href='s'></style></head><body><a class=x href=http://d/>d</a></body></html>",
+        "<script>var t = \"<title>no</title><a href='http://s/'>\";</script><HTML LANG=de><TITLE>yes</TITLE><A HREF='http://x/?a=1&amp;b=2'>x</A><!-- open <a href='http://never/'>",
+        "no markup at all", "<a href=''>empty</a><script>",
+    ]
+    for page in pages:
+        want = Marks()
+        want.feed(page)
+        want.close()
+        (_, meta), _ = warc.derive({"warc-type": "response", "warc-record-id": "<urn:uuid:0>"}, page.encode())
+        fields = [x.partition(": ")[::2] for x in meta.decode().split("\r\n") if x]
+        assert [v for k, v in fields if k == "outlink"] == [" ".join(x.split("\n")) for x in want.links], page[:200]
+        assert [v for k, v in fields if k == "title"] == ([" ".join(want.title.split())] if want.title is not None else []), page[:200]
+        assert [v for k, v in fields if k == "languages-cld"] == ([want.lang.lower()] if want.lang else []), page[:200]
+
+
 def test_language_of_many_copies(spark, monkeypatch):
     """A label that has nothing but copies of one text is learned from one of them."""
     rows = [("aa", "bla blu " * 20)] * 500 + [("bb", f"xyzzy quux {k} " * 20) for k in range(50)]
