@@ -15,12 +15,13 @@ from .common import Scratch, unused
 
 BUCKETS = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: all of ASCII but digits and lower-case letters.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Runs of ASCII letters, digits and all that is beyond ASCII, of which A-Z only are lower-cased; none in a null text."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
 
 
 def bucket_array(words: Column, longest: int, buckets: int) -> Column:
