@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..params import WINDOW_FRAMES
 
+#: Frames of spectra that a task holds before it hands them on, about.
+FRAMES_AT_ONCE = 4096
+
 
 def window_of(frame: Column, length: int = WINDOW_FRAMES) -> Column:
     return F.floor(frame / length).cast("long")
@@ -108,13 +111,23 @@ def stft_power(blocks: DataFrame, block: int, n_fft: int = 400, hop: int = 160)
         raise ValueError("blocks are whole hops, longer than half a frame, and frames are even")
     window = hann(n_fft)
 
+    def table(parts: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+        numbers = np.concatenate([first + np.arange(len(power)) for _, first, power in parts])
+        return pd.DataFrame({"rec_id": np.repeat([rec for rec, *_ in parts], [len(power) for *_, power in parts]), "frame_no": numbers, "power": [row for *_, power in parts for row in power]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            parts, held = [], 0
             for rec, no, last, n, x in zip(pdf["rec_id"], pdf["block_no"], pdf["is_last"], pdf["n"], pdf["x"], strict=True):
                 frames = np.lib.stride_tricks.sliding_window_view(np.asarray(x, dtype=float), n_fft)[::hop]
                 frames = frames[: n // hop + 1 if last else block // hop]
-                power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-                yield pd.DataFrame({"rec_id": rec, "frame_no": no * (block // hop) + np.arange(len(power)), "power": list(power)})
+                parts.append((rec, no * (block // hop), np.abs(np.fft.rfft(frames * window, axis=1)) ** 2))
+                held += len(frames)
+                if held >= FRAMES_AT_ONCE:
+                    yield table(parts)
+                    parts, held = [], 0
+            if parts:
+                yield table(parts)
 
     return with_halos(blocks, n_fft // 2).mapInPandas(run, "rec_id long, frame_no long, power array<double>")
 
