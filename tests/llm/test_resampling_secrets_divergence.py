@@ -72,7 +72,8 @@ def test_resampling_of_repeated_rows_and_a_long_text(spark):
 def test_resampling_plan(spark):
     """Documents are scored without a shuffle or an explode, by a literal array."""
     plan = resampling.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), list(range(10_000)))._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate" not in plan and "split(" not in plan and "Aggregate [" not in plan
+    assert "Generate" not in plan and "Aggregate [" not in plan
+    assert plan.count("split(") == 1  # that of the words; the array of gains is a literal
 
 
 BASE = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
