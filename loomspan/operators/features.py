@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -159,12 +160,86 @@ def log_mel(signals: DataFrame, rate: int = 16_000, n_fft: int = 400, hop: int =
     return log_energies(mel_energies(signals.sparkSession, power_rows(power), rate, n_fft, n_mels))
 
 
-def resample(samples: np.ndarray, rate: int, to: int = 16_000) -> np.ndarray:
-    """Linear interpolation to another rate."""
-    if rate == to or not len(samples):
+@dataclass(frozen=True)
+class Resampler:
+    """A filter bank from one rate to another: windowed-sinc low pass below the lower rate's half, one set of taps for each phase of the output.
+
+    ``lobes`` are the sinc's on either side, under a Hann window. Each phase's taps sum to one, so that a constant stays itself.
+    """
+
+    rate: int
+    to: int
+    lobes: int = 16
+
+    def __post_init__(self) -> None:
+        if min(self.rate, self.to, self.lobes) < 1:
+            raise ValueError("rates and lobes are positive")
+
+    @property
+    def up(self) -> int:
+        return self.to // math.gcd(self.rate, self.to)
+
+    @property
+    def down(self) -> int:
+        return self.rate // math.gcd(self.rate, self.to)
+
+    @property
+    def reach(self) -> int:
+        """Samples on either side that an output depends on."""
+        return math.ceil(self.lobes * max(1.0, self.down / self.up)) + 1
+
+    def bank(self) -> np.ndarray:
+        """Taps by phase and by place from ``-reach`` to ``reach`` about the sample at or before the output: (up, 2 * reach + 1)."""
+        cut = min(1.0, self.up / self.down)
+        t = (np.arange(self.up)[:, None] / self.up - np.arange(-self.reach, self.reach + 1)) * cut
+        taps = np.where(np.abs(t) < self.lobes, np.sinc(t) * (0.5 + 0.5 * np.cos(np.pi * t / self.lobes)), 0.0)
+        return taps / taps.sum(axis=1, keepdims=True)
+
+    def first(self, sample: int) -> int:
+        """The first output whose middle is at ``sample`` or behind."""
+        return -(-sample * self.up // self.down)
+
+    def apply(self, x: np.ndarray, start: int, n: int, bank: np.ndarray) -> np.ndarray:
+        """Outputs with their middle in the ``n`` samples from ``start`` on; ``x`` holds them with ``reach`` more on either side."""
+        frames = np.lib.stride_tricks.sliding_window_view(x, 2 * self.reach + 1)
+        out = []
+        lo, end = self.first(start), self.first(start + n)
+        while lo < end:
+            m = np.arange(lo, min(end, lo + 65_536), dtype=np.int64) * self.down
+            out.append(np.einsum("ij,ij->i", frames[m // self.up - start], bank[m % self.up]))
+            lo += len(m)
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def resampled(blocks: DataFrame, block: int, rate: int, to: int, lobes: int = 16) -> DataFrame:
+    """Blocks (``rec_id, block_no, samples``) at another rate: ``rec_id, block_no, first, samples``, ``first`` being the number of the first output.
+
+    An output is computed in the row of the block that its middle lies in, from the block and its halos, with the phase that its number gives;
+    so the cut into blocks changes nothing, and the last block flushes what is left. Signals are mirrored at their ends (at most ``reach`` samples: zeros).
+    """
+    r = Resampler(rate, to, lobes)
+    if block <= r.reach:
+        raise ValueError(f"blocks are longer than {r.reach} samples")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bank = r.bank()
+        for pdf in batches:
+            for rec, no, n, x in zip(pdf["rec_id"], pdf["block_no"], pdf["n"], pdf["x"], strict=True):
+                y = r.apply(np.asarray(x, dtype=float), no * block, n, bank)
+                yield pd.DataFrame({"rec_id": [rec], "block_no": [no], "first": [r.first(no * block)], "samples": [y]})
+
+    if r.up == r.down:
+        return blocks.where(F.size("samples") > 0).select("rec_id", "block_no", (F.col("block_no") * block).alias("first"), F.col("samples").cast("array<double>").alias("samples"))
+    return with_halos(blocks, r.reach).mapInPandas(run, "rec_id long, block_no long, first long, samples array<double>")
+
+
+def resample(samples: np.ndarray, rate: int, to: int = 16_000, lobes: int = 16) -> np.ndarray:
+    """A whole signal at another rate, as ``resampled`` gives it block by block."""
+    r = Resampler(rate, to, lobes)
+    if r.up == r.down or not len(samples):
         return samples
-    n = max(1, round(len(samples) * to / rate))
-    return np.interp(np.arange(n) * rate / to, np.arange(len(samples)), samples)
+    x = np.pad(np.asarray(samples, dtype=float), r.reach, mode="reflect" if len(samples) > r.reach else "constant")
+    return r.apply(x, 0, len(samples), r.bank())
 
 
 def regroup(chunks: Column, least: int = 500_000) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as T
 from ..operators import features as X, quality as Q, reports as P
 from ..sources import relations as R, scans
+from ..sources.published import folders, name_of, publish, read_published
 from ..params import VadParams
 from ..streaming import sessions as ST
 from ..streaming.machine import STORE, speech_stream
@@ -17,6 +18,13 @@ from . import oracles
 from .registry import query
 
 
+def _publish(files: DataFrame, kind: str) -> list[str]:
+    """Publishes files in a folder of their own in the shared folder; the folders that hold them."""
+    base = f"{shared_folder(files.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    publish(files, base)
+    return folders(base)
+
+
 @query("S2_skip_invalid", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (props::JSON ->> 'k')::BIGINT END AS k FROM events WHERE event_id % 7 > 0")
 def s2(spark, d):
     broken = F.expr("if(event_id % 7 = 0, substring(props, 1, 4), props)")
@@ -33,55 +41,49 @@ _EXT = "('mp3', 'wav', 'm4a', 'flac', 'ogg', 'aac', 'wma', 'mp4', 'webm')"
 
 @query("S6_collect_files", f"SELECT path FROM (SELECT DISTINCT '/' || (page_id % 9)::VARCHAR || '/' || page_id::VARCHAR || '.' || ['wav', 'MP3', 'txt', 'md'][page_id % 4 + 1] AS path FROM pages) WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN {_EXT}")
 def s6(spark, d):
-    paths = R.table(spark, d, "pages").selectExpr("concat('/', page_id % 9, '/', page_id, '.', array('wav', 'MP3', 'txt', 'md')[cast(page_id % 4 as int)]) as path").distinct()
-    return paths.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*scans.AUDIO)).orderBy("path")
+    """Files are written under folders, and those of the given kinds found again."""
+    path = F.expr("concat(page_id % 9, '/', page_id, '.', array('wav', 'MP3', 'txt', 'md')[cast(page_id % 4 as int)])")
+    where = _publish(R.table(spark, d, "pages").select(path.alias("name"), F.col("url").alias("content")).distinct(), "files")
+    return scans.files(spark, [*where, "/nowhere"]).select(F.concat(F.lit("/"), name_of("path")).alias("path"))
 
 
 @query("S7_stripped_text", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE text <> ''")
 def s7(spark, d):
-    t = R.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.concat(F.lit(" \n"), "text", F.lit("\n")), r"^\s+|\s+$", "").alias("text"))
-    return t.where("text <> ''")
+    """Each turn is a text file with blanks around it."""
+    turns = R.table(spark, d, "conversations").where("text <> ''").select(F.concat("conv_id", F.lit("-"), "turn", F.lit(".txt")).alias("name"), F.concat(F.lit(" \n"), "text", F.lit("\n")).alias("content"))
+    n = F.split(F.regexp_extract("name", r"^(.*)\.txt$", 1), "-")
+    return scans.texts(spark, _publish(turns, "texts")).select(n[0].cast("long").alias("conv_id"), n[1].cast("long").alias("turn"), "text")
 
 
-@query("S1_decode_audio")
-def s1(spark, d):
-    """Samples of recordings that are written as PCM and decoded again, at half the rate."""
-    import numpy as np
-
-    def run(batches):
-        import io
-        import wave
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for rec, x in zip(pdf["rec_id"], pdf["samples"], strict=True):
-                out = io.BytesIO()
-                with wave.open(out, "wb") as w:
-                    w.setnchannels(1)
-                    w.setsampwidth(2)
-                    w.setframerate(32_000)
-                    w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
-                (y,) = scans.decode_wav(out.getvalue(), 16_000)
-                rows.append((rec, len(y), round(float(np.abs(y).max()), 4)))
-            yield pd.DataFrame(rows, columns=["rec_id", "n", "peak"])
+_S1 = "SELECT vec_id AS rec_id, round_even(greatest(least(unnest(embedding)::DOUBLE, 1), -1) * 32767, 0)::BIGINT AS v FROM embeddings"
 
-    signals = R.table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "cast(embedding as array<double>) as samples")
-    return signals.mapInPandas(run, "rec_id long, n long, peak double")
 
+@query("S1_decode_audio", f"SELECT rec_id, 32000 AS rate, count(*) AS n, sum(v)::BIGINT AS total, max(abs(v)) AS peak FROM ({_S1}) GROUP BY rec_id")
+def s1(spark, d):
+    """Recordings are written as PCM files and read in byte ranges; two files that are no recordings are passed over."""
+    signals = R.table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "embedding as samples")
+    broken = R.table(spark, d, "region").where("r_regionkey < 2").selectExpr("concat('x', r_regionkey, '.wav') as name", "encode(r_name, 'UTF-8') as content")
+    (base,) = {x.rsplit("/", 1)[0] for x in _publish(scans.recordings(signals, 32_000).unionByName(broken), "recordings")}
+    heard = scans.audio(spark, base, blockSamples="24", partitionBytes="1000000")
+    rows = heard.select(F.regexp_extract("path", r"/(-?\d+)\.wav$", 1).cast("long").alias("rec_id"), "rate", F.explode("samples").alias("x"))
+    v = F.bround(F.col("x") * 32768).cast("long")
+    return rows.groupBy("rec_id", "rate").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.max(F.abs(v)).alias("peak"))
 
-@query("S4_resample")
-def s4(spark, d):
-    def run(batches):
-        import numpy as np
-        import pandas as pd
 
-        for pdf in batches:
-            y = [X.resample(np.asarray(x), 64, 48) for x in pdf["samples"]]
-            yield pd.DataFrame({"rec_id": pdf["rec_id"], "n": [len(v) for v in y], "total": [round(float(v.sum()), 6) for v in y]})
+#: 64 samples at 3/4 of their rate through 8 lobes: taps reach 32/3 samples, and ends are mirrored.
+_S4 = """SELECT rec_id, count(*) AS n, round(sum(y), 6) AS total, round(sum(y * m), 5) AS moment FROM (
+    SELECT rec_id, m, sum(w * x[CASE WHEN k < 0 THEN -k WHEN k > 63 THEN 126 - k ELSE k END + 1]) / sum(w) AS y FROM (
+      SELECT m, k, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * (0.5 + 0.5 * cos(pi() * t / 8)) AS w FROM (
+        SELECT m, k, (m * 4 - k * 3) / 4.0::DOUBLE AS t FROM (SELECT unnest(range(48)) AS m), (SELECT unnest(range(-12, 76)) AS k)) WHERE abs(t) < 8),
+    (SELECT vec_id AS rec_id, embedding::DOUBLE[] AS x FROM embeddings) GROUP BY rec_id, m) GROUP BY rec_id"""
+
 
-    return R.table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "cast(embedding as array<double>) as samples").mapInPandas(run, "rec_id long, n long, total double")
+@query("S4_resample", _S4)
+def s4(spark, d):
+    """Blocks of 20 samples at three quarters of their rate."""
+    signals = R.table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "cast(embedding as array<double>) as samples")
+    y = X.resampled(X.blocks_of(signals, 20), 20, 64, 48, lobes=8).select("rec_id", "first", F.posexplode("samples"))
+    return y.groupBy("rec_id").agg(F.count("*").alias("n"), F.round(F.sum("col"), 6).alias("total"), F.round(F.sum(F.col("col") * (F.col("first") + F.col("pos"))), 5).alias("moment"))
 
 
 @query("S14_lowest_bitrate", "SELECT l_orderkey, stream_id, bitrate FROM (SELECT l_orderkey, stream_id, bitrate, row_number() OVER (PARTITION BY l_orderkey ORDER BY bitrate, stream_id DESC) AS r FROM (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS stream_id, l_quantity::BIGINT AS bitrate, l_returnflag AS kind FROM lineitem) WHERE kind IN ('A', 'N')) WHERE r = 1")
@@ -140,7 +142,10 @@ def _report_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("S9_parse_reports", "SELECT name, model, cer_raw, cer, sub, 2::BIGINT AS dele, 3::BIGINT AS ins, 1.5::DOUBLE AS sec, 20.9::DOUBLE AS speed FROM (SELECT 'r' || o_custkey::VARCHAR AS name, CASE o_orderkey % 3 WHEN 0 THEN 'tiny' WHEN 1 THEN 'small' ELSE 'medium' END AS model, (o_orderkey % 1000) / 10.0::DOUBLE AS cer_raw, (o_orderkey % 777) / 10.0::DOUBLE AS cer, o_orderkey % 7 AS sub, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
 def s9(spark, d):
-    return P.parse_rows(_report_lines(spark, d))
+    """Each report is a file; the folder is read and its lines are parsed."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    reports = _report_lines(spark, d).groupBy("name").agg(text.alias("content")).withColumn("name", F.concat("name", F.lit(".md")))
+    return P.parse_rows(scans.lines(spark, _publish(reports, "reports"))).withColumn("name", F.regexp_extract("name", r"^(.*)\.md$", 1))
 
 
 def _sweep_text(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +233,11 @@ def a23(spark, d):
 
 @query("K1_subtitles", R.oracle("SELECT rec_id, string_agg(n::VARCHAR || chr(10) || a || ' --> ' || b || chr(10) || CASE WHEN seg_no % 3 = 0 THEN '[?] ' ELSE '' END || trim(text) || chr(10), chr(10) ORDER BY n) AS srt FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_no) AS n, " + ", ".join(f"lpad((round_even({c} * 1000, 0)::BIGINT // 3600000)::VARCHAR, 2, '0') || ':' || lpad((round_even({c} * 1000, 0)::BIGINT % 3600000 // 60000)::VARCHAR, 2, '0') || ':' || lpad((round_even({c} * 1000, 0)::BIGINT % 60000 // 1000)::VARCHAR, 2, '0') || ',' || lpad((round_even({c} * 1000, 0)::BIGINT % 1000)::VARCHAR, 3, '0') AS {a}" for c, a in (("start", "a"), ('"end"', "b"))) + " FROM segments) GROUP BY rec_id", "segments"))
 def k1(spark, d):
-    return P.subtitles(R.segments(spark, d).withColumn("flagged", F.expr("seg_no % 3 = 0")), "[?] ")
+    """A subtitle file for each recording, published and read again."""
+    made = P.subtitles(R.segments(spark, d).withColumn("flagged", F.expr("seg_no % 3 = 0")), "[?] ")
+    base = f"{shared_folder(spark)}/subtitles-{uuid.uuid4().hex}"
+    publish(made.select(F.concat("rec_id", F.lit(".srt")).alias("name"), F.col("srt").alias("content")), base)
+    return read_published(spark, base).select(F.regexp_extract("name", r"^(.*)\.srt$", 1).cast("long").alias("rec_id"), F.decode("content", "UTF-8").alias("srt"))
 
 
 @query("K2_report_lines", R.oracle("SELECT name, model, printf('| %s | %.1f%% | %d | %d | %d | %.1fs | %.1fx |', model, cer, sub, dele, ins, sec, speed) AS line FROM report_rows", "report_rows"))

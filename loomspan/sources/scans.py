@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 from collections.abc import Iterator
 
@@ -10,8 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.features import resample
 from ..params import SAMPLING_RATE
+from .pcm import PcmSource
 
 AUDIO = ("mp3", "wav", "m4a", "flac", "ogg", "aac", "wma", "mp4", "webm")
 
@@ -26,13 +27,13 @@ def files(spark: SparkSession, paths: list[str], extensions: tuple[str, ...] = A
     return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions)).distinct().orderBy("path")
 
 
-def texts(spark: SparkSession, path: str) -> DataFrame:
+def texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``name, text`` of whole files, stripped; an empty one is an error when it is read."""
     t = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
     return t.withColumn("text", F.when(F.col("text") == "", F.raise_error(F.concat(F.lit("empty text: "), F.col("name")))).otherwise(F.col("text")))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``name, line_no, line`` of text files."""
     t = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
     return t.select("name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
@@ -54,36 +55,36 @@ def lowest_bitrate(streams: DataFrame, by: list[str], kinds: tuple[str, ...] = (
     return streams.where(F.col("kind").isin(*kinds)).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def decode_wav(data: bytes, rate: int = SAMPLING_RATE, split_stereo: bool = False) -> list[np.ndarray]:
-    """Samples of a PCM file in -1..1, mono (or both channels), at the given rate."""
-    with wave.open(io.BytesIO(data)) as w:
-        width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = w.readframes(w.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-    elif width == 2:
-        x = np.frombuffer(raw, "<i2") / 32768.0
-    elif width == 4:
-        x = np.frombuffer(raw, "<i4") / 2147483648.0
-    else:
-        raise ValueError(f"samples of {width} bytes")
-    parts = x.reshape(-1, channels).T
-    parts = list(parts[:2]) if split_stereo and channels > 1 else [parts.mean(axis=0)]
-    return [resample(p, own, rate).astype(np.float32) for p in parts]
+def audio(spark: SparkSession, path: str, split_stereo: bool = False, **options: str) -> DataFrame:
+    """``path, channel, rate, block_no, samples, error`` of PCM files under a path or pattern, see ``pcm.PcmSource``; files that can't be read are skipped.
 
+    ``features.resampled`` brings the blocks to another rate.
+    """
+    spark.dataSource.register(PcmSource)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    paths = [s.getPath().toString() for s in found or []]
+    return spark.read.format("pcm").options(paths=json.dumps(paths), splitChannels=str(split_stereo).lower(), **options).load()
 
-def audio(spark: SparkSession, path: str, rate: int = SAMPLING_RATE, split_stereo: bool = False) -> DataFrame:
-    """``path, channel, samples``; files that can't be decoded are skipped. Files are spread over tasks and decoded where they are read."""
+
+def pcm16(samples: np.ndarray, rate: int = SAMPLING_RATE) -> bytes:
+    """A mono recording of 16-bit samples, as a file's bytes: what is beyond -1..1 is cut, halves round to even."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.rint(np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def recordings(signals: DataFrame, rate: int = SAMPLING_RATE) -> DataFrame:
+    """``name, content`` of signals (``rec_id, samples``) as PCM files, ``<rec_id>.wav``; a null sample is silence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    parts = decode_wav(bytes(data), rate, split_stereo)
-                except (wave.Error, EOFError, ValueError):
-                    continue
-                rows += [(p, k, x) for k, x in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["path", "channel", "samples"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, channel int, samples array<float>")
+            for rec, x in zip(pdf["rec_id"], pdf["samples"], strict=True):
+                y = np.nan_to_num(np.asarray([] if x is None else x, dtype=float))
+                yield pd.DataFrame({"name": [f"{rec}.wav"], "content": [pcm16(y, rate)]})
+
+    return signals.select("rec_id", "samples").mapInPandas(run, "name string, content binary")
