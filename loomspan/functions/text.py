@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import math
 import zlib
 
@@ -11,9 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .forms import composed
+
 # Characters that an error rate does not count, digits and units of Chinese numerals,
 # and the characters before which a numeral is rewritten.
 IGNORED = r"[\s，。、；：？！“”‘’（）《》〈〉【】「」,.!?;:\"'()\[\]<>~—…·\-_/\\|]+"
+BLANKS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"  # white space
 DIGITS = "零一二三四五六七八九"
 TWO = "两"
 UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10000}
@@ -24,7 +25,7 @@ PERCENT, MARK = "百分之", "\x00"
 
 def normalised(text: Column) -> Column:
     """Lower case without ignored characters; exact where compatibility forms don't occur (``normalise`` folds those too)."""
-    return F.lower(F.regexp_replace(text, IGNORED, ""))
+    return F.lower(F.regexp_replace(text, IGNORED.replace(r"\s", BLANKS), ""))
 
 
 def _mapped(f, kind: str, *columns) -> Column:
@@ -38,13 +39,9 @@ def _mapped(f, kind: str, *columns) -> Column:
     return F.pandas_udf(lambda a, b: run(a, b), kind)(*columns)
 
 
-def composed(t: str) -> str:
-    return re.sub(IGNORED, "", unicodedata.normalize("NFKC", t)).lower()
-
-
 def normalise(text) -> Column:
     """Compatibility composition, then as ``normalised``."""
-    return _mapped(composed, "string", text)
+    return normalised(composed(F.col(text) if isinstance(text, str) else text))
 
 
 def numeral_value(s: Column) -> Column:
@@ -66,38 +63,24 @@ def numeral_value(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), zero, step, lambda a: (a["total"] + a["section"] + a["number"]).cast("string"))
 
 
-def _value(s: str) -> int:
-    done = part = digit = 0
-    for ch in s:
-        unit = UNITS.get(ch)
-        if unit is None:
-            digit = 2 if ch == TWO else DIGITS.index(ch)
-            continue
-        if unit == 10_000:
-            done, part = done + (part + digit) * unit, 0
-        else:
-            part += max(digit, 1) * unit
-        digit = 0
-    return done + part + digit
-
-
-def numbers_in_digits(t: str) -> str:
-    """Percentages, and numerals before a counting word, in digits. A percent phrase without numeral leaves a NUL."""
-    t = re.sub(f"{MARK}({NUMERAL}+)", lambda m: f"{_value(m[1])}%", t.replace(PERCENT, MARK))
-    return re.sub(f"{NUMERAL}+(?={BEFORE})", lambda m: str(_value(m[0])), t)
-
-
 def normalise_numbers(text) -> Column:
-    return _mapped(numbers_in_digits, "string", text)
+    """Percentages, and numerals before a counting word, in digits. A percent phrase without numeral leaves a NUL."""
+    marked = F.replace(F.col(text) if isinstance(text, str) else text, F.lit(PERCENT), F.lit(MARK))
+    split = F.struct(F.split(marked, f"{NUMERAL}+", -1).alias("between"), F.regexp_extract_all(marked, F.lit(f"{NUMERAL}+"), F.lit(0)).alias("numerals"))
 
+    def rewritten(s: Column, gap: Column, i: Column) -> Column:
+        numeral, percent = F.get(s["numerals"], i), F.endswith(gap, F.lit(MARK))
+        value = F.when(percent, F.concat(F.left(gap, F.length(gap) - 1), numeral_value(numeral), F.lit("%"))).when(F.get(s["between"], i + 1).rlike(f"^{BEFORE}"), F.concat(gap, numeral_value(numeral)))
+        return F.when(numeral.isNull(), gap).otherwise(F.coalesce(value, F.concat(gap, numeral)))
 
-def flat(t: str) -> str:
-    return numbers_in_digits(composed(t)).replace(MARK, "")
+    # the text is split once, and bound to a name
+    parts = F.transform(F.array(split), lambda s: F.array_join(F.transform(s["between"], lambda gap, i: rewritten(s, gap, i)), ""))
+    return F.when(marked.isNotNull(), parts[0])
 
 
 def flatten(text) -> Column:
     """Text as words are labelled on: normalised, numbers in digits, no NUL."""
-    return _mapped(flat, "string", text)
+    return F.replace(normalise_numbers(normalise(text)), F.lit(MARK), F.lit(""))
 
 
 OK, SUB, DEL, INS = "ok", "sub", "del", "ins"

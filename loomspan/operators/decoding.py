@@ -110,13 +110,20 @@ def average_log_probability(score: Column, n_tokens: Column, length_penalty: flo
 def prompt_tokens(segments: DataFrame, keep: int = 223) -> DataFrame:
     """For each segment (``rec_id, seg_no, tokens, reset``) the last ``keep`` tokens said before it since the last reset.
 
-    A segment with ``reset`` clears what was said up to and including it.
+    A segment with ``reset`` clears what was said up to and including it. Null tokens are none, a null reset is no reset. What is held for
+    a segment are the segments that its last ``keep`` tokens come from, however long the recording.
     """
     w = Window.partitionBy("rec_id").orderBy("seg_no")
-    island = F.coalesce(F.sum(F.col("reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = segments.withColumn("island", island)
-    said = F.flatten(F.collect_list("tokens").over(Window.partitionBy("rec_id", "island").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)))
-    return marked.select("rec_id", "seg_no", F.slice(said, F.greatest(F.lit(1), F.size(said) - keep + 1), keep).alias("prompt"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - keep + 1), keep)  # more of a segment is never asked for
+    marked = segments.select("rec_id", "seg_no", F.coalesce(said, F.array().cast(segments.schema["tokens"].dataType)).alias("said"), before(F.coalesce("reset", F.lit(False)).cast("int"), w).alias("island"))
+    counted = marked.withColumn("n", before(F.size("said"), Window.partitionBy("rec_id", "island").orderBy("seg_no")))
+    # each segment asks at the number of tokens before it and speaks at the number up to its end; the frame reaches back ``keep`` tokens, not segments
+    ends = F.array(F.struct(F.col("n").alias("at"), F.lit(None).cast(segments.schema["tokens"].dataType).alias("said")), F.struct((F.col("n") + F.size("said")).alias("at"), F.when(F.size("said") > 0, F.col("said")).alias("said")))
+    both = counted.select("rec_id", "seg_no", "island", F.posexplode(ends).alias("speaks", "end")).select("rec_id", "seg_no", "island", "speaks", "end.at", "end.said").where("speaks = 0 or said is not null")
+    frame = Window.partitionBy("rec_id", "island").orderBy("at").rangeBetween(1 - keep, 0)
+    heard = both.withColumn("heard", F.flatten(F.collect_list("said").over(frame))).where("speaks = 0")
+    return heard.select("rec_id", "seg_no", F.slice("heard", F.greatest(F.lit(1), F.size("heard") - keep + 1), keep).alias("prompt"))
 
 
 def full_prompt(previous: Column, p: DecodeParams, s: SpecialTokens = S, hotwords: Column | None = None, prefix: Column | None = None, keep: int = 223) -> Column:

@@ -146,17 +146,18 @@ def label_words(words: DataFrame, references: DataFrame) -> DataFrame:
 
     def per_recording(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["seg_no", "word_no"], kind="stable").reset_index(drop=True)
-        chars = [(c, k) for k, w in enumerate(pdf["word"]) for c in T.flat(w)]
+        chars = [(c, k) for k, w in enumerate(pdf["word"]) for c in w or ""]
         marks: list[list[bool]] = [[] for _ in range(len(pdf))]
         at = 0
-        for tag, *_ in T.edit_ops(T.flat(pdf["reference"].iloc[0] or ""), [c for c, _ in chars])[1]:
+        for tag, *_ in T.edit_ops(pdf["reference"].iloc[0] or "", [c for c, _ in chars])[1]:
             if not chars:
                 break
             marks[chars[min(at, len(chars) - 1)][1]].append(tag == T.OK)
             at += tag != T.DEL
         return pd.DataFrame({"rec_id": pdf["rec_id"], "seg_no": pdf["seg_no"], "word_no": pdf["word_no"], "has_ref": [bool(m) for m in marks], "correct": [all(m) if m else None for m in marks]})
 
-    joined = words.select("rec_id", "seg_no", "word_no", "word").join(references.select("rec_id", "reference"), "rec_id")
+    flat = lambda name: T.flatten(F.col(name)).alias(name)
+    joined = words.select("rec_id", "seg_no", "word_no", flat("word")).join(references.select("rec_id", flat("reference")), "rec_id")
     return joined.groupBy("rec_id").applyInPandas(per_recording, LABELS)
 
 

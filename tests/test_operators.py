@@ -1,12 +1,15 @@
 """Small cases with known answers, and second statements of folds."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan import views
 from loomspan.functions import text as T
+from loomspan.functions.forms import composed
 from loomspan.functions.time import clock, human_size
 from loomspan.operators import decoding as D, features as X, quality as Q, reports as P, segments as S, words as W
 from loomspan.params import BLOCK, DecodeParams, VadParams, check_device, check_threshold, effective_language
@@ -16,13 +19,49 @@ from loomspan.sources import scans
 @pytest.mark.parametrize("s, value", [("十", "10"), ("二十三", "23"), ("一百零五", "105"), ("两千", "2000"), ("三万五千", "35000"), ("一二三", "3"), ("万", "0"), ("九十一", "91")])
 def test_numeral_value(spark, s, value):
     assert spark.createDataFrame([(s,)], "s string").select(T.numeral_value(F.col("s"))).first()[0] == value
-    assert str(T._value(s)) == value
-
-
-def test_numbers_in_digits():
-    assert T.numbers_in_digits("百分之九十一") == "91%"
-    assert T.numbers_in_digits("上午十点，十分重要的一部分") == "上午10点，10分重要的一部分"
-    assert T.flat("百分之，好") == "好"
+    assert str(views.numeral(s)) == value
+
+
+def test_numbers_in_digits(spark):
+    known = [("百分之九十一", "91%"), ("上午十点，十分重要的一部分", "上午10点，10分重要的一部分"), ("百分之，好", "\0，好"), ("三百分之五", "三5%"), ("", ""), (None, None), ("十点", "10点"), ("点十", "点十"), ("百分之", "\0"), ("\0二分", "2%分")]
+    for row in spark.createDataFrame(known, "t string, e string").select("t", "e", T.normalise_numbers("t").alias("x"), T.flatten("t").alias("f")).collect():
+        assert row.x == row.e
+        if row.t is not None:
+            assert (row.x, row.f) == (views.numbers_in_digits(row.t), views.flat(row.t))
+    assert views.flat("百分之，好") == "好"
+
+
+def test_texts_equal_the_character_database(spark):
+    """Every assigned character of the planes that have any that change, alone and between others, and runs of marks and syllables."""
+    r = random.Random(8)
+    chars = [chr(c) for c in range(1, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    odd = [c for c in chars if unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c] + [chr(c) for c in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3))]
+    numerals = "零一二两十百千万点分百分之\0"
+    mixed = ["".join(r.choice((r.choice(odd), r.choice("aeE가각中 1Σ\n"), r.choice(numerals), r.choice(chars))) for _ in range(r.randint(1, 12))) for _ in range(6000)]
+    texts = ["", " ", "Ａｂｃ，１２３ﬁ é", "é" * 20_000, "가" * 5000, "e" + "\u0301\u0323" * 300, *mixed, *("e" + c + "\u0301" for c in odd)]
+    texts += ["".join(chars[i : i + 1]) for i in range(len(chars))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8).select("t", composed(F.col("t")).alias("c"), T.normalise("t").alias("n"), T.flatten("t").alias("f")).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        assert row.c == unicodedata.normalize("NFKC", row.t), ascii(row.t)
+        assert row.n == views.normalised(row.t), ascii(row.t)
+        assert row.f == views.flat(row.t), ascii(row.t)
+    plan = spark.createDataFrame([("x",)], "t string").select(T.flatten("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and spark.createDataFrame([(None,)], "t string").select(T.flatten("t")).first()[0] is None
+
+
+def test_prompts_of_any_segments(spark):
+    """Segments without tokens, with more than are kept, with nulls; against a walk over each recording."""
+    r = random.Random(4)
+    rows = [(rec, k, None if r.random() < 0.1 else [r.randint(0, 99) for _ in range(r.choice((0, 0, 1, 3, 9)))], r.choice((True, False, False, False, None))) for rec in range(12) for k in range(r.randint(1, 40))]
+    want, said, last = {}, [], None
+    for rec, k, tokens, reset in rows:
+        said = [] if rec != last else said
+        last = rec
+        want[rec, k] = said[-7:]
+        said = [] if reset else said + (tokens or [])
+    got = D.prompt_tokens(spark.createDataFrame(rows, "rec_id long, seg_no long, tokens array<long>, reset boolean"), keep=7).collect()
+    assert len(got) == len(want) and {(x.rec_id, x.seg_no): x.prompt for x in got} == want
 
 
 def test_error_rate_counts_agree_with_the_walk_back(spark):
