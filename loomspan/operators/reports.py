@@ -154,3 +154,36 @@ def word_records(words: DataFrame) -> DataFrame:
 
 def write_word_records(words: DataFrame, path: str) -> None:
     words.select("rec_id", "seg_no", "word_no", "word", F.bround("probability", 6).alias("prob"), F.bround("start", 3).alias("start"), "correct").write.mode("overwrite").json(path)
+
+
+#: Names that a broadcast may hold; beyond them names are joined by shuffle.
+ALIASES = 10_000
+
+
+def resolve_models(asked: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
+    """Adds ``repo`` to ``asked``: a name with a slash is one already, others are looked up in ``known`` (``alias, repo``).
+
+    An unknown name, or none, gets null (``require_known`` refuses it); an alias that is listed repeatedly means its least repo. Rows that repeat stay.
+    """
+    aliases = known.where("alias is not null").groupBy("alias").agg(F.min("repo").alias("__repo")).select(F.col("alias").alias("__alias"), "__repo")
+    if aliases.limit(ALIASES + 1).count() <= ALIASES:
+        aliases = F.broadcast(aliases)
+    found = asked.join(aliases, F.when(~F.contains(F.col(name), F.lit("/")), F.col(name)) == F.col("__alias"), "left")
+    return found.withColumn("repo", F.when(F.contains(F.col(name), F.lit("/")), F.col(name)).otherwise(F.col("__repo"))).drop("__alias", "__repo")
+
+
+def require_known(resolved: DataFrame, name: str = "name") -> DataFrame:
+    """Fails on the first name that has no repo."""
+    return resolved.withColumn("repo", F.coalesce("repo", F.raise_error(F.concat(F.lit("unknown model "), F.coalesce(F.col(name), F.lit("null"))))))
+
+
+def run_options(asked: DataFrame) -> DataFrame:
+    """Settles options of many runs, one row each (``threshold, has_reference, device, compute_type, multilingual, language``).
+
+    Adds ``effective_threshold`` (0.70 where a reference comes without one), ``effective_language`` (English where the model knows no other) and
+    ``problem``: what is wrong, or null. The same rules as ``params`` has for a single run; null flags are no.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    threshold = F.coalesce("threshold", F.when(yes("has_reference"), F.lit(0.70)))
+    problem = F.when((threshold <= 0) | (threshold >= 1) | F.isnan(threshold), F.lit("threshold must lie between 0 and 1")).when((F.col("device") == "cpu") & (F.col("compute_type") == "float16"), F.lit("float16 is not available on cpu"))
+    return asked.select("*", threshold.alias("effective_threshold"), F.when(yes("multilingual"), F.col("language")).otherwise(F.lit("en")).alias("effective_language"), problem.alias("problem"))

@@ -165,11 +165,26 @@ def x1(spark, d):
     return R.table(spark, d, "part").select("p_partkey", T.normalised(t).alias("t"))
 
 
-@query("X1_normalise_all_forms")
+_IGNORED = "[\\s\\x1c-\\x1f\\x{85}\\x{a0}，。、；：？！“”‘’（）《》〈〉【】「」,.!?;:\\()\\[\\]<>~—…·_/\\\\|\"''-]+"  # white space and marks, for DuckDB
+
+
+@query("X1_normalise_all_forms", f"SELECT conv_id, turn, lower(regexp_replace(nfc_normalize(text), '{_IGNORED}', '', 'g')) AS t FROM conversations")
 def x1u(spark, d):
     return R.table(spark, d, "conversations").select("conv_id", "turn", T.normalise("text").alias("t"))
 
 
+# Fullwidth forms of the small letters.
+_WIDE = "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+
+
+@query("X1_compatibility_forms", "SELECT p_partkey, replace(lower(p_name), ' ', '') || 'éfi1カ가ᄀ' || lower(replace(p_type, ' ', '')) AS t FROM part")
+def x1c(spark, d):
+    """Names in fullwidth letters, an accent that stands alone, a ligature, a number in a circle, a halfwidth letter, jamo."""
+    wide = F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", _WIDE)
+    odd = F.lit("e\u0301\ufb01\u2460\uff76\u1100\u1161\u3131")
+    return R.table(spark, d, "part").select("p_partkey", T.normalise(F.concat(wide, odd, "p_type")).alias("t"))
+
+
 _CN = "list_reduce(list_prepend('', string_split(lpad(k::VARCHAR, 4, '0'), '')), lambda a, x: a)"
 
 
@@ -190,7 +205,12 @@ def x3(spark, d):
     return _numerals(spark, d).where("n > 0").select("n", T.normalise_numbers(F.concat(F.lit("第"), "s", F.lit("天"))).alias("t"))
 
 
-@query("X4_flatten")
+@query("X4_flatten_numerals", "SELECT n, '占' || n::VARCHAR || '%共' || n::VARCHAR || '个x' AS t FROM (SELECT p_partkey % 10000 AS n FROM part) WHERE n > 0")
+def x4n(spark, d):
+    return _numerals(spark, d).where("n > 0").select("n", T.flatten(F.concat(F.lit("占 百分之"), "s", F.lit("，共"), "s", F.lit("个！百分之Ｘ"))).alias("t"))
+
+
+@query("X4_flatten", f"SELECT conv_id, turn, lower(regexp_replace(nfc_normalize(text), '{_IGNORED}', '', 'g')) AS t FROM conversations")
 def x4(spark, d):
     return R.table(spark, d, "conversations").select("conv_id", "turn", T.flatten("text").alias("t"))
 

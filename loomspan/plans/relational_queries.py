@@ -111,6 +111,25 @@ def s18(spark, d):
     return R.table(spark, d, "supplier").join(R.table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
 
 
+@query("S18_resolve_models", """SELECT c_custkey, name, CASE WHEN contains(name, '/') THEN name ELSE 'hub/' || lower(replace(n_name, ' ', '-')) END AS repo
+    FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'own/' || c_name WHEN 1 THEN 'no model' ELSE n_name END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey) LEFT JOIN nation ON n_name = name""")
+def s18r(spark, d):
+    nation = R.table(spark, d, "nation")
+    asked = R.table(spark, d, "customer").join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr("c_custkey", "case c_custkey % 4 when 0 then concat('own/', c_name) when 1 then 'no model' else n_name end as name")
+    return P.resolve_models(asked, nation.selectExpr("n_name as alias", "concat('hub/', lower(replace(n_name, ' ', '-'))) as repo"))
+
+
+_ASKED = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN round(l_discount * 12, 2) END AS threshold, l_linenumber % 2 = 0 AS has_reference, CASE WHEN l_partkey % 2 = 0 THEN 'cpu' ELSE 'cuda' END AS device,
+    CASE WHEN l_suppkey % 3 = 0 THEN 'float16' ELSE 'int8' END AS compute_type, l_partkey % 5 > 0 AS multilingual, CASE WHEN l_suppkey % 4 > 0 THEN 'de' END AS language FROM lineitem"""
+
+
+@query("P10_P11_run_options", f"""SELECT l_orderkey, l_linenumber, t AS effective_threshold, CASE WHEN multilingual THEN language ELSE 'en' END AS effective_language,
+    CASE WHEN t <= 0 OR t >= 1 THEN 'threshold must lie between 0 and 1' WHEN device = 'cpu' AND compute_type = 'float16' THEN 'float16 is not available on cpu' END AS problem
+    FROM (SELECT *, CASE WHEN threshold IS NULL AND has_reference THEN 0.70::DOUBLE ELSE threshold END AS t FROM ({_ASKED}))""")
+def p10(spark, d):
+    return P.run_options(spark.sql(_ASKED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=R.table(spark, d, "lineitem"))).select("l_orderkey", "l_linenumber", "effective_threshold", "effective_language", "problem")
+
+
 @query("J8_dimension_lookup", "SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j8(spark, d):
     t = lambda n: R.table(spark, d, n)

@@ -411,3 +411,21 @@ def test_parameters():
 def test_word_error_rate(spark):
     df = spark.createDataFrame([("a b c", "a x c"), ("d", "d e"), ("", "f")], "ref string, hyp string")
     assert Q.corpus_word_error_rate(df).first().wer == pytest.approx(100 * 3 / 4)
+
+
+def test_models_and_options_of_many_runs(spark):
+    known = spark.createDataFrame([("a", "hub/a2"), ("a", "hub/a1"), ("b", "hub/b"), (None, "hub/none")], "alias string, repo string")
+    asked = spark.createDataFrame([(1, "a"), (2, "own/x"), (3, "c"), (4, None), (5, "a")], "id int, name string")
+    got = {r.id: r.repo for r in P.resolve_models(asked, known).collect()}
+    assert got == {1: "hub/a1", 2: "own/x", 3: None, 4: None, 5: "hub/a1"}
+    with pytest.raises(Exception, match="unknown model"):
+        P.require_known(P.resolve_models(asked, known)).collect()
+    runs = [(t, ref, dev, kind, multi, "de") for t in (None, 0.0, 0.3, 1.0) for ref in (True, False, None) for dev in ("cpu", "cuda") for kind in ("float16", "int8") for multi in (True, False, None)]
+    for r in P.run_options(spark.createDataFrame(runs, "threshold double, has_reference boolean, device string, compute_type string, multilingual boolean, language string")).collect():
+        threshold, wrong = 0.70 if r.threshold is None and r.has_reference else r.threshold, None
+        try:
+            check_threshold(threshold) if threshold is not None else None
+            check_device(r.device, r.compute_type)
+        except ValueError as e:
+            wrong = str(e)
+        assert (r.effective_threshold, r.problem, r.effective_language) == (threshold, wrong, effective_language(bool(r.multilingual), r.language))
