@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, unused
 
 DIMENSIONS = 1 << 14
 #: Documents that the scorer is trained on, about: the bound of the labelled sample.
@@ -144,18 +144,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["votes", "at", "value"])
 
 
-def _judged(weights: np.ndarray, posterior: dict[str, float], prior: float):
+def _judged(text: str, weights: np.ndarray, posterior: dict[str, float], prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pattern, soft, score = [], [], []
-            for t in batch.column("__text").to_pylist():
+            for t in batch.column(text).to_pylist():
                 words = t.split()
                 s = statistics(t, words)
                 a, v = features(words, s)
                 pattern.append(votes(s))
                 soft.append(posterior.get(pattern[-1], prior))
                 score.append(float(1 / (1 + np.exp(-np.clip(weights[a] @ v + weights[-1], -30, 30)))) if words else 0.0)
-            rest = [n for n in batch.schema.names if n != "__text"]
+            rest = [n for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(pattern, pa.string()), pa.array(soft, pa.float64()), pa.array(score, pa.float64()), pa.array([x >= 0.5 for x in score], pa.bool_())], names=[*rest, "votes", "posterior", "quality_score", "keep"])
 
     return run
@@ -167,10 +167,11 @@ class QualityModel:
 
     def judge(self, docs: DataFrame) -> DataFrame:
         """Adds ``votes, posterior, quality_score, keep`` to every row; columns of those names are replaced."""
-        docs = docs.drop("votes", "posterior", "quality_score", "keep", "__text")
+        docs = docs.drop("votes", "posterior", "quality_score", "keep")
+        text = unused(docs, "judged")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         schema += ", votes string, posterior double, quality_score double, keep boolean"
-        return docs.withColumn("__text", text_or_empty()).mapInArrow(_judged(self.weights, self.posterior, self.share), schema)
+        return docs.withColumn(text, text_or_empty()).mapInArrow(_judged(text, self.weights, self.posterior, self.share), schema)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:

@@ -444,6 +444,8 @@ def test_quality_model_on_known_junk(spark, nothing):
     assert not any(got[i].keep for i in range(300, len(rows)))
     assert all(0 <= x.quality_score <= 1 for x in got.values())
     assert quality.classify(spark, nothing).count() == 0
+    own = df.select("*", F.col("doc_id").alias("__text"), F.col("doc_id").alias("Judged"))
+    assert quality.classify(spark, own).where("__text = doc_id and Judged = doc_id").count() == len(rows)
     twice = quality.classify(spark, df.unionAll(df)).groupBy("doc_id").agg(F.count_distinct("quality_score").alias("n"), F.count("*").alias("c")).where("n <> 1 or c <> 2").count()
     assert twice == 0
 
