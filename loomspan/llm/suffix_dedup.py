@@ -27,7 +27,7 @@ from .common import Scratch, partitions, text_or_empty, unused
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM + 1  # grams in a window
 HOT = 2000
-CHUNK = 3000  # anchors that a bucket sorts at once, about; those of one gram stay together
+CHUNK = 3000  # anchors that a bucket sorts at once, about; those of one gram and salt stay together
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -219,7 +219,10 @@ def repeats(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, ctx: list[by
 
 
 def _buckets(chunk: int):
-    """Sorts a bucket chunk by chunk; rows come in the order of their leading tokens, those of one gram together, and these are never split."""
+    """Sorts a bucket chunk by chunk; rows come in the order of their leading tokens, those of one gram and salt together, and these are never split.
+
+    Parts of a gram that is dealt out by salts may fall into several chunks of one bucket: they are compared across boundaries anyway.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,9 +253,9 @@ def _buckets(chunk: int):
             rows += batch.num_rows
             if rows >= chunk:
                 table = pa.Table.from_batches(held).combine_chunks()
-                h = table.column("h").to_numpy()
+                h, part = table.column("h").to_numpy(), table.column("salt").to_numpy()
                 done = 0
-                ends = np.flatnonzero(h[1:] != h[:-1]) + 1  # where a new gram begins
+                ends = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1  # where a new gram begins, or the next part of one
                 while rows - done >= chunk and len(e := ends[ends > done]):
                     to = int(e[min(np.searchsorted(e, done + chunk), len(e) - 1)])
                     yield flush(table.slice(done, to - done))
