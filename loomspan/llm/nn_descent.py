@@ -186,8 +186,8 @@ def _stepped(k: int):
                     beam += [{"id": int(i), "s": float(x), "open": True} for i, x in zip(ids, s, strict=True)]
                     old = old + ids.tolist()
                     beam.sort(key=lambda b: (-b["s"], b["id"]))
-                seen.append(old)
                 beams.append(beam[: _width(beam, h, k, BEAM + 1)])
+                seen.append(old if any(b["open"] for b in beams[-1]) else [])  # a walk that has ended asks no more
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("h"), pa.array(seen, pa.list_(pa.int64())), pa.array(beams, _BEAM)], names=["query", "h", "seen", "beam"])
 
     return run
@@ -217,8 +217,9 @@ def greedy_search(spark: SparkSession, scratch: Scratch, singles: DataFrame, gra
     for _ in range(steps):
         ordered = F.expr("slice(array_sort(filter(beam, b -> b.open), (x, y) -> case when x.s > y.s then -1 when x.s < y.s then 1 when x.id < y.id then -1 else 1 end), 1, %d)" % STEP)
         front = state.select("query", F.explode(ordered).alias("b")).select("query", F.col("b.id").alias("v"))
-        led = front.join(lists, "v").select("query", F.explode("near").alias("id")).distinct()
-        new = led.join(state.select("query", F.explode("seen").alias("id")), ["query", "id"], "left_anti")
+        # a step leads to STEP lists at most; what was seen is left out as a set, inside the row of its walk
+        led = front.join(lists, "v").select("query", F.explode("near").alias("id")).groupBy("query").agg(F.collect_set("id").alias("ids"))
+        new = led.join(state.select("query", "seen"), "query").select("query", F.explode(F.array_except("ids", "seen")).alias("id"))
         met = new.join(singles, "id").groupBy("query").agg(F.collect_list(F.struct("id", "h")).alias("met"))
         renewed = scratch.write(state.join(met, "query", "left").mapInArrow(_stepped(k), _STATE), "state")
         scratch.drop(state)
