@@ -29,11 +29,13 @@ def subtitle_clock(seconds: Column) -> Column:
     return clock(seconds, True, ",")
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in the largest unit that leaves at least 1, one decimal place from KB on."""
-    out = F.format_string("%.1f TB", F.bround(n / (1024.0**4), 1))
-    for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))).otherwise(out)
+def human_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes in the largest unit that leaves at least 1, one decimal place from KB on; nothing goes beyond the unit ``largest``."""
+    units = ["KB", "MB", "GB", "TB"]
+    top = units.index(largest) + 1
+    out = F.format_string(f"%.1f {largest}", F.bround(n / float(1024**top), 1))
+    for k in range(top - 1, 0, -1):
+        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {units[k - 1]}", F.bround(n / float(1024**k), 1))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 

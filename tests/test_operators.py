@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,21 @@ def test_clock_and_sizes(spark):
     assert got == [("00:00.000", "00:00:00,000", "0 B"), ("01:01.500", "00:01:01,500", "1023 B"), ("01:00:00.000", "01:00:00,000", "1.5 KB"), ("100:00:00.250", "100:00:00,250", "5.0 GB")]
 
 
+def test_sizes_beyond_a_terabyte(spark, tmp_path):
+    """Orders with keys as in larger tables: the query stops at GB, as its SQL does; the function goes on to TB."""
+    from loomspan import plans
+
+    queries, oracle = plans.load()
+    keys = [1, 8, 256, 262_143, 262_144, 262_145, 900_000, 9_000_000, 23_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = dict(map(tuple, queries["X10_human_size"](spark, str(tmp_path)).collect()))
+    assert got == dict(duck.sql(oracle["X10_human_size"]).fetchall()) and got[900_000] == "12069.9 GB"
+    df = spark.createDataFrame([((1 << 40) - 1,), (1 << 40,), (3 << 39,)], "n long")
+    assert [tuple(x) for x in df.select(human_size(F.col("n")), human_size(F.col("n"), "GB")).collect()] == [("1024.0 GB", "1024.0 GB"), ("1.0 TB", "1024.0 GB"), ("1.5 TB", "1536.0 GB")]
+
+
 def speech(probs, p):
     """Another statement of the segmentation rules, frame by frame."""
     low, quiet = p.low, p.samples(p.min_silence_at_max_speech)
