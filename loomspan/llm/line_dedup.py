@@ -7,8 +7,9 @@ The 16 components are the points of an affine plane of order 4, and its 20 lines
 have some band in common (0.98 at similarity 0.75, more above), others seldom (0.15 at 0.3).
 
 Each band's lines are verified against its smallest by the exact Jaccard similarity of the shingle sets. Where that leaves a band in
-several components, all pairs of different components meet in a join; those whose sketches (63 further components, a byte each) agree in
-``AGREED`` or more go on to exact verification: 0.995 of the pairs at similarity 0.75, more above.
+several components, its lines are verified against the shortest too: what many lines hold is most of the shortest of them. Lines of bands
+that are then still open meet by prefixes: of the shingles, rarest first, two sets that reach the threshold have one in common before a place that their
+sizes tell. That loses no pair of such a band, and what very many lines hold stands last.
 Distributed union-find joins what was verified, and one line of each component stays: the first by (doc_id, line).
 
 Equal lines are one content from the start, whatever their number. For signatures, windows are rows of generated code, never arrays.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, text_or_empty, unused
 from .graph import connected_components, joined_components
@@ -28,13 +29,10 @@ WINDOW = 12
 THRESHOLD = 0.75
 #: Order of the affine plane: ORDER ** 2 components, ORDER * (ORDER + 1) bands.
 ORDER = 4
-#: Components of a sketch, in longs of seven bytes each, and how many of them agree in pairs that are verified.
-LONGS, AGREED = 9, 39
-#: Members of a band that meet in one task, and pairs that one task verifies, about.
-PART, PAIRS = 1000, 2000
+#: Pairs that one task verifies, about.
+PAIRS = 2000
 #: Bands that are dealt out at a time.
 PASS = 10
-_LOW, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 
 
 def _times(a: int, b: int) -> int:
@@ -77,69 +75,62 @@ def with_bands(lines: DataFrame) -> DataFrame:
     return signed.select("lid", *(F.xxhash64(*(f"m{p}" for p in band), F.lit(k)).alias(f"b{k}") for k, band in enumerate(BANDS)))
 
 
-def with_sketches(lines: DataFrame) -> DataFrame:
-    """``lid`` and the sketch ``p0, p1, ...`` of rows ``lid, line``."""
-    signed = shingles(lines, "lid").groupBy("lid").agg(*_components(F.xxhash64("h", F.lit(2)), _constants(7 * LONGS, 2)))
-    byte = lambda i, k: F.shiftleft(F.col(f"m{7 * i + k}").bitwiseAND(F.lit(255)), 8 * k)
-
-    def packed(i: int) -> Column:
-        out = byte(i, 0)
-        for k in range(1, 7):
-            out = out.bitwiseOR(byte(i, k))
-        return out.alias(f"p{i}")
-
-    return signed.select("lid", *map(packed, range(LONGS)))
-
-
-def _agreed(x: str, y: str) -> str:
-    """SQL for how many bytes two sketches have in common: a byte of the xor is zero where its high bit stays clear."""
-    each = (f"bit_count(~((({x}.p{i} ^ {y}.p{i}) & {_LOW}) + {_LOW} | ({x}.p{i} ^ {y}.p{i})) & {_HIGH})" for i in range(LONGS))
-    return " + ".join(each)
+def _hashes(units: str) -> Column:
+    """The hashes of all windows of a line in UTF-16BE, as an array."""
+    return F.expr(f"transform(sequence(0, greatest(0, int(octet_length({units}) div 2) - {WINDOW})), i -> xxhash64(substring({units}, 2 * i + 1, {2 * WINDOW})))")
 
 
 def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of distinct pairs (a, b) of ``lid``, those whose shingle sets reach the threshold. Texts move, which are far smaller than their sets."""
     a, b = (texts.select(F.col("lid").alias(x), F.encode("line", "UTF-16BE").alias(f"line_{x}")) for x in "ab")
-    hashes = "transform(sequence(0, greatest(0, int(octet_length({0}) div 2) - {1})), i -> xxhash64(substring({0}, 2 * i + 1, {2})))"
     met = pairs.join(a, "a").join(b, "b").repartition(1 + pairs.count() // PAIRS)
-    sets = met.select("a", "b", *(F.expr(hashes.format(f"line_{x}", WINDOW, 2 * WINDOW)).alias(f"s{x}") for x in "ab"))
+    sets = met.select("a", "b", *(_hashes(f"line_{x}").alias(f"s{x}") for x in "ab"))
     sizes = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), F.size(F.array_union("sa", "sb")).alias("either"))
     # written before it is filtered, so that no set is made twice
     return scratch.write(sizes, "sizes").where(F.col("both") >= F.lit(threshold) * F.col("either")).select("a", "b")
 
 
-def _met(members: DataFrame) -> DataFrame:
-    """Distinct pairs of members (``band, n, lid, comp, b0, ..., p0, ...``) of different components of a band whose sketches agree; a pair is met in its first band only.
+def _shared(dealt: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Rows of ``dealt`` whose ``key`` several rows have, with ``n``, how many do. Rows are dealt out once: what counts them and what they are joined with read one shuffle."""
+    dealt = dealt.repartition(key)
+    several = dealt.groupBy(key).agg(F.count("*").alias("n"), *more).where("n > 1")
+    return dealt.join(several.hint("shuffle_hash"), key)
+
 
-    A large band is dealt out in parts: each member meets one part at a time.
+def _met(scratch: Scratch, lines: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different components among ``lid, comp, line``; every such pair whose similarity reaches the threshold is among them.
+
+    Shingles stand in one order everywhere, rarest first. Sets that are alike have their first common shingle early in both, so that enough
+    of either is left behind it; no other places meet.
     """
-    place = F.array_position(F.array(*(f"b{k}" for k in range(len(BANDS)))), F.col("band")) - 1
-    parts = members.withColumn("k", place).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    x = parts.withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")).alias("x")
-    y = parts.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("y")
-    earlier = " or ".join(f"(x.k > {k} and x.b{k} = y.b{k})" for k in range(len(BANDS) - 1))
-    on = f"x.band = y.band and x.part = y.part and x.lid < y.lid and x.comp <> y.comp and ({_agreed('x', 'y')}) >= {AGREED} and not ({earlier})"
-    return x.join(y, F.expr(on)).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
+    # written, so that the encoding isn't put into the function of each window
+    units = scratch.write(lines.select("lid", "comp", F.encode("line", "UTF-16BE").alias("units")), "units")
+    # sizes are taken before the sets are exploded, so that no row carries a set
+    sets = units.select("lid", "comp", F.array_distinct(_hashes("units")).alias("s")).select("lid", "comp", F.size("s").alias("size"), "s")
+    rows = sets.select("lid", "comp", "size", F.explode("s").alias("h"))
+    held = scratch.write(_shared(rows, "h"), "held")
+    scratch.release()
+    # shingles of one line alone come first; they are told by the size
+    order = Window.partitionBy("lid").orderBy("n", "h")
+    placed = held.withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("lid")))
+    early = scratch.write(placed.where(F.col("size") - F.col("place") + 1 >= F.lit(threshold) * F.col("size")), "early")
+    scratch.drop(held)
+    scratch.release()
+    x, y = early.alias("x"), early.alias("y")
+    left = "least(x.size - x.place, y.size - y.place) + 1"
+    on = f"x.h = y.h and x.lid < y.lid and x.comp <> y.comp and {left} >= {threshold / (1 + threshold) - 1e-9!r}D * (x.size + y.size)"
+    return x.join(y, F.expr(on)).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
 
 
 def _groups(scratch: Scratch, signed: DataFrame) -> DataFrame:
-    """``band, lid, n, lo`` of the bands that several lines share: how many do, and the smallest of them.
-
-    Bands are counted before they are joined, so no band's rows need to meet in one task; some go at a time, for the sake of the disk.
-    """
-    out = []
+    """``band, lid, n, lo`` of the bands that several lines share: how many do, and the smallest of them. Some bands go at a time, for the sake of the disk."""
+    rows = None
     for first in range(0, len(BANDS), PASS):
-        scratch.release()
         dealt = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(first, min(first + PASS, len(BANDS)))))).alias("band"))
-        # a table of its own, so that Spark can split a band that very many lines share
-        several = scratch.write(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        more = scratch.write(_shared(dealt, "band", F.min("lid").alias("lo")), "groups", compact=True)
+        rows = more if rows is None else rows.unionByName(more)
         scratch.release()
-        out.append(scratch.write(dealt.join(several.hint("shuffle_hash"), "band"), "several", compact=True))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    scratch.release()
-    return scratch.write(rows.join(rows.groupBy("band").agg(F.min("lid").alias("lo")), "band"), "groups", compact=True)
+    return rows
 
 
 def _open(groups: DataFrame, comps: DataFrame) -> DataFrame:
@@ -157,20 +148,27 @@ def content_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame, thre
     unique = scratch.write(unique.select(F.monotonically_increasing_id().alias("lid"), "*"), "unique")
     scratch.release()
     signed = scratch.write(with_bands(unique.select("lid", "line")), "bands")
+    scratch.release()
     groups = _groups(scratch, signed)
+    scratch.drop(signed)
     pairs = scratch.write(groups.where("lid <> lo").select(F.col("lo").alias("a"), F.col("lid").alias("b")).distinct(), "pairs")
-    wanted = groups.select("lid").distinct()
-    texts = scratch.write(unique.select("lid", "line").join(wanted, "lid", "left_semi"), "texts")
+    texts = scratch.write(unique.select("lid", "line").join(groups.select("lid").distinct(), "lid", "left_semi"), "texts")
+    scratch.release()
     links = verified(scratch, pairs, texts, threshold)
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
-    rest = scratch.write(_open(groups, comps), "open", compact=True)
-    sketched = with_sketches(texts.join(rest.select("lid").distinct(), "lid", "left_semi"))
-    members = rest.join(scratch.write(sketched, "sketches"), "lid").join(signed.join(rest.select("lid").distinct(), "lid", "left_semi"), "lid")
-    pairs = scratch.write(_met(members).join(pairs, ["a", "b"], "left_anti"), "apart")
-    links = verified(scratch, pairs, texts, threshold)
-    if not links.isEmpty():
-        comps = scratch.write(joined_components(spark, comps, links, scratch), "components")
+    def add(links: DataFrame) -> DataFrame:
+        return comps if links.isEmpty() else scratch.write(joined_components(spark, comps, links, scratch), "components")
+
+    rest = scratch.write(_open(groups, comps).join(texts.select("lid", F.length("line").alias("size")), "lid"), "open", compact=True)
+    centres = rest.groupBy("band").agg(F.min(F.struct("size", "lid", "comp")).alias("c"))
+    second = rest.join(centres, "band").where("comp <> c.comp").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b")).distinct()
+    comps = add(verified(scratch, scratch.write(second.join(pairs, ["a", "b"], "left_anti"), "second"), texts, threshold))
+
+    rest = _open(groups, comps).select("lid", "comp").distinct()
+    apart = scratch.write(_met(scratch, texts.join(rest, "lid"), threshold), "apart")
+    scratch.release()
+    comps = add(verified(scratch, apart, texts, threshold))
 
     of = unique.select("lid", "k1", "k2", "n", "at").join(comps.withColumnRenamed("node", "lid"), "lid", "left").withColumn("comp", F.coalesce("component", "lid"))
     heads = of.groupBy("comp").agg(F.min("at").alias("head"), F.sum("n").alias("n_alike"))

@@ -364,6 +364,33 @@ def test_line_dedup_compares_large_bands_in_full(spark):
     assert sum(pairs) >= 199
 
 
+def test_line_dedup_of_a_common_passage(spark, monkeypatch):
+    """Lines that share a passage and little else, and a few long ones: as by brute force, and few pairs are compared, not those of all lines with all."""
+    r = np.random.default_rng(11)
+    text = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passage = text(480).strip()
+    lines = [f"q{text(int(n))} {passage} {text(int(n))}q" for n in r.integers(20, 200, 300)]
+    long = text(20_000)
+    lines += [f"x{long}{text(n)}x" for n in (100, 8_000, 8_100, 8_200)]
+    counted, write = {}, line_dedup.Scratch.write
+
+    def counting(self, df, name="t", compact=False):
+        out = write(self, df, name, compact)
+        counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "write", counting)
+    got = {x.doc_id: x.component_doc for x in line_dedup.line_components(spark, spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    sets = list(map(windows, lines))
+    c = Components(len(lines))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.75 * len(a | b):
+                c.join(i, j)
+    assert [got[k] for k in range(len(lines))] == c.smallest(list(range(len(lines))))
+    assert counted["apart"] <= 2 * len(lines)
+
+
 def test_line_dedup_reads_long_tokens_whole(spark):
     """Against plain character shingles: what follows the first characters of a token counts, and as much as any other text."""
     r = np.random.default_rng(7)
