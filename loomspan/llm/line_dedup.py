@@ -9,7 +9,7 @@ have some band in common (0.98 at similarity 0.75, more above), others seldom (0
 Each band's lines are verified against its smallest by the exact Jaccard similarity of the shingle sets. Where that leaves a band in
 several components, its lines are verified against the shortest too: what many lines hold is most of the shortest of them. Lines of bands
 that are then still open meet by prefixes: of the shingles, rarest first, two sets that reach the threshold have one in common before a place that their
-sizes tell. That loses no pair of such a band, and what very many lines hold stands last.
+sizes tell, unless sketches tell that they differ in too many. That loses no pair of such a band, and what very many lines hold stands last.
 Distributed union-find joins what was verified, and one line of each component stays: the first by (doc_id, line).
 
 Equal lines are one content from the start, whatever their number. For signatures, windows are rows of generated code, never arrays.
@@ -33,6 +33,8 @@ ORDER = 4
 PAIRS = 2000
 #: Bands that are dealt out at a time.
 PASS = 10
+#: Words of 64 bits in a sketch, a power of two, and early shingles that a row remembers.
+SKETCH, BEFORE = 16, 4
 
 
 def _times(a: int, b: int) -> int:
@@ -97,11 +99,19 @@ def _shared(dealt: DataFrame, key: str, *more: Column) -> DataFrame:
     return dealt.join(several.hint("shuffle_hash"), key)
 
 
+def _sketched(sets: DataFrame) -> DataFrame:
+    """``lid, k0, k1, ...``: of each of 64 * SKETCH buckets of hashes, whether it holds an odd number of the set ``s``. Two sketches differ in no more bits than their sets in elements."""
+    word, bit = F.col("h").bitwiseAND(F.lit(SKETCH - 1)), F.expr(f"shiftleft(1L, cast(shiftright(h, {SKETCH.bit_length() - 1}) & 63 as int))")
+    words = (F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{k}") for k in range(SKETCH))
+    return sets.select("lid", F.explode("s").alias("h")).groupBy("lid").agg(*words)
+
+
 def _met(scratch: Scratch, lines: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of different components among ``lid, comp, line``; every such pair whose similarity reaches the threshold is among them.
 
     Shingles stand in one order everywhere, rarest first. Sets that are alike have their first common shingle early in both, so that enough
-    of either is left behind it; no other places meet.
+    of either is left behind it; no other places meet. Sets whose sketches differ in too many bits don't meet, and a pair meets no further where one of
+    the ``BEFORE`` early shingles before is common to both: there it met already, with more left behind it.
     """
     # written, so that the encoding isn't put into the function of each window
     units = scratch.write(lines.select("lid", "comp", F.encode("line", "UTF-16BE").alias("units")), "units")
@@ -113,12 +123,20 @@ def _met(scratch: Scratch, lines: DataFrame, threshold: float) -> DataFrame:
     # shingles of one line alone come first; they are told by the size
     order = Window.partitionBy("lid").orderBy("n", "h")
     placed = held.withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("lid")))
-    early = scratch.write(placed.where(F.col("size") - F.col("place") + 1 >= F.lit(threshold) * F.col("size")), "early")
+    early = placed.where(F.col("size") - F.col("place") + 1 >= F.lit(threshold) * F.col("size")).select("lid", "comp", "size", "h", "place")
+    # what stands early in lines of one component alone brings no pair
+    several = scratch.write(_shared(early, "h", F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(*early.columns), "several")
     scratch.drop(held)
     scratch.release()
+    before = F.collect_list("h").over(Window.partitionBy("lid").orderBy("place").rowsBetween(-BEFORE, -1))
+    early = scratch.write(several.withColumn("before", before).join(scratch.write(_sketched(sets), "sketches"), "lid"), "early")
+    scratch.drop(several)
+    scratch.release()
     x, y = early.alias("x"), early.alias("y")
     left = "least(x.size - x.place, y.size - y.place) + 1"
-    on = f"x.h = y.h and x.lid < y.lid and x.comp <> y.comp and {left} >= {threshold / (1 + threshold) - 1e-9!r}D * (x.size + y.size)"
+    differ = " + ".join(f"bit_count(x.k{k} ^ y.k{k})" for k in range(SKETCH))
+    on = f"""x.h = y.h and x.lid < y.lid and x.comp <> y.comp and {left} >= {threshold / (1 + threshold) - 1e-9!r}D * (x.size + y.size)
+        and {differ} <= {(1 - threshold) / (1 + threshold) + 1e-9!r}D * (x.size + y.size) and not arrays_overlap(x.before, y.before)"""
     return x.join(y, F.expr(on)).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
 
 

@@ -391,6 +391,20 @@ def test_line_dedup_of_a_common_passage(spark, monkeypatch):
     assert counted["apart"] <= 2 * len(lines)
 
 
+def test_open_lines_meet_where_sketches_allow(spark):
+    """Each line shares its rarest shingles with one other that is unlike it, and most of its own with many that are like it."""
+    r = np.random.default_rng(31)
+    draw = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    frames, rare = [draw(260), draw(260)], [draw(24) for _ in range(14)]
+    lines = [x + f for x in rare for f in frames]
+    sets = [{x[i : i + line_dedup.WINDOW] for i in range(len(x) - line_dedup.WINDOW + 1)} for x in lines]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(lines)) for a in range(b)}
+    rows = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "lid long, comp long, line string")
+    met = [tuple(p) for p in line_dedup._met(line_dedup.Scratch(spark, "met"), rows, 0.75).collect()]
+    assert len(met) == len(set(met)) and {p for p, j in alike.items() if j >= 0.75} <= set(met)
+    assert sum(j >= 0.75 for j in alike.values()) > 100 and all(alike[p] > 0.5 for p in met)
+
+
 def test_line_dedup_reads_long_tokens_whole(spark):
     """Against plain character shingles: what follows the first characters of a token counts, and as much as any other text."""
     r = np.random.default_rng(7)
