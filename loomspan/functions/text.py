@@ -85,28 +85,52 @@ def flatten(text) -> Column:
 
 OK, SUB, DEL, INS = "ok", "sub", "del", "ins"
 _FAR = 1 << 29
+#: Elements compared at once where two sequences go on alike; rows of so few edits are all kept.
+_STRIDE, _ROWS = 32, 1024
 
 
-class _Band:
-    """Rows of the edit table of two sequences of codes, as far as ``reach`` cells from the diagonal; place b of row i is column i + b - reach."""
+class _Reach:
+    """How far along each diagonal of the edit table of two sequences of codes so many edits lead.
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, reach: int):
-        self.a, self.reach, self.width = a, reach, 2 * reach + 1
-        self.along = np.arange(self.width, dtype=np.int32)
-        # codes of the second sequence by the place of their column, foreign beyond its ends
-        self.b = np.full(len(a) + self.width + 1, -1, dtype=np.int32)
-        at = np.arange(len(b)) + reach
-        self.b[at[at < len(self.b)]] = b[at < len(self.b)]
-
-    def first(self) -> np.ndarray:
-        return np.where(self.along < self.reach, _FAR, self.along - self.reach).astype(np.int32)
+    Distances never fall along a diagonal, so that row d tells of every cell whether its distance is at most d. Diagonals are told by column
+    less row; a row is the first diagonal and, from it on, the last row number within reach.
+    """
 
-    def next(self, row: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row i from the one above, with what its cells would cost by the diagonal and by a deletion."""
-        diagonal = row + (self.b[i - 1 : i - 1 + self.width] != self.a[i - 1])
-        above = np.append(row[1:], _FAR) + 1
-        new = np.minimum(diagonal, above) - self.along
-        return np.minimum.accumulate(new) + self.along, diagonal, above  # insertions carry on along the row
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.n, self.m = len(a), len(b)
+        # foreign codes beyond the ends stop every run
+        self.a, self.b = (np.append(x, np.full(_STRIDE + 1, -1 - k, dtype=np.int32)) for k, x in enumerate((a, b)))
+        self.wide_a, self.wide_b = (np.lib.stride_tricks.sliding_window_view(x, _STRIDE) for x in (self.a, self.b))
+
+    def _slid(self, low: int, at: np.ndarray) -> tuple[int, np.ndarray]:
+        along = np.arange(low, low + len(at), dtype=np.int32)
+        at = np.minimum(at, np.minimum(self.n, self.m - along))
+        on = np.flatnonzero(self.a[at] == self.b[at + along])
+        while len(on):
+            same = self.wide_a[at[on]] == self.wide_b[at[on] + along[on]]
+            run = np.where(same.all(axis=1), _STRIDE, same.argmin(axis=1)).astype(np.int32)
+            at[on] += run
+            on = on[run == _STRIDE]
+        return low, at
+
+    def first(self) -> tuple[int, np.ndarray]:
+        return self._slid(0, np.zeros(1, dtype=np.int32))
+
+    def next(self, row: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+        low, at = row
+        edge = np.full(2, -_FAR, dtype=np.int32)
+        wide = np.concatenate([edge, at, edge])  # from diagonal low - 2 on
+        new = np.maximum(np.maximum(wide[1:-1], wide[2:]) + 1, wide[:-2])  # a substitution, a deletion, an insertion
+        start, end = max(low - 1, -self.n), min(low + len(at), self.m)
+        return self._slid(start, new[start - low + 1 : end - low + 2])
+
+    def ends(self, row: tuple[int, np.ndarray]) -> bool:
+        return self.holds(row, self.n, self.m)
+
+    @staticmethod
+    def holds(row: tuple[int, np.ndarray], i: int, j: int) -> bool:
+        k = j - i - row[0]
+        return 0 <= k < len(row[1]) and i <= row[1][k]
 
 
 def _coded(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
@@ -114,59 +138,50 @@ def _coded(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([code.setdefault(x, len(code)) for x in s], dtype=np.int32) for s in (ref, hyp))
 
 
-def _banded(a: np.ndarray, b: np.ndarray) -> tuple[int, _Band, list[np.ndarray], int]:
-    """Distance, the band that holds all cheapest alignments, and every so many of its rows.
-
-    The band doubles until the distance is no more than its reach; then no cheapest alignment leaves it, and neither does the preferred one.
-    """
-    n, m = len(a), len(b)
-    reach = max(64, abs(n - m))
-    while True:
-        band = _Band(a, b, min(reach, max(n, m)))
-        every = max(1, math.isqrt(n))
-        row = band.first()
-        kept = [row]
-        for i in range(1, n + 1):
-            row = band.next(row, i)[0]
-            if i % every == 0:
-                kept.append(row)
-        distance = int(row[m - n + band.reach])
-        if distance <= band.reach or band.reach == max(n, m):
-            return distance, band, kept, every
-        reach *= 2
-
-
 def edit_distance(ref, hyp) -> int:
-    return _banded(*_coded(ref, hyp))[0]
+    reach = _Reach(*_coded(ref, hyp))
+    row, distance = reach.first(), 0
+    while not reach.ends(row):
+        row, distance = reach.next(row), distance + 1
+    return distance
 
 
 def edit_ops(ref, hyp) -> tuple[int, list[tuple[str, object, object]]]:
     """Distance and operations between two sequences, by backward walk: diagonal first, then deletion, then insertion.
 
-    Every sqrt(n)-th row of a band about the diagonal is kept, and the steps between two of them are made again when the walk gets there: memory
-    is the band's width (at most that of a whole row) times 2 sqrt(n) cells, and time grows with the distance.
+    Equal elements are a step along the diagonal; at others, the row of one edit less tells which steps are cheapest. Of many rows those of square
+    numbers are kept, and the ones between two of them are made again when the walk gets there. Time grows with the lengths and the square of the distance.
     """
     a, b = _coded(ref, hyp)
-    distance, band, kept, every = _banded(a, b)
-    i, j, ops = len(a), len(b), []
-    while i:
-        low = (i - 1) // every * every
-        row, steps = kept[low // every], np.empty((i - low, band.width), dtype=np.uint8)
-        for k in range(low + 1, i + 1):
-            row, diagonal, above = band.next(row, k)
-            steps[k - low - 1] = np.where(row == diagonal, 0, np.where(row == above, 1, 2))
-        while i > low:
-            step = steps[i - low - 1, j - i + band.reach]
-            if step == 0:
-                i, j = i - 1, j - 1
-                ops.append((OK if a[i] == b[j] else SUB, ref[i], hyp[j]))
-            elif step == 1:
-                i -= 1
-                ops.append((DEL, ref[i], None))
-            else:
-                j -= 1
-                ops.append((INS, None, hyp[j]))
-    ops += [(INS, None, hyp[k]) for k in reversed(range(j))]
+    reach = _Reach(a, b)
+    row, distance, kept = reach.first(), 0, {}
+    while not reach.ends(row):
+        if distance < _ROWS or math.isqrt(distance) ** 2 == distance:
+            kept[distance] = row
+        row, distance = reach.next(row), distance + 1
+    a, b = a.tolist(), b.tolist()
+    i, j, left, ops = len(a), len(b), distance, []
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            ops.append((OK, ref[i], hyp[j]))
+            continue
+        left -= 1
+        if left not in kept:
+            k = math.isqrt(left) ** 2
+            while k < left:
+                kept[k + 1] = reach.next(kept[k])
+                k += 1
+        row = kept.pop(left)
+        if i and j and reach.holds(row, i - 1, j - 1):
+            i, j = i - 1, j - 1
+            ops.append((SUB, ref[i], hyp[j]))
+        elif i and reach.holds(row, i - 1, j):
+            i -= 1
+            ops.append((DEL, ref[i], None))
+        else:
+            j -= 1
+            ops.append((INS, None, hyp[j]))
     return distance, ops[::-1]
 
 

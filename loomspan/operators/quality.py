@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
@@ -144,21 +144,26 @@ def label_words(words: DataFrame, references: DataFrame) -> DataFrame:
     against the word that follows, at the end against the last. One task aligns one recording.
     """
 
-    def per_recording(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seg_no", "word_no"], kind="stable").reset_index(drop=True)
-        chars = [(c, k) for k, w in enumerate(pdf["word"]) for c in w or ""]
-        marks: list[list[bool]] = [[] for _ in range(len(pdf))]
-        at = 0
-        for tag, *_ in T.edit_ops(pdf["reference"].iloc[0] or "", [c for c, _ in chars])[1]:
-            if not chars:
-                break
-            marks[chars[min(at, len(chars) - 1)][1]].append(tag == T.OK)
-            at += tag != T.DEL
-        return pd.DataFrame({"rec_id": pdf["rec_id"], "seg_no": pdf["seg_no"], "word_no": pdf["word_no"], "has_ref": [bool(m) for m in marks], "correct": [all(m) if m else None for m in marks]})
-
-    flat = lambda name: T.flatten(F.col(name)).alias(name)
-    joined = words.select("rec_id", "seg_no", "word_no", flat("word")).join(references.select("rec_id", flat("reference")), "rec_id")
-    return joined.groupBy("rec_id").applyInPandas(per_recording, LABELS)
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rec, reference, said = (batch.column(c)[k].as_py() for c in ("rec_id", "reference", "said"))
+                chars = [(c, n) for n, w in enumerate(said) for c in w["word"] or ""]
+                marks: list[list[bool]] = [[] for _ in said]
+                at = 0
+                for tag, *_ in T.edit_ops(reference or "", [c for c, _ in chars])[1]:
+                    if not chars:
+                        break
+                    marks[chars[min(at, len(chars) - 1)][1]].append(tag == T.OK)
+                    at += tag != T.DEL
+                columns = [[rec] * len(said), [w["seg_no"] for w in said], [w["word_no"] for w in said], [bool(m) for m in marks], [all(m) if m else None for m in marks]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.bool_()] * 2, strict=True)], names=["rec_id", "seg_no", "word_no", "has_ref", "correct"])
+
+    # a reference meets its recording as one row, not each of its words; words without a place come last
+    place = [x for c in ("seg_no", "word_no") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c).cast("long").alias(c))]
+    said = words.select("rec_id", F.struct(*place, T.flatten(F.col("word")).alias("word")).alias("w")).groupBy("rec_id").agg(F.sort_array(F.collect_list("w")).alias("said"))
+    joined = said.join(references.select("rec_id", T.flatten(F.col("reference")).alias("reference")), "rec_id")
+    return joined.select("rec_id", "reference", "said").mapInArrow(labelled, LABELS)
 
 
 def attach_labels(words: DataFrame, labels: DataFrame) -> DataFrame:

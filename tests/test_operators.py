@@ -298,6 +298,26 @@ def test_label_words(spark):
     assert [(r.correct, r.has_ref) for r in got] == [(True, True), (None, False), (False, True), (False, True)]
 
 
+def test_label_words_moves_a_reference_once(spark):
+    """A reference goes to the tasks once a recording, not with each of its words; each recording is labelled as alone."""
+    w = spark.createDataFrame([(g, k // 50, k % 50, f"w{(k * 7 + g) % 23}") for g in range(6) for k in range(400)], "rec_id long, seg_no long, word_no long, word string")
+    refs = spark.createDataFrame([(g, " ".join("x" if k % 9 == 0 else f"w{(k * 7 + g) % 23}" for k in range(400))) for g in range(6)], "rec_id long, reference string")
+    labels = Q.label_words(w, refs)
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :] and labels.count() == 6 * 400
+    one = Q.label_words(w.where("rec_id = 4"), refs).orderBy("seg_no", "word_no").collect()
+    assert one == labels.where("rec_id = 4").orderBy("seg_no", "word_no").collect()
+    assert sum(r.correct is False for r in one) >= 400 // 9
+
+
+def test_alignment_of_many_edits_equals_the_table(monkeypatch):
+    r = random.Random(14)
+    monkeypatch.setattr(T, "_ROWS", 4)
+    for _ in range(12):
+        a, b = r.choices("abcd", k=r.randint(50, 140)), r.choices("abcd", k=r.randint(50, 140))
+        assert T.edit_ops("".join(a), "".join(b)) == table_ops("".join(a), "".join(b))
+
+
 def test_leave_one_out_equals_refitting(spark):
     r = random.Random(5)
     rows = [(g, s, k, round(r.random(), 2), r.random() > 0.3) for g in range(4) for s in range(12) for k in range(3)]
