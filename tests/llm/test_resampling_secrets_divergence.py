@@ -184,3 +184,12 @@ def test_divergence(spark):
     assert sorted(tuple(x) for x in got.collect()) == audited(rows)
     assert sorted(tuple(x) for x in divergence.divergence_audit(spark, d, least_docs=1, top=2).collect()) == audited(rows, 1, 2)
     assert divergence.divergence_audit(spark, d.where("false")).count() == 0
+
+
+def test_divergence_lowers_ascii_letters_only(spark):
+    """Texts of ASCII alone and others take different ways to the same terms."""
+    rows = [("en", "a", "The CAT and\tThe cat İı"), ("en", "a", "THE Cat AND"), ("en", "b", "É cat ÉA éa"), ("en", "b", None)]
+    got = {(r.source, r.term): (r.n, r.df) for r in divergence.term_counts(spark.createDataFrame(rows, "lang string, source string, text string")).collect()}
+    assert got == {("a", "the"): (3, 2), ("a", "cat"): (3, 2), ("a", "and"): (2, 2), ("a", "İı"): (1, 1), ("b", "É"): (1, 1), ("b", "cat"): (1, 1), ("b", "Éa"): (1, 1), ("b", "éa"): (1, 1)}
+    plan = divergence.term_counts(spark.createDataFrame(rows, "lang string, source string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" in plan
