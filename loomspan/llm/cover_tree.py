@@ -2,10 +2,12 @@
 
 Distance is that of unit vectors, so cosine >= t means distance <= sqrt(2 - 2 t). The top level of the tree is a
 net of pivots from a bounded sample; every vector goes to its nearest pivot, and a pivot's vectors, in blocks of at most about
-``BLOCK``, get a tree of nested levels with halving radii. A pair of nodes is pruned when the
+``BLOCK``, get a tree of nested levels with halving radii. Few points that only the widest level gathers are split at once: that
+node would be near everything. A pair of nodes is pruned when the
 distance of their centres exceeds the threshold by more than both covering radii, and taken as a whole when even the
-farthest members are within it; only what lies between is descended into. Pairs of top nodes are pruned
-the same way before any vector is moved.
+farthest members are within it; only what lies between is descended into. Pairs of pivots are pruned
+the same way before any vector is moved. Trees move in bundles: a task gets two of them and compares each tree of one with each of the other, so that
+a pair of trees moves a small part of a tree.
 
 Links are never listed: each pair of blocks yields for its vectors the number of links and one
 edge to the root of their local component. Equal vectors are one content with a weight.
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch
+from .common import Scratch, records_per_batch
 from .graph import connected_components
 from .vectors import matrix, unit, usable_vectors
 
@@ -30,6 +32,12 @@ BLOCK = 2048
 #: Vectors that pivots are chosen from, and pivots, at most.
 SAMPLE, PIVOTS = 4096, 1024
 RADII = (1.0, 0.5, 0.25, 0.125)
+#: Points that a top node wider than the second radius covers, at least.
+FEW = 64
+#: Components that a first bound looks at; rows of a strip of pairs.
+HEAD, STRIP = 32, 256
+#: Bundles that trees are dealt into, about; trees in a bundle, at most (1.6 MB each, in a task); trees in an Arrow batch.
+BUNDLES, BUNDLE, TREES = 24, 32, 8
 _SLACK = 1e-5  # single precision is only used to prune; what it leaves within this is judged in double
 
 
@@ -43,15 +51,26 @@ class Tree:
         self.single = vectors.astype(np.float32)
         gram = self.single @ self.single.T
         nodes: list[list] = []  # center, radius, lo, hi, first child, end of children
-        todo = self._split(gram, 0, n, 0, nodes)
-        self.top = len(todo)
+        todo, ranges = [], [(0, n, 0)]
+        while ranges:
+            *bounds, level = ranges.pop()
+            for node in self._split(gram, *bounds, level):
+                _, radius, lo, hi, *_ = node
+                if radius > RADII[1] + 1e-3 and hi - lo < FEW:
+                    ranges.append((lo, hi, level + 1))
+                else:
+                    nodes.append(node)
+                    todo.append((len(nodes) - 1, level + 1))
+        self.top = len(nodes)
         k = 0
         while k < len(todo):
             node, level = todo[k]
             _, radius, lo, hi, *_ = nodes[node]
             if hi - lo > 1 and level < len(RADII) and radius > 0:
                 nodes[node][4] = len(nodes)
-                todo += self._split(gram, lo, hi, level, nodes)
+                for child in self._split(gram, lo, hi, level):
+                    nodes.append(child)
+                    todo.append((len(nodes) - 1, level + 1))
                 nodes[node][5] = len(nodes)
             k += 1
         a = np.array(nodes, dtype=float).reshape(-1, 6)
@@ -60,8 +79,8 @@ class Tree:
         total = np.append(0, np.cumsum(weight[self.order]))
         self.mass = total[self.hi] - total[self.lo]
 
-    def _split(self, gram: np.ndarray, lo: int, hi: int, level: int, nodes: list[list]) -> list[tuple[int, int]]:
-        """Covers the points of a range by nodes of the level's radius, each around its first point; keeps them contiguous."""
+    def _split(self, gram: np.ndarray, lo: int, hi: int, level: int) -> list[list]:
+        """Nodes of the level's radius that cover the points of a range, each around its first point; keeps them contiguous."""
         points, made, parts = self.order[lo:hi], [], []
         least = 1 - RADII[level] ** 2 / 2
         while len(points):
@@ -71,14 +90,20 @@ class Tree:
             near[0] = True
             parts.append(points[near])
             far = float(np.sqrt(max(0.0, 2 - 2 * float(g[near].min())))) if near.sum() > 1 else 0.0
-            nodes.append([c, far, lo, lo + len(parts[-1]), 0, 0])
-            made.append((len(nodes) - 1, level + 1))
+            made.append([c, far, lo, lo + len(parts[-1]), 0, 0])
             lo += len(parts[-1])
             points = points[~near]
         self.order[hi - sum(map(len, parts)) : hi] = np.concatenate(parts)
         return made
 
 
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Rows whose inner products are no less than those of ``x``: the first ``HEAD`` components, and the length of the rest."""
+    if x.shape[1] <= HEAD + HEAD // 2:
+        return x
+    return np.column_stack([x[:, :HEAD], np.sqrt(np.einsum("ij,ij->i", x[:, HEAD:], x[:, HEAD:]))])
+
+
 def _expand(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All combinations of two ranges for each pair of ranges."""
     na, nb = a_hi - a_lo, b_hi - b_lo
@@ -102,23 +127,25 @@ def dual_traversal(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.n
     def between(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.single[a.center[i]], b.single[b.center[j]], dtype=np.float64)))
 
-    tops_a, tops_b = a.center[: a.top], b.center[: b.top]
-    gram = a.single[tops_a] @ b.single[tops_b].T
-    # most top nodes are single points in scattered data: one bound serves all pairs of them
-    i, j = np.nonzero(gram >= np.float32(1 - reach**2 / 2 - _SLACK))
-    wide_a, wide_b = np.flatnonzero(a.radius[: a.top] > 0), np.flatnonzero(b.radius[: b.top] > 0)
-    plain = (a.radius[i] == 0) & (b.radius[j] == 0)
-    found = [(i[plain], j[plain])]
-    for rows, columns in ((wide_a, np.arange(b.top)), (np.flatnonzero(a.radius[: a.top] == 0), wide_b)):
+    heads_a, heads_b = _heads(a.single[a.center[: a.top]]), _heads(b.single[b.center[: b.top]])
+    wide_a, wide_b = a.radius[: a.top] > 0, b.radius[: b.top] > 0
+    plain_a, plain_b = np.flatnonzero(~wide_a), np.flatnonzero(~wide_b)
+    wide_a, wide_b = np.flatnonzero(wide_a), np.flatnonzero(wide_b)
+    # most top nodes are single points in scattered data: one bound serves all pairs of them; strips stay in the processor's cache
+    across, found = heads_b[plain_b].T.copy(), []
+    for s in range(0, len(plain_a), STRIP):
+        strip = heads_a[plain_a[s : s + STRIP]] @ across
+        x, y = np.divmod(np.flatnonzero(strip >= np.float32(1 - reach**2 / 2 - _SLACK)), max(1, len(plain_b)))  # much faster than nonzero on two axes
+        found.append((plain_a[s + x], plain_b[y]))
+    for rows, columns in ((wide_a, np.arange(b.top)), (plain_a, wide_b)):
         if len(rows) and len(columns):
-            least = 1 - (reach + a.radius[rows, None] + b.radius[None, columns]) ** 2 / 2 - _SLACK
-            x, y = np.nonzero(gram[np.ix_(rows, columns)] >= least)
+            least = 1 - np.minimum(2, reach + a.radius[rows, None] + b.radius[None, columns]) ** 2 / 2 - _SLACK
+            x, y = np.nonzero(heads_a[rows] @ heads_b[columns].T >= least)
             found.append((rows[x], columns[y]))
-    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 2
     if same:
         i, j = i[i <= j], j[i <= j]
-    d = np.sqrt(np.maximum(0, 2 - 2 * gram[i, j].astype(float)))
-    del gram
+    d = None
     while len(i):
         if d is None:
             d = between(i, j)
@@ -223,13 +250,13 @@ def _assigned(pivots):
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grows each block's tree."""
     for batch in batches:
-        for cell, part, members in zip(batch.column("cell").to_pylist(), batch.column("part").to_pylist(), batch.column("m"), strict=True):
+        for bundle, cell, members in zip(batch.column("bundle").to_pylist(), batch.column("cell").to_pylist(), batch.column("m"), strict=True):
             m = members.values
             ids = m.field("id").to_numpy(zero_copy_only=False)
             by = np.argsort(ids)
             raw = matrix(m.field("v"))[by]
             tree = Tree(ids[by], m.field("w").to_numpy(zero_copy_only=False)[by].astype(float), unit(raw))
-            yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([part], pa.int64()), pa.array([_packed(tree, raw)], pa.binary())], names=["cell", "part", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([cell]), pa.array([_packed(tree, raw)], pa.binary())], names=["bundle", "cell", "tree"])
 
 
 def _packed(tree: Tree, raw: np.ndarray) -> bytes:
@@ -250,23 +277,27 @@ def _tree(data: bytes) -> Tree:
     return tree
 
 
-def _compared(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Tree] = {}
-
-        def get(batch: pa.RecordBatch, k: int, s: str) -> Tree:
-            key = (batch.column(f"c{s}")[k].as_py(), batch.column(f"p{s}")[k].as_py())
-            if key not in held:
-                if len(held) > 6:
-                    held.pop(next(iter(held)))
-                held[key] = _tree(batch.column(f"t{s}")[k].as_py())
-            return held[key]
+def _compared(threshold: float, near):
+    """Compares the trees of two bundles, or those of one, where their cells are near. Rows of a pair of bundles follow each other."""
 
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+        last, left, right = None, [], []
         for batch in batches:
-            for k in range(batch.num_rows):
-                b = get(batch, k, "j")
-                ids, count, root = compare(get(batch, k, "i"), b, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(count).astype(np.int64)), pa.array(root)], names=["id", "n", "root"])
+            for i, j, own, cell, data in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "bundle", "cell", "tree")), strict=True):
+                if (i, j) != last:
+                    yield left, right
+                    last, left, right = (i, j), [], []
+                (left if own == i else right).append((cell, _tree(data)))
+        yield left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close = near.value
+        for left, right in bundles(batches):
+            for k, (cell, a) in enumerate(left):
+                for other, b in right or left[k:]:
+                    if close[cell, other]:
+                        ids, count, root = compare(a, b, threshold)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(count).astype(np.int64)), pa.array(root)], names=["id", "n", "root"])
 
     return run
 
@@ -298,7 +329,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     found = None
     for size in [r.size for r in contents.select(F.size("v").alias("size")).distinct().collect()]:
         part = contents.where(F.size("v") == size).select("id", "w", "v")
-        one = scratch.write(_one_dimension(spark, scratch, part, threshold, block), "found")
+        one = _one_dimension(spark, scratch, part, threshold, block)
         found = one if found is None else found.unionByName(one)
     base = vectors.select("vec_id")
     if found is None:
@@ -319,16 +350,25 @@ def _one_dimension(spark: SparkSession, scratch: Scratch, part: DataFrame, thres
     cells = scratch.write(part.mapInArrow(_assigned(spark.sparkContext.broadcast(pivots)), "id long, w long, v array<double>, cell long, far double"), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # one row a pivot
     parts = {r.cell: math.ceil(r.n / block) for r in sizes}
-    far = {r.cell: r.far + 1e-6 for r in sizes}
-    reach = math.sqrt(2 - 2 * threshold)
+    far = np.full(len(pivots), -np.inf)
+    for r in sizes:
+        far[r.cell] = r.far + 1e-6
     apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-    near = [(i, j) for i in sorted(far) for j in sorted(far) if i <= j and apart[i, j] <= reach + far[i] + far[j] + _SLACK]
-    of = spark.createDataFrame([(c, k) for c, k in parts.items()], "cell long, parts int")
-    dealt = cells.join(F.broadcast(of), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
-    grown = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "w", "v")).alias("m")).mapInArrow(_planted, "cell long, part long, tree binary")
-    trees = scratch.write(grown, "trees")
-    pairs = spark.createDataFrame(near, "ci long, cj long")
-    left, right = (trees.select(F.col("cell").alias(f"c{s}"), F.col("part").alias(f"p{s}"), F.col("tree").alias(f"t{s}")) for s in "ij")
-    wanted = left.select("ci", "pi").join(F.broadcast(pairs), "ci").join(right.select("cj", "pj"), "cj").where("ci < cj or (ci = cj and pi <= pj)")
-    joined = wanted.join(left, ["ci", "pi"]).join(right, ["cj", "pj"])
-    return joined.mapInArrow(_compared(threshold), "id long, n long, root long")
+    near = apart <= math.sqrt(2 - 2 * threshold) + far[:, None] + far[None] + _SLACK
+    trees = sum(parts.values())
+    size = min(BUNDLE, math.ceil(trees / BUNDLES))
+    starts = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
+    of = spark.createDataFrame([(c, k, starts[c]) for c, k in parts.items()], "cell long, parts int, start long")
+    dealt = cells.join(F.broadcast(of), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long")).withColumn("bundle", F.floor((F.col("start") + F.col("part")) / size))
+    grouped = dealt.groupBy("bundle", "cell", "part").agg(F.collect_list(F.struct("id", "w", "v")).alias("m"))
+    holds = np.zeros((math.ceil(trees / size), len(pivots)))
+    for c, k in parts.items():
+        holds[starts[c] // size : (starts[c] + k - 1) // size + 1, c] = 1
+    pairs = np.argwhere(np.triu(holds @ near @ holds.T > 0)).tolist()
+    wanted = spark.createDataFrame([(b, i, j) for i, j in pairs for b in {i, j}], "bundle long, i long, j long")
+    with records_per_batch(spark, TREES):
+        grown = scratch.write(grouped.mapInArrow(_planted, "bundle long, cell long, tree binary"), "trees")
+        met = grown.join(F.broadcast(wanted), "bundle").repartition(len(pairs), "i", "j").sortWithinPartitions("i", "j")
+        found = scratch.write(met.mapInArrow(_compared(threshold, spark.sparkContext.broadcast(near)), "id long, n long, root long"), "found")
+    scratch.drop(cells, grown)
+    return found

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from loomspan.llm import bpe, cover_tree, graph, jaccard, lang_id, line_dedup, nn_descent, packing, quality, suffix_dedup, warc  # noqa: E402
+from loomspan.llm import bpe, cover_tree, graph, jaccard, lang_id, line_dedup, nn_descent, packing, quality, suffix_dedup, vectors, warc  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [None, "", " ", "\n\n", "one", "x" * 5000, "é" * 300, "日本語のテキスト" * 40, "a b c d", "A  b\tc d", "İstanbul ΣΑΣ, O'Neil's. 'tis 12345 <|endoftext|>"]
@@ -604,6 +604,31 @@ def test_embedding_near_dedup(spark):
     assert cover_tree.near_duplicates(spark, df.where("false")).count() == 0
 
 
+def test_scattered_vectors_are_decided_at_the_top(monkeypatch):
+    r = np.random.default_rng(8)
+    base = r.normal(size=(1600, 64))
+    x = vectors.unit(np.concatenate([base, base[:100] + r.normal(size=(100, 64)), base[100:200] + 0.1 * r.normal(size=(100, 64))]))  # strays at about 0.7, near copies
+    a, b = (cover_tree.Tree(np.arange(k, len(x), 2), np.ones(len(x) // 2), x[k::2]) for k in (0, 1))
+    made = []
+    monkeypatch.setattr(cover_tree, "_expand", lambda *c, f=cover_tree._expand: (made.append(len((out := f(*c))[0])), out)[1])
+    for m, n in ((a, a), (a, b)):
+        linked = m.vectors @ n.vectors.T >= 0.9
+        links, theirs, _ = cover_tree.dual_traversal(m, n, 0.9)
+        assert (links == linked.sum(1) - (m is n)).all()
+        assert m is n or (theirs == linked.sum(0)).all()
+    assert sum(made) < len(x)  # wide nodes around strays met nearly all nodes
+
+
+def test_embedding_bundles(spark, monkeypatch):
+    """Trees in bundles of several, few rows a batch: the same links."""
+    rows = clustered(700, 60, 3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    expected = cosine(rows) >= 0.9
+    monkeypatch.setattr(cover_tree, "BUNDLES", 2)
+    got = {x.vec_id: x.n_links for x in cover_tree.near_duplicates(spark, df, block=40).collect()}
+    assert got == dict(enumerate((expected.sum(1) - 1).tolist()))
+
+
 def test_embedding_special_vectors(spark):
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in cover_tree.near_duplicates(spark, spark.createDataFrame(SPECIAL, "vec_id long, embedding array<float>")).collect()}
     assert got == {50: (3, 2, False), 2: (3, 2, True), 7: (3, 2, False), 11: (3, 2, False), **{k: (0, k, True) for k in (3, 4, 100, 6, 8, 9, 150)}}
