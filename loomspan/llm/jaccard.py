@@ -20,11 +20,9 @@ members that give links, not pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, records_per_batch, text_or_empty
@@ -42,7 +40,8 @@ ELEMENTS = 40
 SMALL, BLOCK, CLUSTER = 12, 192, 8192
 #: Pairs of blocks in an Arrow batch, at most.
 BLOCKS = 32
-CACHE = 300_000
+#: Bytes of words that are hashed side by side, about, and places in a word that have a table.
+SLICE, PLACES = 1 << 18, 64
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,26 +51,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word hashes that a worker remembers."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
+def _mix1(x: int) -> int:
+    """``mix`` of one number."""
+    x = (x ^ x >> 30) * int(_M1) & _ALL
+    x = (x ^ x >> 27) * int(_M2) & _ALL
+    return x ^ x >> 31
+
+
+_ALL = (1 << 64) - 1
+_BLANK, _LOWER = np.zeros(256, dtype=bool), np.arange(256, dtype=np.int64)
+_BLANK[[32, *range(9, 14)]] = True
+_LOWER[65:91] += 32
+#: A random number for each byte at each place of a word; the hash of a word is their sum, mixed.
+_AT_PLACE = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _M3)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and how many each text has: A-Z lowered, words between ASCII white space."""
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([*encoded, b""]), dtype=np.uint8)  # every text ends with a blank
+    blank = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edges = np.append(0, edges)
+    start, end = edges[::2], edges[1::2]
+    counts = np.diff(np.searchsorted(start, np.cumsum([len(e) + 1 for e in encoded])), prepend=0)
+    size = end - start
+    first = np.cumsum(size) - size
+    h = np.empty(len(start), dtype=np.uint64)
+    cuts = [*np.unique(np.searchsorted(first, np.arange(0, int(size.sum()), SLICE))).tolist(), len(start)] if len(start) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a == b:
+            continue
+        lo, hi = start[a], end[b - 1]
+        byte = _LOWER[data[lo:hi][~blank[lo:hi]]]
+        begin = first[a:b] - first[a]
+        key = (np.arange(len(byte)) - np.repeat(begin, size[a:b])) * 256 + byte
+        value = _AT_PLACE[np.minimum(key, PLACES * 256 - 1)]
+        far = np.flatnonzero(key >= PLACES * 256)
+        if len(far):
+            value[far] = mix((key[far] + 1).astype(np.uint64) * _M3)
+        h[a:b] = mix(np.add.reduceat(value, begin) + size[a:b].astype(np.uint64))
+    return h, counts
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles: A-Z lowered, words between ASCII white space, five words each; fewer words are one shingle, none an empty set."""
-    if len(_WORDS) > CACHE:
-        _WORDS.clear()
-    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    h = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(counts.sum()))
+    """For each text the sorted distinct 64-bit hashes of its shingles, five words each; fewer words are one shingle, none an empty set."""
+    h, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     long = np.zeros(0, dtype=np.uint64)
     if len(h) >= WORDS:
@@ -105,10 +131,13 @@ def in_parts(texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
         yield from zip(texts[i : i + 256], shingle_sets(texts[i : i + 256]), strict=True)
 
 
-def content_id(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    parts = np.array([mix(s + _M3).sum(dtype=np.uint64), np.bitwise_xor.reduce(s, initial=np.uint64(0)), len(s)], dtype=np.uint64)
-    return int(mix(mix(mix(parts[:1]) + parts[1:2]) + parts[2:]).view(np.int64)[0])
+def content_id(s: np.ndarray, mixed: np.ndarray | None = None) -> int:
+    """A signed 64-bit name of a set; ``mixed`` is mix(s + _M3), where it is at hand."""
+    mixed = mix(s + _M3) if mixed is None else mixed
+    x = _mix1(int(mixed.sum(dtype=np.uint64)))
+    x = _mix1(x + int(np.bitwise_xor.reduce(s, initial=np.uint64(0))) & _ALL)
+    x = _mix1(x + len(s) & _ALL)
+    return x - (x >> 63 << 64)
 
 
 def largest_difference(size: int) -> int:
@@ -122,18 +151,18 @@ def band_of(size: int) -> int:
     return (size.bit_length() - 1) // 2
 
 
-def partition_signatures(s: np.ndarray, band: int) -> np.ndarray:
+def partition_signatures(s: np.ndarray, band: int, mixed: np.ndarray | None = None) -> np.ndarray:
     """One signature for each non-empty partition of a band's domain; band -1 makes every element a partition."""
     if band < 0:
         return mix(s + _M1)
     n1 = max(1, 4 ** (band + 1) // 2)
     part = ((s >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)  # sets are sorted, and so are their partitions
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    content = np.add.reduceat(mix(s + _M3), first)
+    content = np.add.reduceat(mix(s + _M3) if mixed is None else mixed, first)
     return mix(content * _M3 + part[first] * np.uint64(64) + np.uint64(band))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def signatures(s: np.ndarray, frequent: np.ndarray, mixed: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
     """(tag, signatures) of each level that a set signs at. A tag is 32 times the level (band, or ELEMENTS) plus how many of the level's a partner must share."""
     size = len(s)
     d = largest_difference(size)
@@ -142,7 +171,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarra
     out = []
     while levels:
         level = levels.pop(0)
-        sigs = partition_signatures(s, -1 if level == ELEMENTS else level)
+        sigs = partition_signatures(s, -1 if level == ELEMENTS else level, mixed)
         if len(sigs) <= d and ELEMENTS not in levels:  # never so at the level of elements
             levels.append(ELEMENTS)
         out.append((level * 32 + max(1, min(SHARED, len(sigs) - d)), _first(sigs, d + SHARED, frequent)))
@@ -163,12 +192,13 @@ def folded(counts: np.ndarray, width: int) -> np.ndarray:
 def _first(sigs: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
     if len(sigs) <= n:
         return sigs
+    sigs = np.sort(sigs)  # what is sorted is found far sooner
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, sigs), len(frequent) - 1)
         late = frequent[at] == sigs
         if late.any():
-            return sigs[np.lexsort((sigs, late))[:n]]
-    return np.partition(sigs, n - 1)[:n]
+            return np.concatenate([sigs[~late], sigs[late]])[:n]
+    return sigs[:n]
 
 
 # --- Spark stages ------------------------------------------------------------------------------
@@ -187,7 +217,8 @@ def _signed(frequent):
         for batch in batches:
             sizes, cids, levels = [], [], []
             for _, s in in_parts(batch.column("text").to_pylist()):
-                cid = content_id(s)
+                mixed = mix(s + _M3)
+                cid = content_id(s, mixed)
                 sizes.append(len(s))
                 cids.append(cid)
                 if not len(s) or cid in seen:
@@ -196,7 +227,7 @@ def _signed(frequent):
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(cid)
-                levels.append([{"tag": tag, "sigs": sigs.view(np.int64)} for tag, sigs in signatures(s, late)])
+                levels.append([{"tag": tag, "sigs": sigs.view(np.int64)} for tag, sigs in signatures(s, late, mixed)])
             rest = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(levels, _LEVELS)], names=[*rest, "n_shingles", "cid", "levels"])
 

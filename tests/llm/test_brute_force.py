@@ -248,6 +248,21 @@ def test_jaccard_large_groups(spark):
     assert {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()} == expected
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    """Words are hashed side by side, across texts and slices: equal hashes where words are equal, and only there."""
+    import re
+
+    monkeypatch.setattr(jaccard, "SLICE", 50)
+    long = "x" * 200
+    texts = ["", " ", "Ab aB ba\x0bab\x1cab \t", long, f"{long}y y{long} {long}", "é É e\u0301", "a\u00a0b", "\ud800 z", "ab", *(f"w{k} w{k // 2}" for k in range(300))]
+    words = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode("utf-8", "surrogatepass"))] for t in texts]
+    h, counts = jaccard.word_hashes(texts)
+    assert counts.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+    assert all(len(x) == 0 for x in jaccard.word_hashes([]))
+
+
 def test_sketches_never_rule_out_links():
     r = np.random.default_rng(0)
     for n in (3, 40, 700):
