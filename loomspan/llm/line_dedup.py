@@ -109,7 +109,7 @@ def _sketched(sets: DataFrame) -> DataFrame:
 def _met(scratch: Scratch, lines: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of different components among ``lid, comp, line``; every such pair whose similarity reaches the threshold is among them.
 
-    Shingles stand in one order everywhere, rarest first. Sets that are alike have their first common shingle early in both, so that enough
+    Shingles stand in one order everywhere: those of one component alone first, as they bring no pair, then the rarest. Sets that are alike have their first common shingle early in both, so that enough
     of either is left behind it; no other places meet. Sets whose sketches differ in too many bits don't meet, and a pair meets no further where one of
     the ``BEFORE`` early shingles before is common to both: there it met already, with more left behind it.
     """
@@ -118,18 +118,22 @@ def _met(scratch: Scratch, lines: DataFrame, threshold: float) -> DataFrame:
     # sizes are taken before the sets are exploded, so that no row carries a set
     sets = units.select("lid", "comp", F.array_distinct(_hashes("units")).alias("s")).select("lid", "comp", F.size("s").alias("size"), "s")
     rows = sets.select("lid", "comp", "size", F.explode("s").alias("h"))
-    held = scratch.write(_shared(rows, "h"), "held")
+    apart = (F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    held = scratch.write(_shared(rows, "h", *apart).where("c0 <> c1").select(*rows.columns, "n"), "held")
     scratch.release()
-    # shingles of one line alone come first; they are told by the size
+    # shingles of one component alone are told by the size
     order = Window.partitionBy("lid").orderBy("n", "h")
     placed = held.withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("lid")))
     early = placed.where(F.col("size") - F.col("place") + 1 >= F.lit(threshold) * F.col("size")).select("lid", "comp", "size", "h", "place")
+    # written, so that places are told once for what counts them and what they are joined with
+    early = placed = scratch.write(early, "placed")
     # what stands early in lines of one component alone brings no pair
-    several = scratch.write(_shared(early, "h", F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(*early.columns), "several")
-    scratch.drop(held)
+    several = scratch.write(_shared(early, "h", *apart).where("c0 <> c1").select(*early.columns), "several")
+    scratch.drop(held, placed)
     scratch.release()
     before = F.collect_list("h").over(Window.partitionBy("lid").orderBy("place").rowsBetween(-BEFORE, -1))
-    early = scratch.write(several.withColumn("before", before).join(scratch.write(_sketched(sets), "sketches"), "lid"), "early")
+    met = units.join(several.select("lid").distinct(), "lid", "left_semi").select("lid", F.array_distinct(_hashes("units")).alias("s"))
+    early = scratch.write(several.withColumn("before", before).join(scratch.write(_sketched(met), "sketches"), "lid"), "early")
     scratch.drop(several)
     scratch.release()
     x, y = early.alias("x"), early.alias("y")

@@ -420,6 +420,39 @@ def test_open_lines_meet_where_sketches_allow(spark):
     assert sum(j >= 0.75 for j in alike.values()) > 100 and all(alike[p] > 0.5 for p in met)
 
 
+def test_open_lines_hold_what_components_share(spark, monkeypatch):
+    """What one component alone holds stands first and is not kept; no pair of two components is lost by it."""
+    r = np.random.default_rng(12)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 6))
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(14)]
+        for comp in range(2):
+            for _ in range(3):
+                own = list(base)
+                own[int(r.integers(14))] = word()
+                rows.append((len(rows), 1000 + 2 * g + comp, " ".join(own)))
+        rows += [(len(rows) + k, 2000 + g, " ".join([*[f"only{g}text"] * 3, *base[:2], word(), "alone in here"])) for k in range(2)]
+    sets = [{t[k : k + 12] for k in range(max(1, len(t) - 11))} for _, _, t in rows]
+    comps = {}
+    for (_, comp, _), x in zip(rows, sets, strict=True):
+        for w in x:
+            comps.setdefault(w, set()).add(comp)
+    kept = []
+
+    def counting(self, df, name="t", compact=False, f=line_dedup.Scratch.write):
+        out = f(self, df, name, compact)
+        if name == "held":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "write", counting)
+    got = {tuple(x) for x in line_dedup._met(line_dedup.Scratch(spark, "lines"), spark.createDataFrame(rows, "lid long, comp long, line string"), 0.75).collect()}
+    expected = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if rows[a][1] != rows[b][1] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert expected and expected <= got
+    assert kept == [sum(len(comps[w]) > 1 for x in sets for w in x)]
+
+
 def test_line_dedup_reads_long_tokens_whole(spark):
     """Against plain character shingles: what follows the first characters of a token counts, and as much as any other text."""
     r = np.random.default_rng(7)
