@@ -353,21 +353,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     frequent.destroy()
     told = scratch.write(known.select("doc_id", "n_shingles", "cid"), "contents")
     full = told.where("n_shingles > 0")
-    both = Window.partitionBy("sig")
-    shared = _each_signature(known).withColumn("lo", F.min("cid").over(both)).withColumn("hi", F.max("cid").over(both)).where("lo <> hi").select("sig", "cid", "tag")
-    shared = scratch.write(shared.distinct(), "shared", compact=True)
+    shared = scratch.write(_of_two(_each_signature(known)).select("sig", "cid", "tag").distinct(), "shared")
     scratch.drop(known)
     scratch.release()
-    groups = scratch.write(_sharing_enough(shared), "shared", compact=True)
+    # one job, in which rows move once for each step
+    groups = shared
+    for _ in range(3):
+        groups = _of_two(_sharing_enough(groups.select("sig", "cid", "tag")))
+    groups = scratch.write(groups, "groups")
     scratch.drop(shared)
-    for _ in range(2):
-        fewer = scratch.write(_sharing_enough(_of_two(groups)), "shared", compact=True)
-        scratch.drop(groups)
-        groups = fewer
-    least = groups.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig", "lo")
-    fewer = scratch.write(groups.join(least, "sig").select("sig", "cid", "tag", "lo"), "groups", compact=True)
-    scratch.drop(groups)
-    groups = fewer
     scratch.release()
 
     # the texts of those that share a signature, each from its first document
@@ -383,10 +377,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     scratch.release()
     # what is left: groups whose members still lie in different components
-    rest = scratch.write(_open(_with_components(groups, comps), 3), "rest", compact=True)
+    rest = scratch.write(_open(_with_components(groups, comps), 3), "rest")
     scratch.drop(groups, links)
     scratch.release()
-    fewer = scratch.write(_open(_fewest(rest), 2), "rest", compact=True)
+    fewer = scratch.write(_open(_fewest(rest), 2), "rest")
     scratch.drop(rest)
     rest = fewer
     scratch.release()
@@ -396,14 +390,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     large = scratch.write(_clusters(spark, scratch, rest.where(F.col("n") > SMALL).select("sig", "cid")), "large")
     scratch.release()
     with records_per_batch(spark, BLOCKS):
-        near = scratch.write(_between_blocks(large, comps, sets, True), "near")
+        near = scratch.write(_between_blocks(scratch, large, comps, sets, True), "near")
     scratch.release()
     more = scratch.write(_verified(pairs.unionByName(near).distinct(), sets), "more")
     scratch.release()
     if not more.isEmpty():
         comps = scratch.write(joined_components(spark, comps, more, scratch), "components")
     with records_per_batch(spark, BLOCKS):
-        near = scratch.write(_between_blocks(large, comps, sets, False), "near")
+        near = scratch.write(_between_blocks(scratch, large, comps, sets, False), "near")
     scratch.release()
     last = scratch.write(_verified(near, sets), "last")
     scratch.release()
@@ -419,15 +413,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _of_two(groups: DataFrame) -> DataFrame:
-    """Rows whose signature more than one content still has."""
-    several = groups.groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("sig")
-    return groups.join(several, "sig", "left_semi")
+    """Rows whose signature more than one content has, with the smallest of these, ``lo``."""
+    of = Window.partitionBy("sig")
+    return groups.withColumn("lo", F.min("cid").over(of)).withColumn("hi", F.max("cid").over(of)).where("lo <> hi").drop("hi")
 
 
 def _sharing_enough(groups: DataFrame) -> DataFrame:
     """Rows of contents that share as many signatures of a level as any partner of theirs would."""
-    enough = groups.groupBy("cid", "tag").count().where("count >= tag % 32").select("cid", "tag")
-    return groups.join(enough, ["cid", "tag"], "left_semi")
+    return groups.withColumn("held", F.count("*").over(Window.partitionBy("cid", "tag"))).where("held >= tag % 32").drop("held")
 
 
 def _open(groups: DataFrame, least: int) -> DataFrame:
@@ -456,8 +449,9 @@ def _clusters(spark: SparkSession, scratch: Scratch, large: DataFrame) -> DataFr
     return fits.unionByName(split).select("key", "cid", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
 
 
-def _between_blocks(large: DataFrame, comps: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
-    members = _with_components(large, comps).join(sets.select("cid", "n", "sketch"), "cid")
+def _between_blocks(scratch: Scratch, large: DataFrame, comps: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
+    # written, so that what meets itself and both sides of the join fetch sketches once
+    members = scratch.write(_with_components(large, comps).join(sets.select("cid", "n", "sketch"), "cid"), "members")
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("k")
     blocks = lambda rows: rows.groupBy("key", part, "parts").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     # a group of one block meets itself where it is; the others' blocks meet by a join

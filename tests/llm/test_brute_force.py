@@ -82,6 +82,32 @@ def test_components(spark):
     assert got == {n: low[n] for e in edges for n in e}
 
 
+def _tasks(spark, group: str, run) -> int:
+    """Tasks of the jobs of ``run``, with shuffles of nine parts that nothing joins again."""
+    held = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    return sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x)
+
+
+def test_stars_are_done_after_a_round(spark):
+    scratch = line_dedup.Scratch(spark, "stars")
+    stars = spark.createDataFrame([(n // 10 * 10, n) for n in range(1, 200) if n % 10], "a long, b long")
+    found = {x.node: x.component for x in graph.connected_components(spark, stars, scratch).collect()}
+    assert found == {n: n // 10 * 10 for n in range(200)}
+    assert scratch.n == 2, "the links, and a round that finds nothing to move"
+
+
 def test_packing(spark, docs, corpus, nothing):
     from tokenizers import Tokenizer
 
@@ -217,6 +243,16 @@ def test_jaccard(spark, docs, corpus, nothing):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {d for d, (_, low) in expected.items() if d == low}
 
 
+def test_jaccard_shuffles_few_times(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(10 * g + k, " ".join([*words[13 * g : 13 * g + 60], f"x{k}"])) for g in range(20) for k in range(5)]
+    of = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got: list = []
+    tasks = _tasks(spark, "jaccard", lambda: got.extend(jaccard.jaccard_components(spark, of).collect()))
+    assert {x.doc_id: x.component_id for x in got} == {d: d // 10 * 10 for d, _ in rows}
+    assert tasks < 900, "777 as it is; 1084 where each filter was a join and wrote its rows"
+
+
 def test_jaccard_of_repeated_and_null_ids(spark):
     """Links between texts hold whatever other rows share their ids."""
     r = np.random.default_rng(12)
