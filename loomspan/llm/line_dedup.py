@@ -78,8 +78,8 @@ def with_bands(lines: DataFrame) -> DataFrame:
 
 
 def _hashes(units: str) -> Column:
-    """The hashes of all windows of a line in UTF-16BE, as an array."""
-    return F.expr(f"transform(sequence(0, greatest(0, int(octet_length({units}) div 2) - {WINDOW})), i -> xxhash64(substring({units}, 2 * i + 1, {2 * WINDOW})))")
+    """The hashes of all windows of a line in UTF-16BE, as an array. The line is a variable of an outer function: a column would be copied whole for each window."""
+    return F.expr(f"transform(array({units}), u -> transform(sequence(0, greatest(0, int(octet_length(u) div 2) - {WINDOW})), i -> xxhash64(substring(u, 2 * i + 1, {2 * WINDOW}))))[0]")
 
 
 def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -149,7 +149,7 @@ def _groups(scratch: Scratch, signed: DataFrame) -> DataFrame:
     rows = None
     for first in range(0, len(BANDS), PASS):
         dealt = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(first, min(first + PASS, len(BANDS)))))).alias("band"))
-        more = scratch.write(_shared(dealt, "band", F.min("lid").alias("lo")), "groups", compact=True)
+        more = scratch.write(_shared(dealt, "band", F.min("lid").alias("lo")), "groups")
         rows = more if rows is None else rows.unionByName(more)
         scratch.release()
     return rows
@@ -182,7 +182,7 @@ def content_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame, thre
     def add(links: DataFrame) -> DataFrame:
         return comps if links.isEmpty() else scratch.write(joined_components(spark, comps, links, scratch), "components")
 
-    rest = scratch.write(_open(groups, comps).join(texts.select("lid", F.length("line").alias("size")), "lid"), "open", compact=True)
+    rest = scratch.write(_open(groups, comps).join(texts.select("lid", F.length("line").alias("size")), "lid"), "open")
     centres = rest.groupBy("band").agg(F.min(F.struct("size", "lid", "comp")).alias("c"))
     second = rest.join(centres, "band").where("comp <> c.comp").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b")).distinct()
     comps = add(verified(scratch, scratch.write(second.join(pairs, ["a", "b"], "left_anti"), "second"), texts, threshold))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -512,6 +513,15 @@ def test_line_dedup_reads_long_tokens_whole(spark):
     assert [got[k] for k in range(len(lines))] == c.smallest(list(range(len(lines))))
 
 
+def test_windows_of_a_line_share_it(spark):
+    """Windows of a long line are hashed without a copy of the line for each."""
+    line = spark.range(1, numPartitions=1).select(F.encode(F.repeat(F.lit("0123456789abcdefg"), 12_000), "UTF-16BE").alias("units")).localCheckpoint()
+    began = time.time()
+    n, distinct = line.select(line_dedup._hashes("units").alias("s")).select(F.size("s"), F.size(F.array_distinct("s"))).first()
+    assert (n, distinct) == (17 * 12_000 - 11, 17)
+    assert time.time() - began < 8
+
+
 def test_line_dedup_of_crlf_texts(spark):
     """Blank lines stay, whatever blanks they hold; a line matches its copy with another ending."""
     rows = [(1, "hello world foo bar\r\n\r\nfirst\r\n\t\r\n"), (2, "second\r\n\r\n\t\nhello world foo bar"), (3, "\thello world foo bar \t\r\nthird")]
